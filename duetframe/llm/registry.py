@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, toxicity, url_filters
+from . import bpe, packing, quality, toxicity, url_filters
 
-MODULES = (url_filters, bpe, toxicity, packing)
+MODULES = (url_filters, quality, bpe, toxicity, packing)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
