@@ -20,9 +20,9 @@ from .common import read, stored
 from .tokens import codec, default_path
 
 #: Largest table of words that is sent to every worker, in bytes of its arrays.
-BROADCAST_BYTES = 224 << 20
+BROADCAST_BYTES = 96 << 20
 #: Words that a worker holds as Python objects at a time.
-WORDS_HELD = 300_000
+WORDS_HELD = 100_000
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -86,9 +86,10 @@ def _arrays(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray] | Non
     return hashes, to.astype(np.uint32 if to[-1] < 2**32 else np.int64), ids[take]
 
 
-def encode_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES, decoded: bool = False) -> DataFrame:
     """doc_id and ids (array<int>) of every row, as the tokenizer file's library gives them without extra tokens.
 
+    decoded: also text, what decode_documents makes of the ids, by the same workers.
     Null and empty texts have an empty array; rows that repeat and null ids stay rows; other columns are left out.
     """
     path = tokenizer or default_path()
@@ -97,27 +98,33 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str
     size = table.agg(F.sum(12 + 4 * F.size("ids"))).first()[0] or 0
     arrays = _arrays(table) if size <= broadcast_bytes else None
     if arrays is None:
-        return _encode_by_shuffle(_rows(docs, id_col, text_col), table, path)
+        encoded = _encode_by_shuffle(_rows(docs, id_col, text_col), table, path)
+        return decode_documents(encoded, path) if decoded else encoded
     sent = spark.sparkContext.broadcast(arrays)
     del arrays
 
     def encode(batches):
-        enc, known = codec(path), {}
+        enc, known = codec(path), {}  # known: each word's ids as bytes
         hashes, start, ids = sent.value
         for b in batches:
-            for part in (b.slice(i, 500) for i in range(0, b.num_rows, 500)):
-                texts = [enc.words(t) for t in part.column(1).to_pylist()]
-                if len(known) > WORDS_HELD:
-                    known.clear()
-                new = list({w for t in texts for w in t if w not in known})
-                at = np.searchsorted(hashes, np.fromiter(map(_word_hash, new), np.uint64, len(new)))
-                known.update(zip(new, (ids[x:y].tolist() for x, y in zip(start[at].tolist(), start[at + 1].tolist()))))
-                out = [np.fromiter(chain.from_iterable(map(known.__getitem__, t)), np.int32) for t in texts]
+            for part in (b.slice(i, 250) for i in range(0, b.num_rows, 250)):
+                out = []
+                for text in part.column(1):
+                    words = enc.words(text.as_py())
+                    new = [w for w in dict.fromkeys(words) if w not in known]
+                    at = np.searchsorted(hashes, np.fromiter(map(_word_hash, new), np.uint64, len(new)))
+                    known.update(zip(new, (ids[x:y].tobytes() for x, y in zip(start[at].tolist(), start[at + 1].tolist()))))
+                    out.append(np.frombuffer(b"".join(map(known.__getitem__, words)), "<i4"))
+                    if len(known) > WORDS_HELD:
+                        known.clear()
                 places = np.r_[0, np.cumsum([len(x) for x in out])].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(places), pa.array(np.concatenate(out) if out else np.empty(0, np.int32)))], ["doc_id", "ids"])
+                cols = [part.column(0), pa.ListArray.from_arrays(pa.array(places), pa.array(np.concatenate(out) if out else np.empty(0, np.int32)))]
+                if decoded:
+                    cols.append(_decoded(enc, [x.tolist() for x in out]))
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", "text"][: len(cols)])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return _rows(docs, id_col, text_col).mapInArrow(encode, f"doc_id {kind}, ids array<int>")
+    return _rows(docs, id_col, text_col).mapInArrow(encode, f"doc_id {kind}, ids array<int>" + ", text string" * decoded)
 
 
 def _encode_by_shuffle(docs: DataFrame, table: DataFrame, path: str) -> DataFrame:
@@ -140,6 +147,15 @@ def _encode_by_shuffle(docs: DataFrame, table: DataFrame, path: str) -> DataFram
     return lists.select("doc_id", ids.alias("ids"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
 
 
+def _decoded(enc, ids: list) -> pa.Array:
+    pieces = enc.pieces
+    try:
+        texts = [b"".join(map(pieces.__getitem__, x or ())) for x in ids]
+    except (IndexError, TypeError):
+        texts = [b"".join(pieces[i] for i in x or () if i is not None and 0 <= i < len(pieces)) for x in ids]
+    return pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())
+
+
 def decode_documents(encoded: DataFrame, tokenizer: str | None = None, keep: tuple[str, ...] = ("doc_id", "ids")) -> DataFrame:
     """Adds text: the pieces of the ids put together and read as UTF-8 (what isn't UTF-8 becomes U+FFFD).
 
@@ -149,20 +165,15 @@ def decode_documents(encoded: DataFrame, tokenizer: str | None = None, keep: tup
     schema = encoded.select(*keep).schema
 
     def decode(batches):
-        pieces = codec(path).pieces
+        enc = codec(path)
         for b in batches:
-            ids = b.column(b.schema.get_field_index("ids")).to_pylist()
-            try:
-                texts = [b"".join(map(pieces.__getitem__, x or ())) for x in ids]
-            except (IndexError, TypeError):
-                texts = [b"".join(pieces[i] for i in x or () if i is not None and 0 <= i < len(pieces)) for x in ids]
-            yield b.append_column("text", pa.array([t.decode("utf-8", "replace") for t in texts], pa.string()))
+            yield b.append_column("text", _decoded(enc, b.column(b.schema.get_field_index("ids")).to_pylist()))
 
     return encoded.select(*keep).mapInArrow(decode, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", text string")
 
 
 def op7_bpe_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decoded = decode_documents(encode_documents(read(spark, sf_dir, "documents")))
+    decoded = encode_documents(read(spark, sf_dir, "documents"), decoded=True)
     return decoded.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 #: Fixed value: the split pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -36,11 +36,8 @@ class Codec:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.own = Tokenizer.from_file(path)
-        self.own.no_truncation()
-        self.own.no_padding()
+        self.path = path
         spec = json.load(open(path, encoding="utf-8"))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         letters = byte_letters()
@@ -50,6 +47,16 @@ class Codec:
         #: id to piece, as bytes
         self.pieces = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
 
+    @cached_property
+    def own(self):
+        """The file's own library; loaded when a text needs it."""
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(self.path)
+        own.no_truncation()
+        own.no_padding()
+        return own
+
     def plain(self, text: str) -> bool:
         return not ODD.search(text) and not any(s in text for s in self.special)
 

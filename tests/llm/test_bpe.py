@@ -29,6 +29,7 @@ def test_both_ways_and_edges(spark):
     for limit in (1 << 30, 0):
         got = decode_documents(encode_documents(df, broadcast_bytes=limit)).collect()
         assert sorted((repr(r.doc_id), r.ids, r.text) for r in got) == sorted((repr(i), own(t), t or "") for i, t, *_ in rows)
+        assert sorted(map(repr, encode_documents(df, broadcast_bytes=limit, decoded=True).collect())) == sorted(map(repr, got))
         assert encode_documents(df.limit(0), broadcast_bytes=limit).collect() == []
 
 
