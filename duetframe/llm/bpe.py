@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, stored
+from .common import read, shuffle_partitions, stored
 from .tokens import codec, default_path
 
 #: Largest table of words that is sent to every worker, in bytes of its arrays.
@@ -30,9 +30,14 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _word_hash(word: str) -> int:
+    """What Spark's xxhash64 gives for the word."""
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8"))
+    return xxhash.xxh64_intdigest(word.encode("utf-8"), 42)
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(_word_hash, words), np.uint64, len(words)).view(np.int64)
 
 
 def word_table(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -60,30 +65,35 @@ def word_table(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc
 
 
 def _arrays(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """Sorted hashes, the place of each word's ids, all ids; None if two words share a hash."""
+    """Sorted hashes, the place of each word's ids, all ids; None if two words share a hash.
+
+    Spark sorts; the driver puts the parts behind each other.
+    """
 
     def packed(batches):
         for b in batches:
             ids = b.column(1)
-            hashes = np.fromiter(map(_word_hash, b.column(0).to_pylist()), np.uint64, b.num_rows)
-            flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<i4")
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (hashes, np.diff(ids.offsets.to_numpy()).astype("<i4"), flat)], ["h", "n", "ids"])
-
-    got = table.mapInArrow(packed, "h binary, n binary, ids binary").collect()
-    hashes = np.concatenate([np.frombuffer(r.h, np.uint64) for r in got] or [np.empty(0, np.uint64)])
-    count = np.concatenate([np.frombuffer(r.n, "<i4") for r in got] or [np.empty(0, "<i4")])
-    ids = np.concatenate([np.frombuffer(r.ids, "<i4") for r in got] or [np.empty(0, "<i4")])
+            flat = ids.flatten().to_numpy(zero_copy_only=False)
+            kind = "<u2" if not len(flat) or flat.max() < 1 << 16 else "<i4"
+            arrays = (b.column(0).to_numpy(), np.diff(ids.offsets.to_numpy()).astype("<i4"), flat.astype(kind))
+            yield pa.RecordBatch.from_arrays([*(pa.array([x.tobytes()], pa.binary()) for x in arrays), pa.array([kind])], ["h", "n", "ids", "kind"])
+
+    hashed = table.select(F.xxhash64("word").alias("h"), "ids")
+    parts = max(1, min(64, shuffle_partitions(table.sparkSession)))
+    got = hashed.repartitionByRange(parts, "h").sortWithinPartitions("h").mapInArrow(packed, "h binary, n binary, ids binary, kind string").collect()
+    h, n, ids = [], [], []
+    for r in got:
+        h.append(np.frombuffer(r.h, "<i8"))
+        n.append(np.frombuffer(r.n, "<i4"))
+        ids.append(np.frombuffer(r.ids, r.kind))
+    if not h:
+        return np.empty(0, np.int64), np.zeros(1, np.uint32), np.empty(0, "<u2")
     del got
-    start = np.r_[0, np.cumsum(count, dtype=np.int64)]
-    order = np.argsort(hashes, kind="stable")
-    hashes = hashes[order]
-    if len(hashes) > 1 and (hashes[1:] == hashes[:-1]).any():
+    hashes = np.concatenate(h)
+    if (hashes[1:] == hashes[:-1]).any():
         return None
-    # ids in the order of the hashes, so that one array of starts is enough
-    size = count[order]
-    to = np.r_[0, np.cumsum(size, dtype=np.int64)]
-    take = np.repeat(start[:-1][order] - to[:-1], size) + np.arange(len(ids))
-    return hashes, to.astype(np.uint32 if to[-1] < 2**32 else np.int64), ids[take]
+    start = np.r_[0, np.cumsum(np.concatenate(n), dtype=np.int64)]
+    return hashes, start.astype(np.uint32 if start[-1] < 2**32 else np.int64), np.concatenate(ids)
 
 
 def encode_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES, decoded: bool = False) -> DataFrame:
@@ -112,9 +122,9 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str
                 for text in part.column(1):
                     words = enc.words(text.as_py())
                     new = [w for w in dict.fromkeys(words) if w not in known]
-                    at = np.searchsorted(hashes, np.fromiter(map(_word_hash, new), np.uint64, len(new)))
+                    at = np.searchsorted(hashes, _hashes(new))
                     known.update(zip(new, (ids[x:y].tobytes() for x, y in zip(start[at].tolist(), start[at + 1].tolist()))))
-                    out.append(np.frombuffer(b"".join(map(known.__getitem__, words)), "<i4"))
+                    out.append(np.frombuffer(b"".join(map(known.__getitem__, words)), ids.dtype).astype(np.int32))
                     if len(known) > WORDS_HELD:
                         known.clear()
                 places = np.r_[0, np.cumsum([len(x) for x in out])].astype(np.int32)
