@@ -64,3 +64,35 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def lower_ascii(col):
     """A-Z to a-z; every other character stays."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+#: Rows of two or three numbers that are sent to every worker rather than shuffled, at most.
+BROADCAST_ROWS = 1_000_000
+
+
+def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Marks a side of a join for broadcast if a count shows that it has no more than ``rows`` (narrow) rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """id and component (the smallest id it is connected with) of every id in the edges (a, b).
+
+    Alternates large-star and small-star until the edges are stars around the smallest ids. Both are an aggregation
+    with partial minima and a join, so an id with very many edges isn't gathered anywhere; each round is written to the
+    shared folder.
+    """
+    edges = stored(edges.where("a <> b").selectExpr("greatest(a, b) as u", "least(a, b) as v").distinct())
+    before = None
+    while True:
+        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("low"))
+        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.greatest("v", "low").alias("u"), F.least("v", "low").alias("v")), F.struct("u", F.col("low").alias("v")))).alias("e")).select("e.u", "e.v")
+        edges = stored(small.where("u <> v").distinct())
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == before:
+            break
+        before = now
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, html_extraction, packing, quality, toxicity, url_filters
+from . import bpe, html_extraction, jaccard, packing, quality, toxicity, url_filters
 
-MODULES = (url_filters, html_extraction, quality, bpe, toxicity, packing)
+MODULES = (url_filters, jaccard, html_extraction, quality, bpe, toxicity, packing)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
