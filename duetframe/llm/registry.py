@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, html_extraction, jaccard, packing, quality, suffix_dedup, toxicity, url_filters
+from . import bpe, fingerprints, html_extraction, jaccard, license_scan, packing, quality, suffix_dedup, toxicity, url_filters
 
-MODULES = (url_filters, jaccard, html_extraction, fingerprints, quality, bpe, suffix_dedup, toxicity, packing)
+MODULES = (url_filters, jaccard, license_scan, html_extraction, fingerprints, quality, bpe, suffix_dedup, toxicity, packing)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
