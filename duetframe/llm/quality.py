@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, stored
+from .common import few, read, stored
 
 ORDER = 5
 #: Bits of a character in an n-gram's code; rarer characters (from 4096 on) share codes.
@@ -277,7 +277,7 @@ def judge_quality(scored: DataFrame, above: float = ABOVE, below: float = BELOW)
         q = F.col(f"q_{c}")
         spread = (q[2] - q[0]) / 1.349
         fits = fits & ((spread <= 0) | F.col(c).between(q[1] - below * spread, q[1] + above * spread))
-    return scored.join(limits, "lang", "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(fits, F.lit(True))).drop("q_char_nll", "q_word_nll")
+    return scored.join(few(limits), "lang", "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(fits, F.lit(True))).drop("q_char_nll", "q_word_nll")
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
