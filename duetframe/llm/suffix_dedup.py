@@ -381,6 +381,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return at.mapInArrow(cut, f"{shape}, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
 
 
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", **how) -> DataFrame:
+    """``docs`` with the bytes that remove_repeats keeps as text; of characters that a cut has split nothing stays.
+
+    chars_col, if there is such a column, is set to the new length. No row goes, even if its text is empty now. Nulls
+    stay null.
+    """
+    cut = remove_repeats(docs, id_col, text_col, **how)
+
+    def read_bytes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([k.decode("utf-8", "ignore") for k in b.column(b.num_columns - 1).to_pylist()], pa.string())], b.schema.names)
+
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    text = cut.select(*docs.columns, "kept").mapInArrow(read_bytes, f"{shape}, kept string")
+    new = {text_col: F.when(F.col(text_col).isNotNull(), F.col("kept"))}
+    if chars_col in docs.columns:
+        new[chars_col] = F.coalesce(F.length("kept").cast(docs.schema[chars_col].dataType), F.col(chars_col))
+    return text.withColumns(new).select(*docs.columns)
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     cut = remove_repeats(docs)
