@@ -2,61 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import read, stored
+
+__all__ = ["LOWER", "WORD", "connected_components", "few", "lower_ascii", "read", "shuffle_partitions", "stored"]
+
 #: Lower-casing of A-Z alone, for bytes.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: The words of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """One table of the folder, by Spark's own reader (the folder may be in a store that only Spark opens)."""
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not getattr(sc, "_duetframe_shared", None):
-        sc._duetframe_shared = "file://" + tempfile.mkdtemp(prefix="duetframe-")
-    return sc._duetframe_shared
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write the rows as Parquet into the shared folder and read them again.
-
-    This cuts the lineage: what reads the table later survives the loss of any executor. The files go when the
-    driver's process ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/duetframe-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _forget_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _forget_at_exit(spark: SparkSession, path: str) -> None:
-    def forget() -> None:
-        try:
-            jvm = spark.sparkContext._jvm
-            if jvm is not None:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session has ended before: nothing is left to ask
-            pass
-
-    atexit.register(forget)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
