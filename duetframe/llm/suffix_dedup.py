@@ -29,7 +29,7 @@ PIECE = 16
 #: Different contexts of a core that are compared in one task.
 MOST_CONTEXTS = 1_000
 #: Bytes of contexts that go into one transform, about.
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 600_000
 #: Bytes of a text that are taken at a time (texts may be longer).
 _SEGMENT = 1 << 20
 #: Hashes of shared cores that are sent to every worker, at most.
@@ -39,34 +39,38 @@ _C = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x
 
 @lru_cache(maxsize=1)
 def _tables():
-    """A random value for each byte; powers of an odd base and of its inverse modulo 2**64."""
-    byte = np.random.default_rng(20).integers(0, 1 << 63, 256, np.uint64)
-    base = 0x9E3779B97F4A7C15 | 1
-    power = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        p = np.full(_SEGMENT, b, np.uint64)
-        p[0] = 1
-        power.append(np.multiply.accumulate(p))
-    return byte, *power
+    """Twice: a random value for each byte, powers of an odd base and of its inverse modulo 2**64."""
+    rng, made = np.random.default_rng(20), []
+    for base in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
+        made.append(rng.integers(0, 1 << 63, 256, np.uint64))
+        for b in (base, pow(base, -1, 1 << 64)):
+            p = np.full(_SEGMENT, b, np.uint64)
+            p[0] = 1
+            made.append(np.multiply.accumulate(p))
+    return made
 
 
 def windows(data: bytes, length: int = MIN_LENGTH):
-    """Contexts of a text: first and last window start, place of the piece, hash of the core. Arrays of equal size."""
+    """Contexts of a text: first and last window start, hash of the core and two hashes of the context.
+
+    Hashes are polynomials modulo 2**64 over random values of the bytes; at the length of contexts (under 400 bytes) two
+    such values are as good as 128 random bits.
+    """
     parts = []
     step = _SEGMENT - length
     for at in range(0, max(1, len(data) - length + 1), step):
         got = _windows_of(np.frombuffer(data, np.uint8)[at : at + step + length - 1], length)
         if got is not None:
-            parts.append((got[0] + at, got[1] + at, got[2] + at, got[3]))
+            parts.append((got[0] + at, got[1] + at, *got[2:]))
     if not parts:
-        return tuple(np.empty(0, np.int64) for _ in range(4))
+        return tuple(np.empty(0, np.int64) for _ in range(5))
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 def _windows_of(x: np.ndarray, length: int):
     if len(x) < length:
         return None
-    byte, power, inverse = _tables()
+    byte, power, inverse, byte2, power2, inverse2 = _tables()
     t = byte[x]
     h = t
     for s in (1, 2, 4, 8):
@@ -91,24 +95,35 @@ def _windows_of(x: np.ndarray, length: int):
     sums = np.r_[np.uint64(0), np.cumsum(t * power[: len(t)])]
     core = (sums[right] - sums[left]) * inverse[left]
     core = (core ^ (core >> np.uint64(32)) ^ np.where(e, _C[1], _C[2])) * _C[0]
-    return first, last, p, (core ^ (core >> np.uint64(29))).view(np.int64)
+    core = (core ^ (core >> np.uint64(29))).view(np.int64)
+    # equal contexts have their windows at equal places round the piece too
+    where = (p - first).astype(np.uint64) * _C[2]
+    end = last + length
+    one = ((sums[end] - sums[first]) * inverse[first] + where).view(np.int64)
+    sums = np.r_[np.uint64(0), np.cumsum(byte2[x] * power2[: len(t)])]
+    two = ((sums[end] - sums[first]) * inverse2[first] + (end - first).astype(np.uint64)).view(np.int64)
+    return first, last, core, one, two
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes in order of their first ``depth`` symbols at least (by doubling)."""
     n = len(text)
-    order = np.argsort(text, kind="stable")
-    rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(np.r_[False, text[order][1:] != text[order][:-1]])
-    h = 1
-    while h < depth and rank.max() < n - 1:
-        key = rank * (n + 1)
-        key[: n - h] += rank[h:] + 1
-        order = np.argsort(key, kind="stable")
+    bits = max(1, int(text.max() + 1).bit_length())
+    h = max(1, 62 // bits)
+    key = np.zeros(n, np.int64)
+    for i in range(h):  # the first h symbols in one number; past the end stands 0
+        key <<= bits
+        key[: n - i] += text[i:] + 1
+    while True:
+        order = np.argsort(key)
         key = key[order]
+        rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.r_[False, key[1:] != key[:-1]])
+        if h >= depth or rank[order[-1]] == n - 1:
+            return order
+        key = rank * (n + 1)
+        key[: n - h] += rank[h:] + 1
         h *= 2
-    return order
 
 
 def common_prefixes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,22 +135,19 @@ def common_prefixes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
     """
     n = len(text)
     order = suffix_order(text, length + 1)
-    bwt = text[order - 1]
-    back = np.empty(n, np.int64)  # where the suffix that is one symbol longer stands
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    back = place[order - 1]
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
+    back = place[order - 1]  # where the suffix that is one symbol longer to the left stands: all that is used of the transform
     first = text[order]
     known = np.zeros(n + 1, bool)
     known[0] = known[n] = True
     low, high = np.array([0]), np.array([n])
-    owner = np.empty(n, np.int64)
-    del bwt
+    owner = np.empty(n, np.int32)
     for _ in range(length):
         size = high - low
         at = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
         to = back[at]
-        owner[to] = np.repeat(np.arange(len(low)), size)
+        owner[to] = np.repeat(np.arange(len(low), dtype=np.int32), size)
         to.sort()
         cut = np.flatnonzero((to[1:] != to[:-1] + 1) | (owner[to[1:]] != owner[to[:-1]]) | (first[to[1:]] != first[to[:-1]]))
         start, end = to[np.r_[0, cut + 1]], to[np.r_[cut, len(to) - 1]] + 1
@@ -181,7 +193,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def cores(batches):
         for b in batches:
             for part in (b.slice(i, 500) for i in range(0, b.num_rows, 500)):
-                got = [windows(t.as_py().encode("utf-8", "surrogatepass"), length)[3] for t in part.column(2)]
+                got = [windows(t.as_py().encode("utf-8", "surrogatepass"), length)[2] for t in part.column(2)]
                 core, n = np.unique(np.concatenate(got), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(n.astype(np.int64))], ["core", "n"])
 
@@ -195,45 +207,39 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         asked = _with_cores(rows, cores_of=shared, length=length, kind=kind)
 
     def contexts(batches):
-        import xxhash
-
-        seen: set[bytes] = set()
+        seen: set[int] = set()
         for b in batches:
             for part in (b.slice(i, 250) for i in range(0, b.num_rows, 250)):
-                row, core, name, start, held = [], [], [], [], []
+                row, cols, held = [], [], []
                 for i, t in enumerate(part.column(2)):
                     data = t.as_py().encode("utf-8", "surrogatepass")
-                    if len(data) < length:
-                        continue
-                    first, last, piece, c = windows(data, length)
                     wanted = sent.value if sent is not None else np.sort(np.array(part.column(3)[i].as_py() or [], np.int64))
-                    if not len(wanted):
+                    if len(data) < length or not len(wanted):
                         continue
-                    k = np.minimum(np.searchsorted(wanted, c), len(wanted) - 1)
-                    for j in np.flatnonzero(wanted[k] == c).tolist():
-                        s, e = int(first[j]), int(last[j])
-                        context = data[s : e + length]
-                        digest = xxhash.xxh3_128_digest(context + b"%d" % (int(piece[j]) - s))
-                        row.append(i), core.append(int(c[j])), name.append(digest), start.append(s)
-                        held.append(None if digest in seen else context)
-                        seen.add(digest)
-                if len(seen) > 300_000:
+                    first, last, core, one, two = windows(data, length)
+                    k = wanted[np.minimum(np.searchsorted(wanted, core), len(wanted) - 1)] == core
+                    row.append(np.full(k.sum(), i))
+                    cols.append(np.stack([core[k], one[k], two[k], first[k]]))
+                    for name, s, e in zip(one[k].tolist(), first[k].tolist(), (last[k] + length).tolist()):
+                        held.append(None if name in seen else data[s:e])
+                        seen.add(name)
+                if len(seen) > 500_000:
                     seen.clear()
-                rows_at = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(rows_at), part.column(1).take(rows_at), pa.array(core, pa.int64()), pa.array(name, pa.binary()), pa.array(start, pa.int64()), pa.array(held, pa.binary())], ["doc_id", "key", "core", "name", "start", "context"])
+                if row:
+                    at = pa.array(np.concatenate(row))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *map(pa.array, np.concatenate(cols, 1)), pa.array(held, pa.binary())], ["doc_id", "key", "core", "one", "two", "start", "context"])
 
-    found = stored(asked.select("doc_id", "key", "text", *named).mapInArrow(contexts, f"doc_id {kind}, key bigint, core bigint, name binary, start bigint, context binary"))
-    entries = found.groupBy("name").agg(F.first("core").alias("core"), F.count("*").alias("n"), F.max("context").alias("context"))
-    entries = stored(entries)
+    found = stored(asked.select("doc_id", "key", "text", *named).mapInArrow(contexts, f"doc_id {kind}, key bigint, core bigint, one bigint, two bigint, start bigint, context binary"))
+    entries = stored(found.groupBy("core", "one", "two").agg(F.count("*").alias("n"), F.max("context").alias("context")))
     groups = entries.groupBy("core").agg(F.count("*").alias("contexts"))
     hot = groups.where(F.col("contexts") > most_contexts).select("core")
     crowded = not hot.isEmpty()
     usual = entries.join(F.broadcast(hot) if hot.count() < 100_000 else hot, "core", "left_anti") if crowded else entries
-    met = usual.repartition("core").sortWithinPartitions("core", "name").mapInArrow(_compare(length), "name binary, first int, last int")
+    met = usual.repartition("core").sortWithinPartitions("core", "one", "two").mapInArrow(_compare(length), _MET)
     if crowded:
         met = met.unionByName(_single_windows(entries.join(few(hot), "core", "left_semi"), length))
     met = stored(met)
-    at = found.select("doc_id", "key", "name", "start").join(met, "name")
+    at = found.select("doc_id", "key", *_NAME, "start").join(met, list(_NAME))
     at = at.select("doc_id", "key", (F.col("start") + F.col("first")).alias("s"), (F.col("start") + F.col("last") + length).alias("e"))
     lists = at.groupBy("doc_id", "key").agg(F.collect_set(F.struct("s", "e")).alias("at"))
 
@@ -251,6 +257,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return lists.mapInArrow(merge, f"doc_id {kind}, key bigint, spans binary")
 
 
+_NAME = ("core", "one", "two")
+_MET = "core bigint, one bigint, two bigint, first int, last int"
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
@@ -271,7 +281,7 @@ def _with_cores(rows: DataFrame, cores_of: DataFrame, length: int, kind: str) ->
     def each(batches):
         for b in batches:
             for part in (b.slice(i, 250) for i in range(0, b.num_rows, 250)):
-                got = [np.unique(windows(t.as_py().encode("utf-8", "surrogatepass"), length)[3]) for t in part.column(2)]
+                got = [np.unique(windows(t.as_py().encode("utf-8", "surrogatepass"), length)[2]) for t in part.column(2)]
                 at = pa.array(np.repeat(np.arange(len(got)), [len(g) for g in got]))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(np.concatenate(got))], ["doc_id", "key", "core"])
 
@@ -306,14 +316,15 @@ def _compare(length: int):
             return out
 
         def batch(rows):
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32())], ["name", "first", "last"])
+            names = [pa.array([r[0][i] for r in rows], pa.int64()) for i in range(3)]
+            return pa.RecordBatch.from_arrays([*names, pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32())], [*_NAME, "first", "last"])
 
         out = []
         for b in batches:
-            for name, c, n, context in zip(*(b.column(x).to_pylist() for x in ("name", "core", "n", "context"))):
-                if c != core:
+            for *name, n, context in zip(*(b.column(x).to_pylist() for x in (*_NAME, "n", "context"))):
+                if name[0] != core:
                     out += done(group)
-                    core, group = c, []
+                    core, group = name[0], []
                     if size > BATCH_BYTES:
                         out += settle()
                 group.append((name, n, context))
@@ -328,7 +339,7 @@ def _compare(length: int):
 
 
 def _single_windows(entries: DataFrame, length: int) -> DataFrame:
-    """name, first, last of the single windows of crowded cores that occur more than once."""
+    """As _compare, of the single windows of crowded cores that occur more than once."""
 
     def cut(batches):
         import xxhash
@@ -342,11 +353,11 @@ def _single_windows(entries: DataFrame, length: int) -> DataFrame:
                     first += range(n)
                     digest += [xxhash.xxh3_128_digest(c[j : j + length]) for j in range(n)]
                 at = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("name").take(at), part.column("n").take(at), pa.array(first, pa.int32()), pa.array(digest, pa.binary())], ["name", "n", "first", "window"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in _NAME), part.column("n").take(at), pa.array(first, pa.int32()), pa.array(digest, pa.binary())], [*_NAME, "n", "first", "window"])
 
-    cuts = entries.select("name", "n", "context").mapInArrow(cut, "name binary, n bigint, first int, window binary")
+    cuts = entries.select(*_NAME, "n", "context").mapInArrow(cut, "core bigint, one bigint, two bigint, n bigint, first int, window binary")
     twice = cuts.groupBy("window").agg(F.sum("n").alias("total")).where("total > 1").select("window")
-    return cuts.join(twice, "window").select("name", "first", F.col("first").alias("last"))
+    return cuts.join(twice, "window").select(*_NAME, "first", F.col("first").alias("last"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = MIN_LENGTH, spans: DataFrame | None = None, **how) -> DataFrame:
