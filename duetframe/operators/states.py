@@ -59,6 +59,11 @@ def permutation(n: int, seed: int) -> list[int]:
     return order
 
 
+def placed(df: DataFrame, order: str = "ord") -> DataFrame:
+    """Adds place, the row's number in order, from 0. One task sees the ordinals; for tables of tasks and states."""
+    return df.withColumn("place", (F.row_number().over(Window.orderBy(order)) - 1).cast("bigint"))
+
+
 def shuffled(df: DataFrame, seed: int, order: str = "ord") -> DataFrame:
     """Rows with the place (shuffled_at) that a seeded shuffle of their ordinals gives them.
 
@@ -67,8 +72,8 @@ def shuffled(df: DataFrame, seed: int, order: str = "ord") -> DataFrame:
     """
     n = df.count()
     table = df.sparkSession.createDataFrame([(was, now) for now, was in enumerate(permutation(n, seed))] or [(None, None)], "__was bigint, shuffled_at bigint")
-    nth = df.withColumn("__nth", F.row_number().over(Window.orderBy(order)) - 1)
-    return nth.join(table, nth["__nth"] == table["__was"]).drop("__nth", "__was")
+    nth = placed(df, order)
+    return nth.join(table, nth["place"] == table["__was"]).drop("place", "__was")
 
 
 def grid(tasks: DataFrame, temperatures: list[float], seed: int, rounds: int = 1, order: str = "ord", prefix: str = "traj") -> DataFrame:

@@ -67,7 +67,11 @@ def rollup(turns: DataFrame) -> DataFrame:
 def normalized(trajectories: DataFrame) -> DataFrame:
     """Fills what a trajectory row leaves open from its turns: tokens, plan, code, pass rate."""
     turns = F.col("turns")
-    sums = {c: F.aggregate(turns, F.lit(0).cast("bigint"), lambda a, t, c=c: a + F.coalesce(t[c], F.lit(0))) for c in ("plan_tokens", "code_tokens")}
+
+    def total(c: str) -> Column:
+        return F.aggregate(turns, F.lit(0).cast("bigint"), lambda a, t: a + F.coalesce(t[c], F.lit(0)))
+
+    sums = {c: total(c) for c in ("plan_tokens", "code_tokens")}
     said = F.coalesce("communication_tokens", F.lit(0)).cast("bigint")
     both = F.when((said == 0) & (F.size(turns) > 0), sums["plan_tokens"] + sums["code_tokens"]).otherwise(said)
     return trajectories.withColumns(

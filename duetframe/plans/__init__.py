@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from . import scoring
+from . import reports, scoring, texts, turns
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "scoring"]
+__all__ = ["ORACLES", "QUERIES", "reports", "scoring", "texts", "turns"]

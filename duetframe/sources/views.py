@@ -35,10 +35,10 @@ FROM (SELECT user_id, event_type, value, event_id, CAST(regexp_extract(props, '(
     "v_text": (
         ("documents", "labels"),
         """SELECT d.doc_id AS ord, d.source AS task_id, concat(CASE d.doc_id % 13 WHEN 0 THEN 'Estimated effort tokens: ' WHEN 1 THEN 'estimated total tokens = ' ELSE 'Steps ' END, d.n_chars % 900, ' ',
-  substr(d.text, 1, CASE WHEN d.doc_id % 5 = 0 THEN 40 ELSE 300 END),
+  d.text,
   CASE d.doc_id % 12 WHEN 0 THEN ' ```python x``` ' WHEN 1 THEN ' def solve (a)' WHEN 2 THEN ' assert x' WHEN 3 THEN ' some test cases' WHEN 4 THEN ' Here is the final code' WHEN 5 THEN ' corrected code: y'
    WHEN 6 THEN '\n  Code : z' WHEN 7 THEN ' python function' ELSE ' done' END) AS plan,
-  substr(d.text, 1, 120) AS rejected, coalesce(l.quality, 0) = 1 AS passed, l.quality IS NOT NULL AS has_metrics, d.n_chars % 11 / 10.0e0 AS pass_rate,
+  d.text AS rejected, coalesce(l.quality, 0) = 1 AS passed, l.quality IS NOT NULL AS has_metrics, d.n_chars % 11 / 10.0e0 AS pass_rate,
   d.n_chars % 97 / 100.0e0 AS utility_delta, d.n_chars % 31 / 10.0e0 AS weight, d.n_chars % 7 / 10.0e0 - 0.1e0 AS chosen_utility
 FROM {documents} d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM {labels} GROUP BY doc_id) l ON d.doc_id = l.doc_id""",
     ),
@@ -48,7 +48,7 @@ FROM {documents} d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM {label
   CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 4 = 1 THEN 'train' WHEN c_custkey % 4 = 2 THEN 'valid' ELSE 'test' END AS split,
   CAST(c_custkey % 700 AS INT) AS prompt_tokens, CAST(abs(floor(c_acctbal)) AS INT) % 900 AS test_tokens, CAST(c_custkey % 50 AS INT) AS plan_tokens,
   CASE WHEN c_custkey % 5 > 1 THEN CAST(c_custkey % 1000 AS INT) END AS stated_effort
-FROM {customer} WHERE c_custkey % 10 <> 0""",
+FROM {customer}""",
     ),
     "v_cand": (
         ("lineitem",),
@@ -60,7 +60,7 @@ FROM (SELECT concat('s', l_suppkey, '_', l_orderkey % 97) AS state_id, concat('u
     ),
     "v_msg": (
         ("conversations",),
-        """SELECT conv_id, turn, CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE role END AS sender, role, substr(text, 1, 60) AS content FROM {conversations}""",
+        """SELECT conv_id, turn, CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE role END AS sender, role, text AS content FROM {conversations}""",
     ),
     "v_run": (
         ("part",),
