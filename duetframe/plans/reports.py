@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import generate
 from ..operators import pairs as pr
 from ..operators import stats as st
 from ..operators import turns as tr
@@ -133,3 +134,35 @@ def run_status(spark, d):
 def pairs_by_round(spark, d):
     p = pr.gated(gated_rows(spark, d).drop("pass_rate_delta"), FOLLOW)
     return p.groupBy(F.col("chosen.round").alias("round")).agg(F.count("*").alias("pairs"), R6(F.avg("utility_delta")).alias("mean_delta"), F.min(F.col("pass_rate_delta") >= 0.1).alias("gated"))
+
+
+_METHODS = ", ".join(f"('{m}')" for m in generate.METHODS)
+
+
+@query(with_views("v_gen") + f""", m(method) AS (VALUES {_METHODS}),
+a AS (SELECT method, g.*, max(CASE WHEN call = 0 AND passed THEN 1 ELSE 0 END) OVER (PARTITION BY method, task_id) AS first_passed FROM v_gen g, m),
+u AS (SELECT * FROM a WHERE CASE method WHEN 'direct_prompt' THEN call = 0 WHEN 'cot' THEN call = 0 WHEN 'self_consistency_3' THEN call < 3 WHEN 'self_repair' THEN call = 0 OR (call = 1 AND first_passed = 0) WHEN 'mad' THEN call < 4 ELSE call < 2 OR (call = 2 AND first_passed = 0) END),
+t AS (SELECT *, sum(prompt_tokens + completion_tokens) OVER (PARTITION BY method, task_id ORDER BY call) AS spent, prompt_tokens + completion_tokens AS own FROM u),
+c AS (SELECT *, CAST(CASE WHEN method = 'self_consistency_3' THEN own ELSE spent END AS BIGINT) AS tokens FROM t WHERE NOT (method = 'mad' AND call < 3) AND NOT (method = 'agentcoder' AND call = 1)),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY method, task_id ORDER BY pass_rate DESC, passed DESC, tokens, call) = 1),
+s AS (SELECT method, task_id, count(*) AS num_generations, CAST(sum(own) AS BIGINT) AS total_tokens FROM t GROUP BY 1, 2)
+SELECT s.method, s.task_id, num_generations, total_tokens, b.call AS selected_call, b.pass_rate, b.passed FROM s JOIN b USING (method, task_id)""")
+def baseline_methods(spark, d):
+    return generate.baselines(view(spark, d, "v_gen"))
+
+
+@query(with_views("v_turn") + """, b AS (SELECT *, coalesce(max(pass_rate) OVER (PARTITION BY trajectory_id ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS bb, sum(passed::INT) OVER (PARTITION BY trajectory_id ORDER BY round) - passed::INT AS earlier FROM v_turn),
+k AS (SELECT *, least(0.04, 0.05 * greatest(0.0, pass_rate - bb)) AS inc FROM b WHERE earlier = 0),
+g AS (SELECT trajectory_id, max(round) AS rounds, CAST(sum(plan_tokens + code_tokens) AS BIGINT) AS communication_tokens, sum(inc) AS incentive_total, arg_max(pass_rate, round) AS pass_rate, bool_or(passed) AS passed FROM k GROUP BY 1)
+SELECT trajectory_id, rounds, communication_tokens, round(incentive_total, 6) AS incentive_total, round(pass_rate, 6) AS pass_rate, passed, round(pass_rate - 0.02 * rounds - 0.00001 * communication_tokens - incentive_total, 6) AS leader_utility FROM g""")
+def interaction_replay(spark, d):
+    t = generate.replayed_trajectories(view(spark, d, "v_turn"), 0.05, 0.04, U)
+    return t.select("trajectory_id", "rounds", "communication_tokens", R6(F.col("incentive_total")).alias("incentive_total"), R6(F.col("pass_rate")).alias("pass_rate"), "passed", R6(F.col("leader_utility")).alias("leader_utility"))
+
+
+@query(with_views("v_run") + """ SELECT variant, setting, count(*) AS num_tasks, count(*) FILTER (final_passed > 8) AS final_passed, round(count(*) FILTER (final_passed > 8) / count(*), 6) AS final_pass_rate, round(avg(assert_rate), 6) AS avg_assert_pass_rate, round(avg(tokens), 6) AS avg_total_tokens,
+ round(avg(assert_rate) - 0.02 * avg(budget % 4) - 0.00001 * avg(tokens), 6) AS leader_utility FROM v_run GROUP BY variant, setting""")
+def ablation_table(spark, d):
+    n, p = F.count("*"), F.count_if(F.col("final_passed") > 8)
+    u = F.avg("assert_rate") - U.lambda_round * F.avg(F.col("budget") % 4) - U.lambda_token * F.avg("tokens")
+    return view(spark, d, "v_run").groupBy("variant", "setting").agg(n.alias("num_tasks"), p.alias("final_passed"), R6(st.rate(p, n)).alias("final_pass_rate"), R6(F.avg("assert_rate")).alias("avg_assert_pass_rate"), R6(F.avg("tokens")).alias("avg_total_tokens"), R6(u).alias("leader_utility"))

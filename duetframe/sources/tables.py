@@ -3,17 +3,35 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of the folder, by Spark's own reader (the folder may be in a store that only Spark opens)."""
+    ship_code(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Gives the workers this package, once for each session: they needn't have it installed or start where it lies."""
+    sc = spark.sparkContext
+    if getattr(sc, "_duetframe_shipped", False):
+        return
+    root = Path(__file__).resolve().parent.parent
+    path = os.path.join(tempfile.mkdtemp(prefix="duetframe-"), f"{root.name}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(path)
+    sc._duetframe_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
     sc = spark.sparkContext
@@ -32,6 +50,7 @@ def stored(df: DataFrame) -> DataFrame:
     driver's process ends.
     """
     spark = df.sparkSession
+    ship_code(spark)
     path = f"{shared_dir(spark)}/duetframe-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _forget_at_exit(spark, path)

@@ -62,6 +62,12 @@ FROM (SELECT concat('s', l_suppkey, '_', l_orderkey % 97) AS state_id, concat('u
         ("conversations",),
         """SELECT conv_id, turn, CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE role END AS sender, role, text AS content FROM {conversations}""",
     ),
+    "v_gen": (
+        ("lineitem",),
+        """SELECT task_id, call, prompt_tokens, completion_tokens, pass_rate, pass_rate >= 0.8e0 AS passed, concat('def f', call, '(x): return ', prompt_tokens) AS text
+FROM (SELECT concat('t', l_orderkey) AS task_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1 AS INT) AS call,
+  CAST(l_quantity AS INT) AS prompt_tokens, CAST(l_quantity AS INT) * 2 AS completion_tokens, round(l_discount * 10, 4) AS pass_rate FROM {lineitem}) a""",
+    ),
     "v_run": (
         ("part",),
         """SELECT p_partkey AS ord, CASE p_partkey % 5 WHEN 0 THEN 'direct_prompt' WHEN 1 THEN 'self_consistency_3' WHEN 2 THEN 'self_repair' WHEN 3 THEN 'agentcoder' ELSE 'other' END AS method,
