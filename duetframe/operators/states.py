@@ -38,9 +38,6 @@ def selected(states: DataFrame, limit: int, order: str = "ord", prefer_repair: b
         states = states.withColumn("__quota", F.when(repair, nth <= (most_repair or 0)).otherwise(nth <= (most_first or 0)))
         stage = F.when(F.col("__quota") & ~repair, 0).when(F.col("__quota"), 1).otherwise(2)
         rank = [stage, F.when(F.col("__quota"), 0).otherwise(first), F.col(order)]
-        quota = (most_first or 0) + (most_repair or 0)
-        if quota >= limit:
-            states = states.where("__quota or true")
     top = states.withColumns({f"__r{i}": r for i, r in enumerate(rank)}).orderBy(*(f"__r{i}" for i in range(len(rank)))).limit(limit)
     out = top.withColumn("selected_at", F.row_number().over(Window.orderBy(*(f"__r{i}" for i in range(len(rank))))).cast("bigint"))
     return out.drop("__quota", *(f"__r{i}" for i in range(len(rank))))
