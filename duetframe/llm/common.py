@@ -54,3 +54,29 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         before = now
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def lean(f):
+    """A function over record batches that gives its memory back when it has gone through them.
+
+    Workers are used again for other tasks and stages; without this each keeps the most it ever took.
+    """
+
+    def run(batches):
+        yield from f(batches)
+        give_back()
+
+    return run
+
+
+def give_back() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of Linux has it
+    if trim:
+        trim(0)

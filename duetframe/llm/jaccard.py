@@ -1,7 +1,7 @@
 """N-gram Jaccard join by a token-group matrix.
 
 Documents with the same set of shingles are one class. Classes are put into groups of similar ones: each shares some of
-its rarest shingles with the smallest class that has them, and if the two are similar they are in one group. The matrix
+its rarest shingles with the most central class that has them, and if the two are similar they are in one group. The matrix
 holds, for every shingle that decides, which groups have it; with each group goes the union of its members' shingles.
 A class is held against the groups of other clusters that the matrix finds for it: a group is opened only if the class
 has enough shingles in common with the union, and then compared with its members one by one.
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, connected_components, few, read, stored
+from .common import LOWER, connected_components, few, lean, read, stored
 
 #: Counters of the table of shingle frequencies, as a power of two, and the parts it is added up in.
 COUNTER_BITS, COUNTER_PARTS = 20, 64
@@ -91,7 +91,7 @@ def _scan(rows: DataFrame, k: int) -> DataFrame:
             none = pa.nulls(COUNTER_PARTS, pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(range(COUNTER_PARTS), pa.int32()), pa.array([c.tobytes() for c in np.split(counts, COUNTER_PARTS)], pa.binary())], ["doc_id", "key", "n", "hi", "lo", "part", "counts"])
 
-    return rows.mapInArrow(scan, "doc_id bigint, key bigint, n bigint, hi bigint, lo bigint, part int, counts binary")
+    return rows.mapInArrow(lean(scan), "doc_id bigint, key bigint, n bigint, hi bigint, lo bigint, part int, counts binary")
 
 
 def _frequency_classes(scanned: DataFrame) -> np.ndarray:
@@ -106,7 +106,7 @@ def _frequency_classes(scanned: DataFrame) -> np.ndarray:
         for part, c in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.log2(1 + c).astype(np.uint8).tobytes()], pa.binary())], ["part", "level"])
 
-    parts = scanned.where("part is not null").select("part", "counts").repartition("part").mapInArrow(add, "part int, level binary")
+    parts = scanned.where("part is not null").select("part", "counts").repartition("part").mapInArrow(lean(add), "part int, level binary")
     levels = np.zeros((COUNTER_PARTS, (1 << COUNTER_BITS) // COUNTER_PARTS), np.uint8)
     for r in parts.collect():
         levels[r.part] = np.frombuffer(r.level, np.uint8)
@@ -114,31 +114,30 @@ def _frequency_classes(scanned: DataFrame) -> np.ndarray:
 
 
 def _keys(reps: DataFrame, levels, k: int, percent: int) -> DataFrame:
-    """token, id, n, first of the shingles by which a set can be found; first: also as the smaller of two."""
+    """token, id, n, at: the first shingles of each set in the common order (at: their places), by which it can be found."""
 
     def keys(batches):
         known, level = _Words(), levels.value
         for b in batches:
             for part in (b.slice(i, 500) for i in range(0, b.num_rows, 500)):
-                token, row, size, first = [], [], [], []
+                token, row, size, place = [], [], [], []
                 for i, text in enumerate(part.column(1)):
                     t = shingle_hashes(text.as_py(), k, known)
                     n = len(t)
                     if n * (100 - percent) < percent:  # no other set is similar to so small a one
                         continue
                     probe = n - -(-percent * n // 100) + 1
-                    index = n - -(-2 * percent * n // (100 + percent)) + 1
                     rank = level[_counter(t)]
                     t = t[np.lexsort((t, rank))[:probe]]
                     token.append(t)
                     row.append(np.full(len(t), i))
                     size.append(np.full(len(t), n))
-                    first.append(np.arange(len(t)) < index)
+                    place.append(np.arange(len(t)))
                 if token:
-                    row, size, first = map(np.concatenate, (row, size, first))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token)), part.column(0).take(pa.array(row)), pa.array(size.astype(np.int32)), pa.array(first)], ["token", "id", "n", "first"])
+                    row, size, place = map(np.concatenate, (row, size, place))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token)), part.column(0).take(pa.array(row)), pa.array(size.astype(np.int32)), pa.array(place.astype(np.int32))], ["token", "id", "n", "at"])
 
-    return reps.mapInArrow(keys, "token bigint, id bigint, n int, first boolean")
+    return reps.mapInArrow(lean(keys), "token bigint, id bigint, n int, at int")
 
 
 def _sets(texts: DataFrame, k: int) -> DataFrame:
@@ -153,7 +152,7 @@ def _sets(texts: DataFrame, k: int) -> DataFrame:
                 at = pa.array(np.r_[0, np.cumsum([len(g) for g in got])].astype(np.int32))
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in extra), pa.ListArray.from_arrays(at, pa.array(np.concatenate(got)))], [*(f.name for f in extra), "tokens"])
 
-    return texts.mapInArrow(sets, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in extra) + ", tokens array<bigint>")
+    return texts.mapInArrow(lean(sets), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in extra) + ", tokens array<bigint>")
 
 
 def _similar(a, b, percent: int):
@@ -193,8 +192,10 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
         asked = few(classes.select("node", "at_id", "at_key").join(nodes, "node"))
         return rows.join(asked, rows.doc_id.eqNullSafe(asked.at_id) & (rows.key == asked.at_key)).select(*nodes.columns, "text")
 
-    keys = _keys(texts_of(classes.where(F.col("n") >= smallest).select("node")), levels, k, percent)
-    pivots = keys.groupBy("token").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot <> top").select("token", "pivot")
+    keys = stored(_keys(texts_of(classes.where(F.col("n") >= smallest).select("node")), levels, k, percent))
+    # the set in which the shingle stands foremost has the fewest shingles of its own: it is in the middle of the others
+    pivots = keys.groupBy("token").agg(F.min_by("id", "at").alias("pivot"), F.min("id").alias("low"), F.max("id").alias("top"))
+    pivots = pivots.where("low <> top").select("token", "pivot")
     shared = stored(keys.join(pivots, "token"))
     near = stored(_near_pivots(shared, texts_of, k, percent))
     clusters = connected_components(near)
@@ -225,26 +226,41 @@ def _near_pivots(shared: DataFrame, texts_of, k: int, percent: int) -> DataFrame
 
 
 def _links_across(shared: DataFrame, clusters: DataFrame, texts_of, k: int, percent: int) -> DataFrame:
-    """All links (a, b) between classes of different clusters, by the token-group matrix.
+    """All links (a, b) between classes of different clusters, by the token-group matrix; a is no smaller than b.
 
-    If P and Q are the first shingles kept of sets A and B, |A & B| <= |P & Q| + max(|A - P|, |B - Q|): whichever of P
-    and Q ends first in the common order holds all that both sets have up to there. A group's row of the matrix stands
-    for the Q of each member.
+    Which groups to look at: if the first shingle that two sets have in common stands at places p and q of the common
+    order, they have at most min(|A| - p, |B| - q) in common, so it must stand early in both. How much a class can have
+    in common with a group: if P and Q are the shingles kept of A and B, |A & B| <= |P & Q| + max(|A - P|, |B - Q|),
+    as whichever of P and Q ends first in the common order holds all that both sets have up to there. A group's part of
+    the matrix stands for the Q of each of its members.
     """
     sizes = clusters.groupBy("component").agg(F.count("*").alias("members"))
     at = clusters.join(sizes, "component").select("id", "component", F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / GROUP_SIZE)).alias("chunk"))
-    placed = shared.drop("pivot").distinct().join(at, "id", "left").select("token", "id", "n", "first", F.coalesce("component", "id").alias("cluster"), F.coalesce("chunk", F.lit(0)).alias("chunk"))
+    placed = shared.drop("pivot").distinct().join(at, "id", "left").select("token", "id", "n", "at", F.coalesce("component", "id").alias("cluster"), F.coalesce("chunk", F.lit(0)).alias("chunk"))
     mixed = placed.groupBy("token").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low <> high").select("token")
     placed = stored(placed.join(mixed, "token"))
-    matrix = placed.groupBy("token", "cluster", "chunk").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("first").alias("first"))
-    query = placed.select("token", F.col("id").alias("a"), F.col("n").alias("size"), F.col("cluster").alias("of"))
-    met = query.join(matrix, "token").where((F.col("of") != F.col("cluster")) & (F.col("least") <= F.col("size")) & (100 * F.col("most") >= percent * F.col("size")))
-    met = met.groupBy("a", "size", "cluster", "chunk").agg(F.count("*").alias("common"), F.min("least").alias("least"), F.max("first").alias("first"))
+
+    def common(size, other):
+        return _at_least(percent * (size + other), 100 + percent)
+
+    query = placed.select("token", F.col("id").alias("a"), F.col("n").alias("size"), F.col("at").alias("p"), F.col("cluster").alias("of"))
     own = _at_least(percent * F.col("size"), 100)
-    needed = _at_least(percent * (F.col("size") + F.greatest("least", own)), 100 + percent) - own + 1
-    opened = stored(met.where(F.col("first") & (F.col("common") >= needed)).select("a", "size", "cluster", "chunk"))
+    other = F.greatest(F.col("least"), own)
+    # places that are early enough for a partner of the same size or a larger one
+    early = placed.where(F.col("at") <= F.col("n") - common(F.col("n"), F.col("n")))
+    of_clusters = early.groupBy("token", "cluster").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("at")).alias("rest"))
+    fits = (F.col("of") != F.col("cluster")) & (F.col("least") <= F.col("size")) & (F.col("most") >= own)
+    fits = fits & (F.least(F.col("size") - F.col("p"), F.col("rest")) >= common(F.col("size"), other))
+    near = query.where(F.col("p") <= F.col("size") - own).join(of_clusters, "token").where(fits).select("a", "cluster").distinct()
+    near = stored(near)
+    # a row of the matrix: which of the shingles that decide the group has
+    matrix = placed.groupBy("cluster", "chunk").agg(F.collect_set("token").alias("union"), F.min("n").alias("least"), F.max("n").alias("most"))
+    asked = placed.groupBy(F.col("id").alias("a")).agg(F.collect_list("token").alias("kept"), F.first("n").alias("size"))
+    met = near.join(matrix, "cluster").join(asked, "a").where((F.col("least") <= F.col("size")) & (F.col("most") >= own))
+    enough = F.size(F.array_intersect("kept", "union")) >= common(F.col("size"), other) - own + 1
+    opened = met.where(enough).select("a", "size", "cluster", "chunk")
     inside = placed.select("cluster", "chunk", F.col("id").alias("b"), "n").distinct()
-    pairs = stored(opened.join(inside, ["cluster", "chunk"]).where((F.col("n") <= F.col("size")) & (100 * F.col("n") >= percent * F.col("size"))).select("a", "b").distinct())
+    pairs = stored(opened.join(inside, ["cluster", "chunk"]).where((F.col("n") <= F.col("size")) & (F.col("n") >= own)).select("a", "b").distinct())
     left = _sets(texts_of(pairs.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("with"))), k).select(F.col("node").alias("a"), F.explode("with").alias("b"), F.col("tokens").alias("left"))
     right = _sets(texts_of(pairs.select(F.col("b").alias("node")).distinct()), k).select(F.col("node").alias("b"), F.col("tokens").alias("right"))
     return left.join(right, "b").where(_similar(F.col("left"), F.col("right"), percent)).select("a", "b").distinct()
