@@ -54,6 +54,7 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/duetframe-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _forget_at_exit(spark, path)
+    spark.sparkContext._jvm.System.gc()  # shuffle files of what has been written go only when the driver collects its garbage
     return spark.read.schema(df.schema).parquet(path)
 
 
