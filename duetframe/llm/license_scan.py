@@ -52,6 +52,11 @@ def _min_of(hashes: Column, band: int) -> Column:
     return F.array_min(F.transform(hashes, lambda x: F.xxhash64(x, F.lit(band))))
 
 
+def _lowest_of(hashes: Column, band: int) -> Column:
+    """The shingle that _min_of takes the hash of."""
+    return F.array_min(F.transform(hashes, lambda x: F.struct(F.xxhash64(x, F.lit(band)).alias("h"), x.alias("x"))))["x"]
+
+
 def window_size(shingles: int) -> int:
     return shingles + shingles // 4
 
@@ -67,7 +72,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
     spark = docs.sparkSession
     templates = TEMPLATES if templates is None else templates
     table = spark.createDataFrame(list(templates.items()) or [("", "")], "template string, text string").select("template", F.array_distinct(shingle_hashes(F.col("text"))).alias("own"))
-    mins = [F.array_min(F.transform("own", lambda x, b=b: F.struct(F.xxhash64(x, F.lit(b)).alias("h"), x.alias("x"))))["x"] for b in range(BANDS)]
+    mins = [_lowest_of(F.col("own"), b) for b in range(BANDS)]
     known = table.select("template", "own", F.array(*mins).alias("lowest")).collect() if templates else []  # as many as were given
     if any(not r.own for r in known):
         raise ValueError(f"templates of fewer than {K} words: {[r.template for r in known if not r.own]}")

@@ -42,3 +42,19 @@ def test_equals_brute_force(spark):
     assert scan_licenses(df.limit(0)).collect() == [] and scan_licenses(df, {}).collect() == []
     with pytest.raises(ValueError):
         scan_licenses(df, {"short": "too few"})
+
+
+def test_edited_templates_are_retrieved(spark):
+    """Long templates with words changed: retrieval must find every one that is still contained enough."""
+    import random
+
+    rng = random.Random(3)
+    long = {f"t{i}": " ".join(f"w{rng.randrange(4000)}" for _ in range(60)) for i in range(6)}
+    rows = []
+    for i in range(60):
+        w = long[f"t{i % 6}"].split()
+        for _ in range(i % 3):
+            w[rng.randrange(len(w))] = "changed"
+        rows.append((i, " ".join(["x y z"] * rng.randrange(9) + w + ["q r s t u"] * rng.randrange(9))))
+    got = {tuple(r) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), long).collect()}
+    assert got == brute(rows, long) and len(got) > 40
