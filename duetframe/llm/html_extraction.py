@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import lean, read
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -284,7 +284,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([main_text(h.as_py()) for h in part.column(2)], pa.string())], ["page_id", "url", "text"])
 
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return rows.mapInArrow(run, f"page_id {kinds[0]}, url {kinds[1]}, text string")
+    return rows.mapInArrow(lean(run), f"page_id {kinds[0]}, url {kinds[1]}, text string")
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, stored
+from .common import lean, read, stored
 from .tokens import codec, default_path
 
 CAPACITY = 2048
@@ -49,7 +49,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CA
                     at, k = at + size, k + 1
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, _PIECES.format(kind=kind))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(cut), _PIECES.format(kind=kind))
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
@@ -138,7 +138,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECE
         # by place in the stored table, so that rows that repeat are spread like any others
         key = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(number)), F.lit(parts)).cast("int")
         dealt = left.withColumn("part", key).repartitionById(parts, F.col("part"))
-        packed = stored(dealt.sortWithinPartitions("doc_id", "piece", "ids_crc32").mapInArrow(run, f"{shape}, sequence_id bigint, offset bigint, settled boolean"))
+        packed = stored(dealt.sortWithinPartitions("doc_id", "piece", "ids_crc32").mapInArrow(lean(run), f"{shape}, sequence_id bigint, offset bigint, settled boolean"))
         done.append(packed.where("settled").drop("settled"))
         if last_round:
             break

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few, read, stored
+from .common import few, lean, read, stored
 
 ORDER = 5
 #: Bits of a character in an n-gram's code; rarer characters (from 4096 on) share codes.
@@ -26,7 +26,7 @@ MOST_REPEATED_PERCENT = 50
 #: Largest model that is sent to every worker, in bytes of its arrays.
 BROADCAST_BYTES = 96 << 20
 #: Characters that a task takes at a time.
-_CHUNK = 3_000_000
+_CHUNK = 1_000_000
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -109,7 +109,7 @@ def count_ngrams(texts: DataFrame) -> DataFrame:
             code, n = merged(held, held_n)
             yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
 
-    return texts.mapInArrow(count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(lean(count), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def _discounts(counts: DataFrame) -> list[float]:
@@ -202,7 +202,7 @@ def _sorted_model(model: DataFrame) -> SortedModel:
                     k = there & (size == s)
                     yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([kind]), pa.array([code[k].tobytes()], pa.binary()), pa.array([value[k].tobytes()], pa.binary())], ["size", "kind", "code", "value"])
 
-    return SortedModel(model.mapInArrow(packed, "size int, kind string, code binary, value binary").collect())
+    return SortedModel(model.mapInArrow(lean(packed), "size int, kind string, code binary, value binary").collect())
 
 
 _SCORED = ", ".join(f"{c} bigint" for c in BASE) + ", n_grams bigint, nll double"
@@ -244,7 +244,7 @@ def score_quality(docs: DataFrame, model: DataFrame | None = None, id_col: str =
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "lang", "key", *BASE, "n_grams", "nll"])
                 at = end
 
-    scored = rows.mapInArrow(base_and_score, f"doc_id {kind}, lang string, key bigint, {_SCORED}")
+    scored = rows.mapInArrow(lean(base_and_score), f"doc_id {kind}, lang string, key bigint, {_SCORED}")
     return scored if small else _score_by_shuffle(rows, scored, model, kind)
 
 
@@ -257,7 +257,7 @@ def _score_by_shuffle(rows: DataFrame, scored: DataFrame, model: DataFrame, kind
                 code, n = np.unique(ngram_codes(b.column(1)[i].as_py()), return_counts=True)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i] * len(code), pa.int64())), pa.array(code), pa.array(n)], ["key", "code", "n"])
 
-    grams = rows.select("key", "text").dropDuplicates(["key"]).mapInArrow(split, "key bigint, code bigint, n bigint")
+    grams = rows.select("key", "text").dropDuplicates(["key"]).mapInArrow(lean(split), "key bigint, code bigint, n bigint")
     nll = grams.join(model.where(f"size = {ORDER} and lp is not null").select("code", "lp"), "code").groupBy("key").agg(F.sum(-F.col("n") * F.col("lp")).alias("nll"))
     return scored.drop("nll").join(nll, "key", "left").select("doc_id", "lang", "key", *BASE, "n_grams", F.coalesce("nll", F.lit(0.0)).alias("nll"))
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few, read, stored
+from .common import few, lean, read, stored
 
 MIN_LENGTH = 200
 #: Bytes of the piece that names a window.
@@ -197,7 +197,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 core, n = np.unique(np.concatenate(got), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(n.astype(np.int64))], ["core", "n"])
 
-    shared = rows.mapInArrow(cores, "core bigint, n bigint").groupBy("core").agg(F.sum("n").alias("n")).where("n > 1").select("core")
+    shared = rows.mapInArrow(lean(cores), "core bigint, n bigint").groupBy("core").agg(F.sum("n").alias("n")).where("n > 1").select("core")
     shared = stored(shared)
     if shared.count() <= broadcast_cores:
         sent = rows.sparkSession.sparkContext.broadcast(_collected(shared))
@@ -229,13 +229,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     at = pa.array(np.concatenate(row))
                     yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *map(pa.array, np.concatenate(cols, 1)), pa.array(held, pa.binary())], ["doc_id", "key", "core", "one", "two", "start", "context"])
 
-    found = stored(asked.select("doc_id", "key", "text", *named).mapInArrow(contexts, f"doc_id {kind}, key bigint, core bigint, one bigint, two bigint, start bigint, context binary"))
+    found = stored(asked.select("doc_id", "key", "text", *named).mapInArrow(lean(contexts), f"doc_id {kind}, key bigint, core bigint, one bigint, two bigint, start bigint, context binary"))
     entries = stored(found.groupBy("core", "one", "two").agg(F.count("*").alias("n"), F.max("context").alias("context")))
     groups = entries.groupBy("core").agg(F.count("*").alias("contexts"))
     hot = groups.where(F.col("contexts") > most_contexts).select("core")
     crowded = not hot.isEmpty()
     usual = entries.join(F.broadcast(hot) if hot.count() < 100_000 else hot, "core", "left_anti") if crowded else entries
-    met = usual.repartition("core").sortWithinPartitions("core", "one", "two").mapInArrow(_compare(length), _MET)
+    met = usual.repartition("core").sortWithinPartitions("core", "one", "two").mapInArrow(lean(_compare(length)), _MET)
     if crowded:
         met = met.unionByName(_single_windows(entries.join(few(hot), "core", "left_semi"), length))
     met = stored(met)
@@ -254,7 +254,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out.append(np.column_stack([pairs[new, 0], reach[np.r_[new[1:], len(pairs)] - 1]]).astype("<i8").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["doc_id", "key", "spans"])
 
-    return lists.mapInArrow(merge, f"doc_id {kind}, key bigint, spans binary")
+    return lists.mapInArrow(lean(merge), f"doc_id {kind}, key bigint, spans binary")
 
 
 _NAME = ("core", "one", "two")
@@ -271,7 +271,7 @@ def _collected(shared: DataFrame) -> np.ndarray:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_numpy().tobytes()], pa.binary())], ["h"])
 
-    parts = [np.frombuffer(r.h, np.int64) for r in shared.mapInArrow(packed, "h binary").collect()]
+    parts = [np.frombuffer(r.h, np.int64) for r in shared.mapInArrow(lean(packed), "h binary").collect()]
     return np.sort(np.concatenate(parts)) if parts else np.empty(0, np.int64)
 
 
@@ -285,7 +285,7 @@ def _with_cores(rows: DataFrame, cores_of: DataFrame, length: int, kind: str) ->
                 at = pa.array(np.repeat(np.arange(len(got)), [len(g) for g in got]))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(np.concatenate(got))], ["doc_id", "key", "core"])
 
-    own = rows.mapInArrow(each, f"doc_id {kind}, key bigint, core bigint").distinct().join(cores_of, "core")
+    own = rows.mapInArrow(lean(each), f"doc_id {kind}, key bigint, core bigint").distinct().join(cores_of, "core")
     lists = own.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.collect_list("core").alias("cores"))
     return rows.join(lists, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key"))).select("doc_id", "key", "text", "cores")
 
@@ -355,14 +355,16 @@ def _single_windows(entries: DataFrame, length: int) -> DataFrame:
                 at = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in _NAME), part.column("n").take(at), pa.array(first, pa.int32()), pa.array(digest, pa.binary())], [*_NAME, "n", "first", "window"])
 
-    cuts = entries.select(*_NAME, "n", "context").mapInArrow(cut, "core bigint, one bigint, two bigint, n bigint, first int, window binary")
+    cuts = entries.select(*_NAME, "n", "context").mapInArrow(lean(cut), "core bigint, one bigint, two bigint, n bigint, first int, window binary")
     twice = cuts.groupBy("window").agg(F.sum("n").alias("total")).where("total > 1").select("window")
     return cuts.join(twice, "window").select(*_NAME, "first", F.col("first").alias("last"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = MIN_LENGTH, spans: DataFrame | None = None, **how) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = MIN_LENGTH, spans: DataFrame | None = None, as_text: bool = False, **how) -> DataFrame:
     """All columns of every row, and kept (the bytes that stay, put together), n_bytes, n_removed and n_spans.
 
+    as_text: kept is a string; of characters that a cut has split nothing stays.
+
     Texts are UTF-8 bytes; null counts as empty; strings are judged on the input, not on what is left. Rows that repeat
     are copies of each other. An empty table gives an empty one.
     """
@@ -386,10 +388,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept.append(b"".join(data[x:y] for x, y in zip(edge[::2], edge[1::2])) if pairs else data)
                 gone.append(len(data) - len(kept[-1]))
                 runs.append(len(pairs))
-            yield pa.RecordBatch.from_arrays([*b.columns[: k - 2], pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (size, gone, runs))], [*b.schema.names[: k - 2], "kept", "n_bytes", "n_removed", "n_spans"])
+            left = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[: k - 2], left, *(pa.array(x, pa.int64()) for x in (size, gone, runs))], [*b.schema.names[: k - 2], "kept", "n_bytes", "n_removed", "n_spans"])
 
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return at.mapInArrow(cut, f"{shape}, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
+    return at.mapInArrow(lean(cut), f"{shape}, kept {'string' if as_text else 'binary'}, n_bytes bigint, n_removed bigint, n_spans bigint")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", **how) -> DataFrame:
@@ -398,14 +401,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chars_col, if there is such a column, is set to the new length. No row goes, even if its text is empty now. Nulls
     stay null.
     """
-    cut = remove_repeats(docs, id_col, text_col, **how)
-
-    def read_bytes(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([k.decode("utf-8", "ignore") for k in b.column(b.num_columns - 1).to_pylist()], pa.string())], b.schema.names)
-
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    text = cut.select(*docs.columns, "kept").mapInArrow(read_bytes, f"{shape}, kept string")
+    text = remove_repeats(docs, id_col, text_col, as_text=True, **how)
     new = {text_col: F.when(F.col(text_col).isNotNull(), F.col("kept"))}
     if chars_col in docs.columns:
         new[chars_col] = F.coalesce(F.length("kept").cast(docs.schema[chars_col].dataType), F.col(chars_col))

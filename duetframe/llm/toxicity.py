@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import lean, read
 
 #: Rows that the model is fitted on, at most. Which ones is a matter of a hash of the id.
 MOST_POSITIVE = 3_000
-MOST_UNLABELLED = 9_000
+MOST_UNLABELLED = 6_000
 #: Of every FOLDS rows one is held out.
 FOLDS = 5
 #: Beginnings of words that are features beside the words.
@@ -40,7 +40,7 @@ def _features(word: str) -> tuple[int, ...]:
     import xxhash
 
     made = [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)]
-    return tuple(xxhash.xxh3_64_intdigest(x) for x in made)
+    return tuple(xxhash.xxh32_intdigest(x) for x in made)
 
 
 class _Known(dict):
@@ -57,7 +57,7 @@ def _sample_features(batches):
         out = []
         for text in b.column(1).to_pylist():
             words = set(_LETTERS.findall((text or "").lower()))
-            out.append(np.fromiter(set().union(*map(known.__getitem__, words)), np.uint64).tobytes())
+            out.append(np.fromiter(set().union(*map(known.__getitem__, words)), np.uint32).tobytes())
             if len(known) > WORDS_HELD:
                 known.clear()
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["positive", "features"])
@@ -97,6 +97,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     seen, at = np.unique(np.concatenate(docs), return_inverse=True)
     keep = _apart(np.bincount(at[: size[: len(positive)].sum()], minlength=len(seen)), len(positive), np.bincount(at, minlength=len(seen)), len(docs)) >= LEAST_G
     column = np.where(keep, np.cumsum(keep) - 1, -1)[at]
+    del at
     doc = np.repeat(np.arange(len(docs)), size)[column >= 0]
     column = column[column >= 0]
     start = np.r_[0, np.cumsum(np.bincount(doc, minlength=len(docs)))]
@@ -152,9 +153,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     if not chosen:
         return {}, float(np.log(prior / (1 - prior)))
     wanted = F.broadcast(spark.createDataFrame(chosen, f"id {kind}, positive boolean"))  # bounded by the two constants
-    got = texts.join(wanted, "id").select("positive", "text").mapInArrow(_sample_features, "positive boolean, features binary").collect()
-    rows = sorted((r.positive, bytes(r.features)) for r in got)
-    features = {k: [np.frombuffer(x, np.uint64) for p, x in rows if p is k] for k in (True, False)}
+    got = texts.join(wanted, "id").select("positive", "text").mapInArrow(lean(_sample_features), "positive boolean, features binary").collect()
+    rows = sorted((r.positive, r.features) for r in got)
+    del got
+    features = {k: [np.frombuffer(x, np.uint32) for p, x in rows if p is k] for k in (True, False)}
     return train(features[True], features[False], prior)
 
 
@@ -182,7 +184,7 @@ def score_toxicity(docs: DataFrame, model: tuple[dict[int, float], float], id_co
 
     schema = docs.select(*cols).schema
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return docs.select(*cols, F.col(text_col).alias("__text")).mapInArrow(score, f"{shape}, score double")
+    return docs.select(*cols, F.col(text_col).alias("__text")).mapInArrow(lean(score), f"{shape}, score double")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, read, shuffle_partitions
+from .common import lean, lower_ascii, read, shuffle_partitions
 
 #: (host, path prefix, verdict)
 RULES = [
@@ -100,9 +100,9 @@ def judge_urls(urls: DataFrame, rules: DataFrame | list, id_col: str = "page_id"
             yield b.take(pa.array(rows, pa.int64())).append_column("slot", pa.array([n for x, y in spans for n in range(x, y)], pa.int32()))
 
     kind = keyed.schema["id"].dataType.simpleString()
-    dealt = keyed.mapInArrow(deal_urls, f"id {kind}, host string, path string, key string, salt bigint, slot int").selectExpr("slot", "key", "1 as kind", "id", "host", "path", "cast(null as string) as verdict")
+    dealt = keyed.mapInArrow(lean(deal_urls), f"id {kind}, host string, path string, key string, salt bigint, slot int").selectExpr("slot", "key", "1 as kind", "id", "host", "path", "cast(null as string) as verdict")
     meant = rules.select("host", "path", "verdict", host_key(F.col("host")).alias("key"))
-    meant = meant.mapInArrow(deal_rules, "host string, path string, verdict string, key string, slot int").selectExpr("slot", "key", "0 as kind", f"cast(null as {kind}) as id", "host", "path", "verdict")
+    meant = meant.mapInArrow(lean(deal_rules), "host string, path string, verdict string, key string, slot int").selectExpr("slot", "key", "0 as kind", f"cast(null as {kind}) as id", "host", "path", "verdict")
     sorted_rows = dealt.unionByName(meant).repartitionById(sum(width), F.col("slot")).sortWithinPartitions("key", "kind", "path").drop("slot")
 
     def sweep(batches):
@@ -132,7 +132,7 @@ def judge_urls(urls: DataFrame, rules: DataFrame | list, id_col: str = "page_id"
             t = b.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([t.column("id"), t.column("host"), t.column("path"), pa.array(rule_of, pa.string()), pa.array(verdict_of, pa.string())], ["id", "host", "path", "rule", "verdict"])
 
-    return sorted_rows.mapInArrow(sweep, f"id {kind}, host string, path string, rule string, verdict string").withColumnRenamed("id", id_col)
+    return sorted_rows.mapInArrow(lean(sweep), f"id {kind}, host string, path string, rule string, verdict string").withColumnRenamed("id", id_col)
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
