@@ -12,6 +12,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark's setting for the rows of an Arrow batch and what it is put to where it has its default.
+BATCH_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of the folder, by Spark's own reader (the folder may be in a store that only Spark opens)."""
     ship_code(spark)
@@ -29,6 +33,9 @@ def ship_code(spark: SparkSession) -> None:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
     sc.addPyFile(path)
+    # rows hold whole texts: fewer of them in a batch keep workers small (a size that was chosen stays)
+    if spark.conf.get(BATCH_ROWS[0]) == "10000":
+        spark.conf.set(*BATCH_ROWS)
     sc._duetframe_shipped = True
 
 
