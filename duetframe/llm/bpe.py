@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, shuffle_partitions, stored
+from .common import lean, read, shuffle_partitions, stored
 from .tokens import codec, default_path
 
 #: Largest table of words that is sent to every worker, in bytes of its arrays.
 BROADCAST_BYTES = 96 << 20
 #: Words that a worker holds as Python objects at a time.
-WORDS_HELD = 100_000
+WORDS_HELD = 250_000
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -60,8 +60,8 @@ def word_table(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc
             ids = [enc.encode(w) for w in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
 
-    words = _rows(docs, id_col, text_col).select("text").mapInArrow(split, "word string").distinct()
-    return words.mapInArrow(encode, "word string, ids array<int>")
+    words = _rows(docs, id_col, text_col).select("text").mapInArrow(lean(split), "word string").distinct()
+    return words.mapInArrow(lean(encode), "word string, ids array<int>")
 
 
 def _arrays(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
@@ -80,7 +80,7 @@ def _arrays(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray] | Non
 
     hashed = table.select(F.xxhash64("word").alias("h"), "ids")
     parts = max(1, min(64, shuffle_partitions(table.sparkSession)))
-    got = hashed.repartitionByRange(parts, "h").sortWithinPartitions("h").mapInArrow(packed, "h binary, n binary, ids binary, kind string").collect()
+    got = hashed.repartitionByRange(parts, "h").sortWithinPartitions("h").mapInArrow(lean(packed), "h binary, n binary, ids binary, kind string").collect()
     h, n, ids = [], [], []
     for r in got:
         h.append(np.frombuffer(r.h, "<i8"))
@@ -121,7 +121,7 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str
                 out = []
                 for text in part.column(1):
                     words = enc.words(text.as_py())
-                    new = [w for w in dict.fromkeys(words) if w not in known]
+                    new = list(set(words).difference(known))
                     at = np.searchsorted(hashes, _hashes(new))
                     known.update(zip(new, (ids[x:y].tobytes() for x, y in zip(start[at].tolist(), start[at + 1].tolist()))))
                     out.append(np.frombuffer(b"".join(map(known.__getitem__, words)), ids.dtype).astype(np.int32))
@@ -134,7 +134,7 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", "text"][: len(cols)])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return _rows(docs, id_col, text_col).mapInArrow(encode, f"doc_id {kind}, ids array<int>" + ", text string" * decoded)
+    return _rows(docs, id_col, text_col).mapInArrow(lean(encode), f"doc_id {kind}, ids array<int>" + ", text string" * decoded)
 
 
 def _encode_by_shuffle(docs: DataFrame, table: DataFrame, path: str) -> DataFrame:
@@ -151,7 +151,7 @@ def _encode_by_shuffle(docs: DataFrame, table: DataFrame, path: str) -> DataFram
             cols = [b.column(c).take(rows) for c in ("doc_id", "key", "copies")]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(pos.astype(np.int64)), pa.array(list(chain.from_iterable(words)), pa.string())], ["doc_id", "key", "copies", "pos", "word"])
 
-    placed = once.mapInArrow(place, f"doc_id {kind}, key string, copies bigint, pos bigint, word string").join(table, "word", "left")
+    placed = once.mapInArrow(lean(place), f"doc_id {kind}, key string, copies bigint, pos bigint, word string").join(table, "word", "left")
     lists = placed.groupBy("doc_id", "key", "copies").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("at"))
     ids = F.flatten(F.transform("at", lambda x: F.coalesce(x["ids"], F.array().cast("array<int>"))))
     return lists.select("doc_id", ids.alias("ids"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
@@ -179,7 +179,7 @@ def decode_documents(encoded: DataFrame, tokenizer: str | None = None, keep: tup
         for b in batches:
             yield b.append_column("text", _decoded(enc, b.column(b.schema.get_field_index("ids")).to_pylist()))
 
-    return encoded.select(*keep).mapInArrow(decode, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", text string")
+    return encoded.select(*keep).mapInArrow(lean(decode), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", text string")
 
 
 def op7_bpe_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
