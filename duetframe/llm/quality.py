@@ -4,7 +4,7 @@ Spark counts the character n-grams of every whole text. From the counts a modifi
 for each order, continuation counts below the highest) is estimated by joins on n-gram codes. Its probabilities go to
 the workers as arrays sorted by code if they are within BROADCAST_BYTES; a larger model is joined to the n-grams of the
 documents by a shuffle. Two perplexities come of it, one per character and one per word, and each language has a lower
-and an upper limit for either: its median and quartiles over the documents that pass the base rules.
+and an upper limit for either: its median and quartiles over the distinct texts that pass the base rules.
 """
 
 from __future__ import annotations
@@ -266,18 +266,21 @@ def judge_quality(scored: DataFrame, above: float = ABOVE, below: float = BELOW)
     """Adds base_failed, char_nll, word_nll and kept to the rows of score_quality.
 
     base_failed: under LEAST_WORDS words, or over MOST_REPEATED_PERCENT percent of them in repeated 3-word windows.
-    kept: not base_failed, and both perplexities (as logarithms) within the language's limits. A language without
-    spread (one document, say) rejects nothing.
+    kept: not base_failed, and both perplexities (as logarithms) within the language's limits. Copies of a text count
+    once in the limits. Where the quartiles are equal the standard deviation stands for the spread; it is 0 only if all
+    texts of the language are alike (one text, say), and then nothing is rejected.
     """
     base_failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     scored = scored.withColumns({"base_failed": base_failed, "char_nll": F.col("nll") / F.greatest("n_grams", F.lit(1)), "word_nll": F.col("nll") / F.greatest("n_words", F.lit(1))})
-    limits = scored.where("not base_failed").groupBy("lang").agg(*(F.percentile_approx(c, [0.25, 0.5, 0.75], 20_000).alias(f"q_{c}") for c in ("char_nll", "word_nll")))
+    both = ("char_nll", "word_nll")
+    texts = scored.where("not base_failed").groupBy("lang", "key").agg(*(F.min(c).alias(c) for c in both))
+    limits = texts.groupBy("lang").agg(*(F.percentile_approx(c, [0.25, 0.5, 0.75], 20_000).alias(f"q_{c}") for c in both), *(F.stddev_pop(c).alias(f"sd_{c}") for c in both))
     fits = F.lit(True)
-    for c in ("char_nll", "word_nll"):
+    for c in both:
         q = F.col(f"q_{c}")
-        spread = (q[2] - q[0]) / 1.349
+        spread = F.when(q[2] > q[0], (q[2] - q[0]) / 1.349).otherwise(F.col(f"sd_{c}"))
         fits = fits & ((spread <= 0) | F.col(c).between(q[1] - below * spread, q[1] + above * spread))
-    return scored.join(few(limits), "lang", "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(fits, F.lit(True))).drop("q_char_nll", "q_word_nll")
+    return scored.join(few(limits), "lang", "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(fits, F.lit(True))).drop(*(f"{a}_{c}" for a in ("q", "sd") for c in both))
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -82,3 +82,29 @@ def test_keeps_the_clean(spark):
     kept = keep_good(docs)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.select("doc_id").collect()} == {i for i, r in got.items() if r.kept}
+
+
+def judged_with_copies(spark, values, copies):
+    """Kept or not by key, of texts of 100 words and 500 characters; the first is there ``copies`` times more."""
+    row = lambda i, k, x: (i, "en", k, 100, 400, 0, 0, 0, 500, 500 * (2 + x))
+    rows = [row(i, i, x) for i, x in enumerate(values)] + [row(1000 + i, 0, values[0]) for i in range(copies)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_grams long, nll double")
+    got = judge_quality(df).collect()
+    assert len(got) == len(rows)
+    return {r.key: r.kept for r in got}
+
+
+@pytest.mark.parametrize("copies", [0, 85, 160, 400])
+def test_copies_do_not_move_the_limits(spark, copies):
+    from statistics import NormalDist
+
+    clean = [NormalDist().inv_cdf((i + 0.5) / 200) / 20 for i in range(200)]
+    clean.insert(0, 0.0)
+    got = judged_with_copies(spark, [*clean, 5.0, -1.5], copies)
+    assert all(got[k] for k in range(201)) and not got[201] and not got[202]
+
+
+def test_equal_quartiles_still_reject(spark):
+    got = judged_with_copies(spark, [0.0] * 60 + [0.01] * 10 + [-0.01] * 10 + [5.0], 0)
+    assert [k for k, kept in got.items() if not kept] == [80]
+    assert all(judged_with_copies(spark, [0.3] * 7, 3).values())
