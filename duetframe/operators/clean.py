@@ -49,38 +49,42 @@ def dedup_and_cap(df: DataFrame, cap: int, task: str = "task_id", text: str = "c
     return ranked.withColumn("outcome", outcome).drop("__h", "__n", "__rank", "__in")
 
 
-def dedup_and_cap_across(df: DataFrame, cap: int, task: str = "task_id", text: str = "chosen", order: tuple = ("utility_delta", "weight", "ord"), rounds: int = 1_000) -> DataFrame:
-    """As dedup_and_cap, but a text accepted for a task that comes earlier (by name) blocks it in later ones as well.
+def dedup_and_cap_across(df: DataFrame, cap: int, task: str = "task_id", text: str = "chosen", order: tuple = ("utility_delta", "weight", "ord"), rounds: int | None = None) -> DataFrame:
+    """As dedup_and_cap, but a text accepted for a task that comes earlier (by name, null first) blocks it in later ones as well.
 
     Whether a text is accepted depends on earlier tasks alone, so tasks are settled in waves: a task is ready once every
-    earlier task that shares a text with it is settled. Texts of one task alone never wait. Each wave is a window
-    query; its result is written before the next.
+    earlier task that shares a text with it is settled, unless the text has been accepted already. Each wave settles the
+    first task of those left, and until no shared text is open it accepts one of them, so there are at most as many
+    waves as tasks, or as shared texts and one. Texts of one task alone never wait. Each wave is a window query; its
+    result is written before the next. With ``rounds``, more waves than that are an error.
     """
     from ..sources.tables import stored
 
-    base = stored(df.withColumn("__h", text_hash(F.col(text))))
-    spread = base.groupBy("__h").agg(F.count_distinct(task).alias("t")).where("t > 1").select("__h")
-    waiting = base.select(task, "__h").join(spread, "__h").distinct()
-    links = stored(waiting.alias("a").join(waiting.alias("b"), (F.col("a.__h") == F.col("b.__h")) & (F.col(f"a.{task}") > F.col(f"b.{task}"))).select(F.col(f"a.{task}").alias("later"), F.col(f"b.{task}").alias("earlier")).distinct())
-    left, taken, done = base, None, []
-    for _ in range(rounds):
-        blocked = links.select(F.col("later").alias(task)).distinct()
-        ready = left.join(blocked, task, "left_anti")
-        if taken is not None:
+    base = stored(df.withColumns({"__h": text_hash(F.col(text)), "__t": F.struct(F.col(task).alias("t"))}))
+    shared = base.where("__h is not null").select("__t", "__h").distinct()
+    waiting = stored(shared.join(shared.groupBy("__h").agg(F.count("*").alias("n")).where("n > 1").select("__h"), "__h"))
+    left, taken, done = stored(base.select("__t").distinct()), None, []
+    while True:
+        if rounds is not None and len(done) >= rounds:
+            raise RuntimeError(f"{left.count()} tasks are left after {rounds} waves")
+        firsts = waiting.groupBy("__h").agg(F.min("__t").alias("first"))
+        blocked = waiting.join(firsts, "__h").where(F.col("__t") > F.col("first")).select("__t").distinct()
+        now = stored(left.join(blocked, "__t", "left_anti"))
+        ready = base.join(now, "__t").drop("__t")
+        if taken is None:
+            out = stored(dedup_and_cap(ready.drop("__h"), cap, task, text, order))
+        else:
             ready = ready.join(taken.withColumn("__taken", F.lit(True)), "__h", "left")
             free = dedup_and_cap(ready.where("__taken is null").drop("__h", "__taken"), cap, task, text, order)
             known = ready.where("__taken").drop("__h", "__taken").withColumn("outcome", F.lit("duplicate"))
             out = stored(free.unionByName(known))
-        else:
-            out = stored(dedup_and_cap(ready.drop("__h"), cap, task, text, order))
         done.append(out)
-        accepted = out.where("outcome = 'accepted'").select(text_hash(F.col(text)).alias("__h")).distinct()
-        taken = stored(accepted if taken is None else taken.union(accepted).distinct())
-        settled = out.select(F.col(task).alias("earlier")).distinct()
-        left = left.join(out.select(task).distinct(), task, "left_anti")
-        if links.isEmpty():
+        left = stored(left.join(now, "__t", "left_anti"))
+        if left.isEmpty():
             break
-        links = stored(links.join(settled, "earlier", "left_anti"))
+        accepted = out.where("outcome = 'accepted'").select(text_hash(F.col(text)).alias("__h")).where("__h is not null").distinct()
+        taken = stored(accepted if taken is None else taken.union(accepted).distinct())
+        waiting = stored(waiting.join(now, "__t", "left_anti").join(taken, "__h", "left_anti"))
     result = done[0]
     for more in done[1:]:
         result = result.unionByName(more)

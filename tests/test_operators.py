@@ -110,6 +110,16 @@ def test_cap_is_the_ordered_fold(spark, seed, cap):
     assert {r.ord: r.outcome for r in clean.dedup_and_cap(df, cap).collect()} == fold(own, cap)
 
 
+def test_no_row_is_lost_across_many_tasks(spark):
+    rows = [{"ord": 3 * t + i, "task_id": f"t{t:04}", "utility_delta": float(i), "weight": 1.0, "chosen": f"text {i}"} for t in range(1_010) for i in range(3)]
+    df = spark.createDataFrame([*rows, dict(rows[0], ord=-1, task_id=None, chosen="text 9")], "ord long, task_id string, utility_delta double, weight double, chosen string")
+    got = clean.dedup_and_cap_across(df, 1).collect()
+    assert len(got) == len(rows) + 1
+    assert {r.ord: r.outcome for r in got} == fold(rows, 1) | {-1: "accepted"}
+    with pytest.raises(RuntimeError):
+        clean.dedup_and_cap_across(df, 1, rounds=2)
+
+
 def test_percentiles_and_health(spark):
     values = [round(random.Random(4).uniform(0, 1) * 20) / 20 for _ in range(101)] + [0.5] * 7
     df = spark.createDataFrame([(v,) for v in values], "weight double")
