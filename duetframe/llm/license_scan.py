@@ -6,6 +6,9 @@ template if for one of them the smallest hash is the same. At the containment as
 Jaccard similarity of 0.5 or more, so a match is missed with probability 2**-32 at most. A band can agree only in windows
 that hold the shingle with the template's smallest hash, so only windows round such shingles are hashed; what they
 retrieve is verified by counting the shingles in common.
+
+Notices of few words have too few shingles for that: scan_notices finds them as whole sequences of words, each in the
+forms that it is written in.
 """
 
 from __future__ import annotations
@@ -33,6 +36,18 @@ TEMPLATES = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "all-rights-reserved": "All rights reserved. No part of this work may be reproduced without written permission.",
 }
+#: Notices of few words, by license, in the forms they are written in.
+NOTICES = {
+    "all-rights-reserved": ("All rights reserved",),
+    "apache-2.0": ("Apache License Version 2.0", "Apache License 2.0", "Apache 2.0 License", "License-Identifier: Apache-2.0"),
+    "mit": ("the MIT License", "an MIT License", "MIT licensed", "License: MIT", "License-Identifier: MIT"),
+    "gpl-3.0": ("General Public License version 3", "General Public License v3", "GNU GPL version 3", "GNU GPL v3", "GPLv3", "GPL v3", "GPL-3.0"),
+    "cc-by-4.0": ("CC BY 4.0", "Creative Commons Attribution 4.0"),
+    "cc-by-sa-4.0": ("CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0"),
+    "cc-by-nc-4.0": ("CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0"),
+    "bsd-3-clause": ("BSD 3-Clause", "3-Clause BSD", "License-Identifier: BSD-3-Clause"),
+    "mpl-2.0": ("Mozilla Public License v. 2.0", "Mozilla Public License Version 2.0", "Mozilla Public License 2.0", "MPL-2.0"),
+}
 _WORD = r"[\p{L}\p{N}]+"
 
 
@@ -102,10 +117,53 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
     return best.select("doc_id", "template", "n_template", F.col("m.n_found").alias("n_found"), (-F.col("m.before")).cast("int").alias("at"))
 
 
+def _words_between_spaces(text: Column) -> Column:
+    words = F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(_WORD), F.lit(0))
+    return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+
+
+def scan_notices(docs: DataFrame, notices: dict[str, tuple[str, ...]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, notice and at, a row for each notice that a row of docs holds; at is where (in words, from 0) it first does.
+
+    A notice is held if the words of one of its forms follow each other in the text; words are those of scan_licenses.
+    Null and empty texts hold nothing; rows with the same id and text give one row; a form without words is refused;
+    other columns are left out.
+    """
+    spark = docs.sparkSession
+    notices = NOTICES if notices is None else notices
+    kind = docs.schema[id_col].dataType.simpleString()
+    if not notices:
+        return spark.createDataFrame([], f"doc_id {kind}, notice string, at int")
+    forms = spark.createDataFrame([(name, form) for name, of in notices.items() for form in of], "notice string, form string")
+    known = forms.select("notice", _words_between_spaces(F.col("form")).alias("form")).collect()  # as many as were given
+    if any(not r.form.strip() for r in known):
+        raise ValueError(f"notices without words: {[r.notice for r in known if not r.form.strip()]}")
+
+    def held(s: Column) -> Column:
+        def first(name: str) -> Column:
+            places = F.array(*(F.instr(s, r.form) for r in known if r.notice == name))
+            return F.array_min(F.filter(places, lambda p: p > 0))
+
+        def at(p: Column) -> Column:
+            before = F.substring(s, F.lit(1), p - 1)
+            return (F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit("")))).cast("int")
+
+        found = F.array(*(F.struct(F.lit(name).alias("notice"), first(name).alias("p")) for name in notices))
+        return F.transform(F.filter(found, lambda x: x["p"].isNotNull()), lambda x: F.struct(x["notice"].alias("notice"), at(x["p"]).alias("at")))
+
+    found = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), let(_words_between_spaces(F.col(text_col)), held).alias("held"))
+    found = found.where(F.size("held") > 0).select("doc_id", "key", F.explode("held").alias("h")).select("doc_id", "key", "h.notice", "h.at")
+    return found.distinct().select("doc_id", "notice", "at")
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read(spark, sf_dir, "documents"))
 
 
+def op3_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_notices(read(spark, sf_dir, "documents"))
+
+
 _TEMPLATE_ROWS = ", ".join(f"('{name}', '{text}')" for name, text in TEMPLATES.items())
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SHINGLES = f"list_transform(range(0, len(w) - {K - 1}), lambda i: array_to_string(w[i + 1:i + {K}], ' '))"
@@ -123,5 +181,14 @@ win AS (SELECT a.doc_id, a.k, a.template, a.n, a.pos, count(DISTINCT b.sh) AS c
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, k, template ORDER BY c DESC, pos) AS r FROM win WHERE 100 * c >= {PERCENT} * n)
 SELECT doc_id, template, CAST(n AS INT) AS n_template, CAST(c AS INT) AS n_found, CAST(pos AS INT) AS "at" FROM best WHERE r = 1
 """
-QUERIES = {"op3_license_scan": op3_license_scan}
-ORACLES = {"op3_license_scan": ORACLE}
+_NOTICE_ROWS = ", ".join(f"('{name}', '{form}')" for name, forms in NOTICES.items() for form in forms)
+_SPACED = "' ' || array_to_string(regexp_extract_all(" + _LOWER + ", '" + _WORD.replace("{", "{{").replace("}", "}}") + "'), ' ') || ' '"
+NOTICES_ORACLE = f"""
+WITH f(notice, form) AS (SELECT a, {_SPACED.format('b')} FROM (VALUES {_NOTICE_ROWS}) v(a, b)),
+d AS (SELECT DISTINCT doc_id, text FROM documents),
+s AS (SELECT doc_id, hash(text) AS k, {_SPACED.format("coalesce(text, '')")} AS s FROM d),
+p AS (SELECT doc_id, k, notice, s, min(instr(s, form)) AS p FROM s JOIN f ON contains(s, form) GROUP BY ALL)
+SELECT doc_id, notice, CAST(length(substr(s, 1, p - 1)) - length(replace(substr(s, 1, p - 1), ' ', '')) AS INT) AS "at" FROM p
+"""
+QUERIES = {"op3_license_scan": op3_license_scan, "op3_license_notices": op3_license_notices}
+ORACLES = {"op3_license_scan": ORACLE, "op3_license_notices": NOTICES_ORACLE}

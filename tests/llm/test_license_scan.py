@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from duetframe.llm.license_scan import K, TEMPLATES, scan_licenses, window_size
+from duetframe.llm.license_scan import K, NOTICES, TEMPLATES, scan_licenses, scan_notices, window_size
 
 
 def words(t):
@@ -58,3 +58,26 @@ def test_edited_templates_are_retrieved(spark):
         rows.append((i, " ".join(["x y z"] * rng.randrange(9) + w + ["q r s t u"] * rng.randrange(9))))
     got = {tuple(r) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), long).collect()}
     assert got == brute(rows, long) and len(got) > 40
+
+
+def test_notices_of_few_words(spark):
+    rows = [
+        (1, "so it is.\nAll rights reserved."), (2, "ALL RIGHTS, reserved all rights reserved"), (3, "all rights are reserved; overall rights reserved"), (4, None), (5, ""),
+        (6, "Licensed under the MIT License"), (7, "GPLv3 and (CC BY-NC 4.0) or CC BY 4.0"), (1, "so it is.\nAll rights reserved."), (None, "all rights reserved"), (8, "All rights reserve"),
+    ]
+    df = spark.createDataFrame([(i, t, "x", 3) for i, t in rows], "doc_id long, text string, notice string, at int")
+    want = {(1, "all-rights-reserved", 3), (2, "all-rights-reserved", 0), (6, "mit", 2), (7, "gpl-3.0", 0), (7, "cc-by-nc-4.0", 2), (7, "cc-by-4.0", 8), (None, "all-rights-reserved", 0)}
+    got = scan_notices(df).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert scan_notices(df.limit(0)).collect() == [] and scan_notices(df, {}).collect() == []
+    with pytest.raises(ValueError):
+        scan_notices(df, {"none": ("...",)})
+
+
+def test_every_license_line_of_the_tables_is_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    line = r"(?m)^(All rights reserved\.|Licensed under CC BY-NC 4\.0\.|Licensed under the Apache License, Version 2\.0\.|Released under the MIT License\.|This work is licensed under the GNU General Public License, version 3\.)$"
+    want = {r.doc_id for r in docs.where(docs.text.rlike(line)).select("doc_id").collect()}
+    got = {r.doc_id for r in scan_notices(docs).collect()}
+    assert len(want) > 300 and want <= got
+    assert set(NOTICES) >= {"all-rights-reserved", "mit", "gpl-3.0", "apache-2.0", "cc-by-nc-4.0"}
