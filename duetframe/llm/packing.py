@@ -1,9 +1,10 @@
 """Best-fit packing with certified repacking.
 
 Every partition packs its pieces best-fit decreasing and certifies the number of bins by lower bounds from
-dual-feasible functions. Bins that can't be improved upon stay; where a partition's bins exceed its bound (or leave
-room), the pieces of its unfilled bins go to the next round, which deals them to fewer partitions and packs again. The
-last round is a single partition of bounded size, so what stays open is at most what one partition can't certify.
+dual-feasible functions. Full bins stay, and where a partition has no more bins than its bound the fullest others do as
+well, as long as they hardly leave room that pieces of other partitions could fill; the pieces of the rest go to the next round, which deals them to fewer partitions and packs again. A round that saves
+no bin leaves the packing as it was. This ends when the total is certified by the bound of all pieces, when a single
+partition has packed what was left, or when partitions of the largest size save nothing more.
 """
 
 from __future__ import annotations
@@ -22,7 +23,10 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces that a partition packs at once.
 PIECES_PER_PARTITION = 40_000
-ROUNDS = 6
+#: A partition that its bound certifies may leave one part in so many of a sequence empty when its bins are settled.
+ROOM_LEFT = 64
+#: How many times that a partition of a later round may hold, where bins don't get full.
+LARGEST = 8
 _PIECES = "doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -81,9 +85,12 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     to its share in k-ths (floor((k + 1) x / capacity) / k where that isn't whole, else x / capacity). For either, the
     lengths that share a bin add up to at most 1.
     """
-    if not len(lengths):
+    return _bound(*np.unique(lengths, return_counts=True), capacity)
+
+
+def _bound(size: np.ndarray, count: np.ndarray, capacity: int) -> int:
+    if not len(size):
         return 0
-    size, count = np.unique(lengths, return_counts=True)
     best = -(-int((size * count).sum()) // capacity)
     for t in {int(x) for x in size[size <= capacity // 2]} | {0}:
         value = np.where(size > capacity - t, capacity, np.where(size >= t, size, 0))
@@ -95,35 +102,46 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     return best
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECES_PER_PARTITION, rounds: int = ROUNDS) -> DataFrame:
+def _bound_of_all(pieces: DataFrame, capacity: int) -> int:
+    rows = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()  # ``capacity`` rows at most
+    return _bound(np.array([r.length for r in rows], np.int64), np.array([r.n for r in rows], np.int64), capacity)
+
+
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row for the rows of pack: sequences, lower_bound (no packing has fewer) and certified (they are equal)."""
+    bound = _bound_of_all(packed, capacity)
+    return packed.agg(F.count_if(F.col("offset") == 0).alias("sequences")).select("sequences", F.lit(bound).cast("bigint").alias("lower_bound"), (F.col("sequences") == bound).alias("certified"))
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECES_PER_PARTITION) -> DataFrame:
     """Sequences of at most ``capacity`` tokens; adds sequence_id and offset to every piece, drops none.
 
     pieces: doc_id, piece, start, length, ids_crc32 with 1 <= length <= capacity; null ids and repeated rows are packed
-    like others; an empty table gives an empty one. Pieces of ``capacity`` fill a sequence of their own.
+    like others; an empty table gives an empty one. Pieces of ``capacity`` fill a sequence of their own. See certificate
+    for how far the result can be from the best one.
     """
-    spark = pieces.sparkSession
     keep = pieces.columns
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(keep).schema)
     left, n, done, number = pieces, pieces.count(), [], 0
-    last_parts = None
+    parts, settled_bins = -(-n // per_partition), 0
+    open_rows, open_bins = None, None  # the best packing so far of what is left
+    bound = _bound_of_all(pieces, capacity)
     while n:
-        parts = -(-n // per_partition)
-        if parts == last_parts and parts > 1:
-            parts = max(1, parts // 2)
-        last_round = parts == 1 or number + 1 == rounds
-        base = number << 56
+        base = number << 50
 
-        def run(batches, parts=parts, base=base, last_round=last_round):
+        def run(batches, base=base):
             rows = [b for b in batches if b.num_rows]
             if not rows:
                 return
             t = pa.Table.from_batches(rows).combine_chunks()
             size = t.column("length").to_numpy()
             bins_of, bins = best_fit_decreasing(size, capacity)
-            full = np.bincount(bins_of, weights=size, minlength=bins) == capacity
-            # a gap: more bins than the bound, or room that pieces of other partitions may fill
-            gap = bins > lower_bound(size, capacity) or not full.all()
-            settled = np.ones(len(size), bool) if last_round or not gap else full[bins_of]
+            used = np.bincount(bins_of, weights=size, minlength=bins)
+            stays = used == capacity
+            if bins == lower_bound(size, capacity):
+                by_room = np.argsort(-used, kind="stable")
+                stays[by_room] = np.cumsum(capacity - used[by_room]) <= capacity // ROOM_LEFT
+            settled = stays[bins_of]
             order = np.lexsort((np.arange(len(size)), bins_of))
             b, s = bins_of[order], size[order]
             before = np.cumsum(s) - s
@@ -131,7 +149,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECE
             offset = np.empty(len(size), np.int64)
             offset[order] = before - np.maximum.accumulate(np.where(first, before, 0))
             part = int(t.column("part")[0].as_py())
-            seq = bins_of + base + (part << 32)
+            seq = bins_of + base + (part << 28)
             out = pa.table([*(t.column(c) for c in keep), pa.array(seq), pa.array(offset), pa.array(settled)], [*keep, "sequence_id", "offset", "settled"])
             yield from out.to_batches(max_chunksize=20_000)
 
@@ -139,15 +157,21 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECE
         key = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(number)), F.lit(parts)).cast("int")
         dealt = left.withColumn("part", key).repartitionById(parts, F.col("part"))
         packed = stored(dealt.sortWithinPartitions("doc_id", "piece", "ids_crc32").mapInArrow(lean(run), f"{shape}, sequence_id bigint, offset bigint, settled boolean"))
-        done.append(packed.where("settled").drop("settled"))
-        if last_round:
+        got = {r.settled: (r.n, r.bins) for r in packed.groupBy("settled").agg(F.count("*").alias("n"), F.count_if(F.col("offset") == 0).alias("bins")).collect()}
+        (_, closed), (rest, opened) = got.get(True, (0, 0)), got.get(False, (0, 0))
+        saved = open_bins is None or closed + opened < open_bins
+        if saved:
+            done.append(packed.where("settled").drop("settled"))
+            open_rows, n, open_bins, settled_bins = packed.where("not settled").drop("settled"), rest, opened, settled_bins + closed
+            left = open_rows.select(keep)
+        fewest = -(-n // (LARGEST * per_partition))
+        if settled_bins + open_bins == bound or parts == 1 or not saved and parts <= fewest:
             break
-        left = packed.where("not settled").select(keep)
-        last_parts, n, number = parts, left.count(), number + 1
+        parts, number = max(fewest, min(parts // 2, -(-n // per_partition))), number + 1
     if not done:
         return pieces.selectExpr("*", "cast(0 as bigint) as sequence_id", "cast(0 as bigint) as offset")
-    out = done[0]
-    for more in done[1:]:
+    out = open_rows
+    for more in done:
         out = out.unionByName(more)
     return out
 

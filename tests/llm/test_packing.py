@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 
-from duetframe.llm.packing import best_fit_decreasing, lower_bound, op10_best_fit_packing, pack, pack_documents
+from duetframe.llm.packing import best_fit_decreasing, certificate, lower_bound, op10_best_fit_packing, pack, pack_documents
 from duetframe.llm.tokens import codec, default_path
 
 
@@ -66,6 +66,24 @@ def test_many_partitions_exchange(spark):
     assert len(bins) <= 1.01 * lower_bound(np.array(sizes)) + 1
 
 
+def test_exchange_goes_on_until_nothing_is_saved(spark):
+    """No bin gets full (lengths are multiples of 3), so only the bounds can settle partitions."""
+    rng = np.random.default_rng(3)
+    sizes = [3 * int(x) for x in rng.integers(1, 450, 2000)]
+    df = spark.createDataFrame([(i, 0, 0, s, 0) for i, s in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    packed = pack(df, per_partition=50)
+    out = packed.collect()
+    assert sorted((r.doc_id, r.length) for r in out) == sorted(enumerate(sizes))
+    bins = defaultdict(int)
+    for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == bins[r.sequence_id]
+        bins[r.sequence_id] += r.length
+    assert max(bins.values()) <= 2048
+    told = certificate(packed).first()
+    assert (told.sequences, told.lower_bound) == (len(bins), lower_bound(np.array(sizes))) and told.certified == (told.sequences == told.lower_bound)
+    assert len(bins) <= told.lower_bound + 6
+
+
 def test_best_fit_and_bound():
     rng = np.random.default_rng(2)
     for n in (0, 1, 50, 400):
