@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -40,11 +44,17 @@ def ship_code(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a master on this machine (local, as in tests) gets a temporary folder; a cluster gets an error,
+    as its executors would each write to a disk of their own.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not getattr(sc, "_duetframe_shared", None):
         sc._duetframe_shared = "file://" + tempfile.mkdtemp(prefix="duetframe-")
     return sc._duetframe_shared
@@ -53,26 +63,69 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """Write the rows as Parquet into the shared folder and read them again.
 
-    This cuts the lineage: what reads the table later survives the loss of any executor. The files go when the
-    driver's process ends.
+    This cuts the lineage: what reads the table later survives the loss of any executor. The files go at the end of the
+    workspace in which they were written, or else when the driver's process ends.
     """
     spark = df.sparkSession
     ship_code(spark)
     path = f"{shared_dir(spark)}/duetframe-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _forget_at_exit(spark, path)
-    spark.sparkContext._jvm.System.gc()  # shuffle files of what has been written go only when the driver collects its garbage
+    if _open:
+        _open[-1].append(path)
+    else:
+        atexit.register(_forget, spark, path)
+    give_back(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _forget_at_exit(spark: SparkSession, path: str) -> None:
-    def forget() -> None:
+#: Paths written in the workspaces that are open, innermost last.
+_open: list[list[str]] = []
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables stored inside go at its end. What it gives stores a table that stays: what the block has been for.
+
+    Nothing that reads a table of the block may be used after it.
+    """
+    outer = len(_open)
+    _open.append([])
+
+    def keep(df: DataFrame) -> DataFrame:
+        inner = _open[outer:]
+        del _open[outer:]
         try:
-            jvm = spark.sparkContext._jvm
-            if jvm is not None:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session has ended before: nothing is left to ask
-            pass
-
-    atexit.register(forget)
+            return stored(df)
+        finally:
+            _open.extend(inner)
+
+    try:
+        yield keep
+    finally:
+        while len(_open) > outer:
+            for path in _open.pop():
+                _forget(spark, path)
+
+
+def give_back(spark: SparkSession) -> None:
+    """Lets the driver's JVM drop what it doesn't need any more: shuffle files and broadcasts that nothing refers to,
+    and memory that its compiler threads have freed (which the C library otherwise keeps)."""
+    jvm = spark.sparkContext._jvm
+    jvm.System.gc()
+    beans = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    command = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    none = (spark.sparkContext._gateway.new_array(kind, 0) for kind in (jvm.Object, jvm.String))
+    try:
+        beans.invoke(command, "systemTrimNativeHeap", *none)
+    except Py4JError:  # not every JVM has that command
+        pass
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        if jvm is not None:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session has ended before: nothing is left to ask
+        pass
