@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import read, stored
+from ..sources.tables import read, ship_code, stored, workspace
 
-__all__ = ["LOWER", "WORD", "connected_components", "few", "lower_ascii", "read", "shuffle_partitions", "stored"]
+__all__ = ["LOWER", "WORD", "beside", "connected_components", "few", "lower_ascii", "read", "shuffle_partitions", "stored", "workspace"]
 
 #: Lower-casing of A-Z alone, for bytes.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -24,6 +24,14 @@ def lower_ascii(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def beside(columns: list[str], *names: str) -> list[str]:
+    """Names for helper columns that none of ``columns`` has (Spark's names ignore case)."""
+    mark = "__"
+    while any(c.lower().startswith(mark) for c in columns):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 #: Rows of two or three numbers that are sent to every worker rather than shuffled, at most.
 BROADCAST_ROWS = 1_000_000
 
@@ -59,8 +67,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def lean(f):
     """A function over record batches that gives its memory back when it has gone through them.
 
-    Workers are used again for other tasks and stages; without this each keeps the most it ever took.
+    Workers are used again for other tasks and stages; without this each keeps the most it ever took. Made on the
+    driver, it also sees to it that the workers have this package.
     """
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        ship_code(session)
 
     def run(batches):
         yield from f(batches)

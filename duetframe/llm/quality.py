@@ -2,9 +2,11 @@
 
 Spark counts the character n-grams of every whole text. From the counts a modified Kneser-Ney model (three discounts
 for each order, continuation counts below the highest) is estimated by joins on n-gram codes. Its probabilities go to
-the workers as arrays sorted by code if they are within BROADCAST_BYTES; a larger model is joined to the n-grams of the
-documents by a shuffle. Two perplexities come of it, one per character and one per word, and each language has a lower
-and an upper limit for either: its median and quartiles over the distinct texts that pass the base rules.
+the workers as arrays sorted by code: the whole model if it is within BROADCAST_BYTES, else its most frequent n-grams up
+to that size, and the n-grams that workers don't find there are joined with the model by a shuffle. Either way an n-gram
+has the same probability, that of a shorter one with its contexts' weights where the model lacks it. Two perplexities
+come of it, one per symbol and one per word, and each language has a lower and an upper limit for either, from its
+median and quartiles over the distinct texts that pass the base rules.
 """
 
 from __future__ import annotations
@@ -14,17 +16,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few, lean, read, stored
+from .common import beside, few, lean, read, shuffle_partitions, stored, workspace
 
 ORDER = 5
-#: Bits of a character in an n-gram's code; rarer characters (from 4096 on) share codes.
-BITS = 12
+#: Bits of a symbol in an n-gram's code. Characters below DIRECT are a symbol each; any other is spelled by a pair of
+#: symbols, a first and a second one of PAIRED each, so that different texts have different symbols.
+BITS, DIRECT, PAIRED = 12, 0x700, 1152
 #: Limits of a language, in standard deviations (as its quartiles suggest) from its median.
 ABOVE, BELOW = 3.5, 6.0
 LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
 #: Largest model that is sent to every worker, in bytes of its arrays.
-BROADCAST_BYTES = 96 << 20
+BROADCAST_BYTES = 48 << 20
 #: Characters that a task takes at a time.
 _CHUNK = 1_000_000
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -34,9 +37,22 @@ def _mask(n: int) -> int:
     return (1 << (BITS * n)) - 1
 
 
+def symbols(text: str) -> np.ndarray:
+    a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    rare = a >= DIRECT
+    if not rare.any():
+        return a
+    at = np.cumsum(rare) + np.arange(len(a))
+    first, second = np.divmod(a[rare] - DIRECT, PAIRED)
+    out = np.empty(len(a) + len(first), np.int64)
+    out[at[~rare]] = a[~rare]
+    out[at[rare] - 1], out[at[rare]] = DIRECT + first, DIRECT + PAIRED + second
+    return out
+
+
 def ngram_codes(text: str) -> np.ndarray:
-    """One code for each character: itself and the ORDER - 1 before it (line ends before the start)."""
-    a = np.frombuffer(("\n" * (ORDER - 1) + text).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64) & _mask(1)
+    """One code for each symbol: itself and the ORDER - 1 before it (line ends before the start)."""
+    a = np.r_[np.full(ORDER - 1, ord("\n")), symbols(text)]
     code = np.zeros(len(a) - ORDER + 1, np.int64)
     for i in range(ORDER):
         code = (code << BITS) | a[i : len(a) - ORDER + 1 + i]
@@ -122,9 +138,10 @@ def _discounts(counts: DataFrame) -> list[float]:
 
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
-    """Natural logarithms of the probabilities: size, code, lp of each n-gram of size 1 to ORDER, and lb of each context.
+    """Natural logarithms of the probabilities: size, code, n, lp of each n-gram of size 1 to ORDER, and lb of each context.
 
-    A row with lb (the weight that the context ``code`` gives to the next shorter one) has no lp.
+    A row with lb (the weight that the context ``code`` gives to the next shorter one) has no lp. n is how often an
+    n-gram of size ORDER was counted.
     """
     tables = {ORDER: stored(counts)}
     for size in range(ORDER - 1, 0, -1):
@@ -140,13 +157,14 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         p = (F.col("n") - F.col("taken")) / F.col("total")
         t = t.join(sums, "context")
         if lower is None:
-            t = t.select("code", (p + F.col("off") / F.col("total") / F.lit(float(1 << BITS))).alias("p"))
+            t = t.select("code", "n", (p + F.col("off") / F.col("total") / F.lit(float(1 << BITS))).alias("p"))
         else:
             low = lower.select(F.col("code").alias("end"), F.col("p").alias("low"))
-            t = t.withColumn("end", F.col("code").bitwiseAND(F.lit(_mask(size - 1)))).join(low, "end").select("code", (p + F.col("off") / F.col("total") * F.col("low")).alias("p"))
+            t = t.withColumn("end", F.col("code").bitwiseAND(F.lit(_mask(size - 1)))).join(low, "end").select("code", "n", (p + F.col("off") / F.col("total") * F.col("low")).alias("p"))
         lower = stored(t)
-        out.append(lower.select(F.lit(size).alias("size"), "code", F.ln("p").alias("lp"), F.lit(None).cast("double").alias("lb")))
-        out.append(sums.select(F.lit(size - 1).alias("size"), F.col("context").alias("code"), F.lit(None).cast("double").alias("lp"), F.ln(F.col("off") / F.col("total")).alias("lb")))
+        none = F.lit(None).cast("float")
+        out.append(lower.select(F.lit(size).alias("size"), "code", (F.col("n") if size == ORDER else F.lit(None).cast("bigint")).alias("n"), F.ln("p").cast("float").alias("lp"), none.alias("lb")))
+        out.append(sums.select(F.lit(size - 1).alias("size"), F.col("context").alias("code"), F.lit(None).cast("bigint").alias("n"), none.alias("lp"), F.ln(F.col("off") / F.col("total")).cast("float").alias("lb")))
     model = out[0]
     for more in out[1:]:
         model = model.unionByName(more)
@@ -154,16 +172,14 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
 
 
 class SortedModel:
-    """For each size the sorted codes and their values."""
+    """For each size the sorted codes and their values; rows come in order of the codes."""
 
     def __init__(self, rows):
         self.lp, self.lb = {}, {}
         for size in range(ORDER + 1):
             for into, which in ((self.lp, "lp"), (self.lb, "lb")):
-                got = [(np.frombuffer(r["code"], "<i8"), np.frombuffer(r["value"], "<f4")) for r in rows if r["size"] == size and r["kind"] == which]
-                code = np.concatenate([c for c, _ in got] or [np.empty(0, "<i8")])
-                order = np.argsort(code)
-                into[size] = code[order], np.concatenate([v for _, v in got] or [np.empty(0, "<f4")])[order]
+                got = [r for r in rows if r["size"] == size and r["kind"] == which]
+                into[size] = np.frombuffer(b"".join(r["code"] for r in got), "<i8"), np.frombuffer(b"".join(r["value"] for r in got), "<f4")
 
     @staticmethod
     def find(table, codes, default):
@@ -172,7 +188,7 @@ class SortedModel:
             return np.full(len(codes), default), np.zeros(len(codes), bool)
         at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
         hit = known[at] == codes
-        return np.where(hit, value[at], default), hit
+        return np.where(hit, value[at].astype(float), default), hit
 
     def log_p(self, codes: np.ndarray) -> np.ndarray:
         """Of distinct sorted codes; an n-gram that wasn't counted gets its context's weight and the shorter n-gram."""
@@ -202,7 +218,23 @@ def _sorted_model(model: DataFrame) -> SortedModel:
                     k = there & (size == s)
                     yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([kind]), pa.array([code[k].tobytes()], pa.binary()), pa.array([value[k].tobytes()], pa.binary())], ["size", "kind", "code", "value"])
 
-    return SortedModel(model.mapInArrow(lean(packed), "size int, kind string, code binary, value binary").collect())
+    parts = max(1, min(64, shuffle_partitions(model.sparkSession)))
+    rows = model.select("size", "code", "lp", "lb").repartitionByRange(parts, "size", "code").sortWithinPartitions("size", "code")
+    return SortedModel(rows.mapInArrow(lean(packed), "size int, kind string, code binary, value binary").collect())
+
+
+def _frequent(model: DataFrame, most: int) -> DataFrame:
+    """The n-grams of size ORDER that were counted most often, ``most`` of them at most."""
+    level = F.floor(F.log2("n") * 8).cast("int")  # an eighth of a doubling each: few, whatever the counts
+    whole = model.where(f"size = {ORDER} and lp is not null")
+    sizes = sorted(whole.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True)
+    held, least = 0, None
+    for r in sizes:
+        held += r.n
+        if held > most:
+            break
+        least = r.level
+    return whole.where(F.lit(False) if least is None else level >= least)
 
 
 _SCORED = ", ".join(f"{c} bigint" for c in BASE) + ", n_grams bigint, nll double"
@@ -211,55 +243,85 @@ _SCORED = ", ".join(f"{c} bigint" for c in BASE) + ", n_grams bigint, nll double
 def score_quality(docs: DataFrame, model: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row for each row of ``docs``: doc_id, lang (null: empty), key (hash of the text), BASE, n_grams, nll.
 
-    nll is minus the logarithm of the text's probability; the model is counted on ``docs`` if none is given. Null
-    texts count as empty.
+    nll is minus the logarithm of the text's probability, n_grams the number of its symbols; the model is counted on
+    ``docs`` if none is given. Null and empty texts have zeros throughout. Long texts are scored whole; rows that repeat
+    and null ids stay rows; an empty table gives an empty one; other columns are left out. The result is a stored table.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("doc_id", "lang", F.xxhash64("text").alias("key"), "text")
-    model = kneser_ney(count_ngrams(rows.select("text"))) if model is None else model
-    small = model.count() * 12 <= broadcast_bytes
-    sent = rows.sparkSession.sparkContext.broadcast(_sorted_model(model)) if small else None
-
-    def base_and_score(batches):
-        for b in batches:
-            at = 0
-            while at < b.num_rows:
-                texts, size, end = [], 0, at
-                while end < b.num_rows and size < _CHUNK:
-                    texts.append(b.column(3)[end].as_py())
-                    size += len(texts[-1])
-                    end += 1
-                base = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, len(BASE))
-                n = np.array([len(t) for t in texts])
-                nll = np.zeros(len(texts))
-                if sent is not None and n.sum():
-                    codes = np.concatenate([ngram_codes(t) for t in texts])
+    with workspace(spark) as keep:
+        model = kneser_ney(count_ngrams(rows.select("text"))) if model is None else model
+        whole = model.count() * 12 <= broadcast_bytes
+        sent = spark.sparkContext.broadcast(_sorted_model(model if whole else _frequent(model, broadcast_bytes // 12)))
+
+        def base_and_score(batches):
+            for b in batches:
+                at = 0
+                while at < b.num_rows:
+                    texts, size, end = [], 0, at
+                    while end < b.num_rows and size < _CHUNK:
+                        texts.append(b.column(3)[end].as_py())
+                        size += len(texts[-1])
+                        end += 1
+                    base = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, len(BASE))
+                    grams = [ngram_codes(t) for t in texts]
+                    n = np.array([len(g) for g in grams])
+                    codes = np.concatenate(grams)
                     order = np.argsort(codes)
                     codes = codes[order]
-                    first = np.r_[True, codes[1:] != codes[:-1]]
-                    lp = sent.value.log_p(codes[first])[np.cumsum(first) - 1]
-                    nll = np.bincount(np.repeat(np.arange(len(texts)), n)[order], weights=-lp, minlength=len(texts))
-                cols = [*(b.column(i).slice(at, end - at) for i in range(3)), *(pa.array(base[:, i]) for i in range(len(BASE))), pa.array(n.astype(np.int64)), pa.array(nll)]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "lang", "key", *BASE, "n_grams", "nll"])
-                at = end
+                    first = np.r_[True, codes[1:] != codes[:-1]][: len(codes)]
+                    known = sent.value
+                    lp = known.log_p(codes[first]) if whole else known.find(known.lp[ORDER], codes[first], 0.0)[0]
+                    nll = np.bincount(np.repeat(np.arange(len(texts)), n)[order], weights=-lp[np.cumsum(first) - 1], minlength=len(texts)).astype(float)
+                    cols = [*(b.column(i).slice(at, end - at) for i in range(3)), *(pa.array(base[:, i]) for i in range(len(BASE))), pa.array(n.astype(np.int64)), pa.array(nll)]
+                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "lang", "key", *BASE, "n_grams", "nll"])
+                    at = end
 
-    scored = rows.mapInArrow(lean(base_and_score), f"doc_id {kind}, lang string, key bigint, {_SCORED}")
-    return scored if small else _score_by_shuffle(rows, scored, model, kind)
+        scored = rows.mapInArrow(lean(base_and_score), f"doc_id {kind}, lang string, key bigint, {_SCORED}")
+        scored = keep(scored if whole else _with_rest(scored, rows, model, sent))
+        sent.destroy()
+    return scored
 
 
-def _score_by_shuffle(rows: DataFrame, scored: DataFrame, model: DataFrame, kind: str) -> DataFrame:
-    """The same with the model joined to each text's n-grams (all of them counted, as the model is the corpus' own)."""
+def _with_rest(scored: DataFrame, rows: DataFrame, model: DataFrame, sent) -> DataFrame:
+    """Adds to nll what the n-grams say that aren't among those sent; copies of a text send theirs once for each task."""
 
-    def split(batches):
+    def rest(batches):
+        known = sent.value.lp[ORDER]
         for b in batches:
             for i in range(b.num_rows):
                 code, n = np.unique(ngram_codes(b.column(1)[i].as_py()), return_counts=True)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i] * len(code), pa.int64())), pa.array(code), pa.array(n)], ["key", "code", "n"])
-
-    grams = rows.select("key", "text").dropDuplicates(["key"]).mapInArrow(lean(split), "key bigint, code bigint, n bigint")
-    nll = grams.join(model.where(f"size = {ORDER} and lp is not null").select("code", "lp"), "code").groupBy("key").agg(F.sum(-F.col("n") * F.col("lp")).alias("nll"))
-    return scored.drop("nll").join(nll, "key", "left").select("doc_id", "lang", "key", *BASE, "n_grams", F.coalesce("nll", F.lit(0.0)).alias("nll"))
+                new = ~SortedModel.find(known, code, 0.0)[1]
+                if new.any():
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i] * int(new.sum()), pa.int64())), pa.array(code[new]), pa.array(n[new])], ["key", "code", "n"])
+
+    grams = stored(rows.select("key", "text").mapInArrow(lean(rest), "key bigint, code bigint, n bigint").groupBy("key", "code").agg(F.first("n").alias("n")))
+    lp = _log_p(grams.select("code").distinct(), model)
+    more = grams.join(lp, "code").groupBy(F.col("key").alias("of")).agg(F.sum(-F.col("n") * F.col("lp")).alias("more"))
+    return scored.join(more, F.col("key") == F.col("of"), "left").withColumn("nll", F.col("nll") + F.coalesce("more", F.lit(0.0))).drop("of", "more")
+
+
+def _log_p(codes: DataFrame, model: DataFrame) -> DataFrame:
+    """code and lp of each of the distinct codes, by joins: as SortedModel.log_p."""
+    left, found = codes.select("code", F.col("code").alias("end"), F.lit(0.0).alias("weight")), []
+    for size in range(ORDER, 0, -1):
+        here = model.where((F.col("size") == size) & F.col("lp").isNotNull()).select(F.col("code").alias("end"), "lp")
+        met = stored(left.join(here, "end", "left"))
+        found.append(met.where("lp is not null").select("code", (F.col("weight") + F.col("lp").cast("double")).alias("lp")))
+        missed = met.where("lp is null").drop("lp")
+        if missed.isEmpty():
+            break
+        context = model.where((F.col("size") == size - 1) & F.col("lb").isNotNull()).select(F.col("code").alias("context"), "lb")
+        missed = missed.withColumn("context", F.shiftright("end", BITS).bitwiseAND(F.lit(_mask(size - 1)))).join(context, "context", "left")
+        left = missed.select("code", F.col("end").bitwiseAND(F.lit(_mask(size - 1))).alias("end"), (F.col("weight") + F.coalesce(F.col("lb").cast("double"), F.lit(0.0))).alias("weight"))
+    else:
+        found.append(left.select("code", (F.col("weight") - BITS * float(np.log(2))).alias("lp")))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def judge_quality(scored: DataFrame, above: float = ABOVE, below: float = BELOW) -> DataFrame:
@@ -284,14 +346,19 @@ def judge_quality(scored: DataFrame, above: float = ABOVE, below: float = BELOW)
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that judge_quality keeps, with all their columns."""
-    bad = judge_quality(stored(score_quality(docs, None, id_col, text_col, lang_col))).where("not kept").select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"), F.col("key").alias("__key")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.coalesce(F.col(lang_col).cast("string"), F.lit("")) == F.col("__lang")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__key"))
+    """The rows of ``docs`` that judge_quality keeps, with all their columns, whatever these are called.
+
+    Rows with the same id, language and text are judged alike. An empty table gives an empty one.
+    """
+    of_id, of_lang, of_key = beside(docs.columns, "id", "lang", "key")
+    bad = judge_quality(score_quality(docs, None, id_col, text_col, lang_col)).where("not kept").select(F.col("doc_id").alias(of_id), F.col("lang").alias(of_lang), F.col("key").alias(of_key)).distinct()
+    same = F.col(id_col).eqNullSafe(F.col(of_id)) & (F.coalesce(F.col(lang_col).cast("string"), F.lit("")) == F.col(of_lang)) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(of_key))
     return docs.join(bad, same, "left_anti")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = judge_quality(stored(score_quality(read(spark, sf_dir, "documents"))))
+    """Every document with its counts and verdicts; see score_quality and judge_quality."""
+    judged = judge_quality(score_quality(read(spark, sf_dir, "documents")))
     return judged.select("doc_id", *BASE, "base_failed", "kept", "char_nll", "word_nll")
 
 

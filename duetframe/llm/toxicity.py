@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, read
+from .common import lean, read, stored, workspace
 
 #: Rows that the model is fitted on, at most. Which ones is a matter of a hash of the id.
 MOST_POSITIVE = 3_000
@@ -55,21 +55,29 @@ def _sample_features(batches):
     known = _Known()
     for b in batches:
         out = []
-        for text in b.column(1).to_pylist():
+        for text in b.column(2).to_pylist():
             words = set(_LETTERS.findall((text or "").lower()))
-            out.append(np.fromiter(set().union(*map(known.__getitem__, words)), np.uint32).tobytes())
+            out.append(sorted(set().union(*map(known.__getitem__, words))))
             if len(known) > WORDS_HELD:
                 known.clear()
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["positive", "features"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int64()))], ["id", "positive", "features"])
 
 
-def _apart(a: np.ndarray, n: int, df: np.ndarray, total: int) -> np.ndarray:
+def _g(a, n: int, df, total: int):
     """G statistic of "in a positive document" against "has the feature": a of n positive ones have it, df of all."""
+    part = lambda seen, expected: F.when(seen > 0, seen * F.ln(seen / F.greatest(expected, F.lit(1e-12)))).otherwise(0.0)
+    share = n / total
+    cells = ((a, df * share), (df - a, df * (1 - share)), (n - a, (total - df) * share), (total - n - df + a, (total - df) * (1 - share)))
+    return 2 * sum((part(seen, expected) for seen, expected in cells), F.lit(0.0))
 
-    def part(seen, expected):
-        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(expected, 1e-12)), 0.0)
 
-    return 2 * sum(part(x, e) for x, e in ((a, df * (n / total)), (df - a, df * (1 - n / total)), (n - a, (total - df) * (n / total)), (total - n - df + a, (total - df) * (1 - n / total))))
+def _telling(sample: DataFrame) -> list[int]:
+    """The features whose share of positive documents is far enough (LEAST_G) from that of the others."""
+    n, total = sample.agg(F.count_if("positive"), F.count("*")).first()
+    if not n:
+        return []
+    each = sample.select("positive", F.explode("features").alias("feature")).groupBy("feature").agg(F.count_if("positive").alias("a"), F.count("*").alias("df"))
+    return sorted(r.feature for r in each.where(_g(F.col("a"), n, F.col("df"), total) >= LEAST_G).select("feature").collect())
 
 
 def _cut(p: np.ndarray, u: np.ndarray, prior: float) -> float:
@@ -89,19 +97,15 @@ def _cut(p: np.ndarray, u: np.ndarray, prior: float) -> float:
 
 
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 60, batch: int = 1024, rate: float = 0.05, shrink: float = 1e-3, seed: int = 7) -> tuple[dict[int, float], float]:
-    """Weights by feature and the bias. Each array holds the distinct features of one document."""
+    """Weights by feature and the bias. Each array holds the distinct (telling) features of one document."""
     if not positive or not unlabelled:
         return {}, float(np.log(max(prior, 1e-3) / (1 - min(prior, 0.999))))
     docs = positive + unlabelled
     size = np.array([len(d) for d in docs])
-    seen, at = np.unique(np.concatenate(docs), return_inverse=True)
-    keep = _apart(np.bincount(at[: size[: len(positive)].sum()], minlength=len(seen)), len(positive), np.bincount(at, minlength=len(seen)), len(docs)) >= LEAST_G
-    column = np.where(keep, np.cumsum(keep) - 1, -1)[at]
-    del at
-    doc = np.repeat(np.arange(len(docs)), size)[column >= 0]
-    column = column[column >= 0]
+    seen, column = np.unique(np.concatenate(docs), return_inverse=True)
+    doc = np.repeat(np.arange(len(docs)), size)
     start = np.r_[0, np.cumsum(np.bincount(doc, minlength=len(docs)))]
-    n, np_ = int(keep.sum()), len(positive)
+    n, np_ = len(seen), len(positive)
     w, m, v = (np.zeros(n + 1) for _ in range(3))  # the last is the bias
     w[-1] = np.log(prior / (1 - prior))
     rng, step = np.random.default_rng(seed), 0
@@ -133,7 +137,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     z = np.bincount(doc, weights=w[column], minlength=len(docs)) + w[-1]
     w[-1] -= _cut(z[:np_], z[np_:], prior)
     kept = np.flatnonzero(w[:-1])
-    return dict(zip(seen[keep][kept].tolist(), w[kept].tolist())), float(w[-1])
+    return dict(zip(seen[kept].tolist(), w[kept].tolist())), float(w[-1])
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[dict[int, float], float]:
@@ -144,8 +148,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     prior = min(0.9, max(1e-3, (toxic or 0) / n)) if n else 0.05
 
     def ids(of: DataFrame, most: int, kind: bool) -> list:
-        got = of.select("id", F.xxhash64("id", F.lit(5)).alias("h")).orderBy("h", "id").limit(most).collect()
-        return sorted({(r.id, kind) for r in got})
+        got = of.select("id").distinct().orderBy(F.xxhash64("id", F.lit(5)), "id").limit(most).collect()
+        return sorted((r.id, kind) for r in got)
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -153,10 +157,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     if not chosen:
         return {}, float(np.log(prior / (1 - prior)))
     wanted = F.broadcast(spark.createDataFrame(chosen, f"id {kind}, positive boolean"))  # bounded by the two constants
-    got = texts.join(wanted, "id").select("positive", "text").mapInArrow(lean(_sample_features), "positive boolean, features binary").collect()
-    rows = sorted((r.positive, r.features) for r in got)
-    del got
-    features = {k: [np.frombuffer(x, np.uint32) for p, x in rows if p is k] for k in (True, False)}
+    with workspace(spark):
+        found = texts.join(wanted, "id").select("id", "positive", "text").mapInArrow(lean(_sample_features), f"id {kind}, positive boolean, features array<bigint>")
+        sample = stored(found.groupBy("id", "positive").agg(F.min("features").alias("features")))  # of rows with one id one counts
+        telling = _telling(sample)
+        told = F.array_intersect("features", F.split(F.lit(",".join(map(str, telling))), ",").cast("array<bigint>"))
+        rows = sorted((r.positive, r.features) for r in sample.select("positive", told.alias("features")).collect()) if telling else []
+    features = {k: [np.array(x, np.int64) for p, x in rows if p is k] for k in (True, False)}
     return train(features[True], features[False], prior)
 
 

@@ -108,3 +108,24 @@ def test_equal_quartiles_still_reject(spark):
     got = judged_with_copies(spark, [0.0] * 60 + [0.01] * 10 + [-0.01] * 10 + [5.0], 0)
     assert [k for k, kept in got.items() if not kept] == [80]
     assert all(judged_with_copies(spark, [0.3] * 7, 3).values())
+
+
+def test_symbols_tell_characters_apart():
+    odd = [chr(c) for c in [*range(0, 0x900), 0x4E00, 0x4E01, 0x5E00, 0x5E01, 0xD800, 0xDFFF, 0xFFFF, 0x10000, 0x1F600, 0x10FFFF]]
+    seen = {tuple(quality.symbols(c).tolist()) for c in odd}
+    assert len(seen) == len(odd) and all(0 <= x < 1 << quality.BITS for t in seen for x in t)
+    assert quality.symbols("a一b").tolist() == [97, *quality.symbols("一").tolist(), 98]
+    assert quality.ngram_codes("一丁").tolist() != quality.ngram_codes("帀丁").tolist()
+
+
+def test_foreign_model_is_the_same_sent_or_joined(spark):
+    own = spark.createDataFrame([(i, t, "en") for i, t in enumerate(TEXTS + ["the cat sat on the mat " * 9, "日本語の文章です。" * 5])], "doc_id long, text string, lang string")
+    other = spark.createDataFrame([(1, "the mat zzz 日本", "en"), (2, "the cat sat", "en"), (3, None, "en"), (4, "ééé" * 40, None), (4, "ééé" * 40, None)], "doc_id long, text string, lang string")
+    model = quality.kneser_ney(quality.count_ngrams(own.select("text")))
+    size = model.count() * 12
+    got = []
+    for limit in (1 << 30, size // 3, size // 20, 0):
+        got.append(sorted((r.doc_id, r.nll) for r in score_quality(other, model, broadcast_bytes=limit).collect()))
+    for other_way in got[1:]:
+        assert [i for i, _ in other_way] == [i for i, _ in got[0]]
+        assert all(abs(a - b) < 1e-9 * max(1, abs(a)) for (_, a), (_, b) in zip(got[0], other_way))
