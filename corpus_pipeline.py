@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duetframe.llm.common import read, stored
+from duetframe.llm.common import beside, read, stored
 from duetframe.llm.jaccard import keep_one_of_each_group
 from duetframe.llm.packing import pack_documents
 from duetframe.llm.quality import keep_good
@@ -25,8 +25,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go; the model is fitted on what is left of the labelled documents."""
     model = fit_toxicity(docs, read(spark, sf_dir, "labels"))
-    scored = score_toxicity(docs.withColumn("__body", F.col("text")), model, "doc_id", "__body", tuple(c for c in docs.columns if c != "doc_id"))
-    return scored.where("score < 0.5").select(*docs.columns)
+    (score,) = beside(docs.columns, "score")
+    scored = score_toxicity(docs, model, keep=tuple(c for c in docs.columns if c != "doc_id"), score_col=score)
+    return scored.where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

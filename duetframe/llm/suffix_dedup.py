@@ -9,7 +9,9 @@ string finds the common prefixes of neighbouring suffixes in increasing length a
 without a value then begins a repeated string.
 
 A core with more than MOST_CONTEXTS different contexts (a passage that very many documents go on from in their own way)
-is cut into its single windows, which are counted by a 128-bit hash of their bytes, so no task gets an unbounded group.
+is made longer: each window also holds half of what it can more on the left or on the right of the core, so a context
+falls into two with longer cores, which meet in smaller groups. After a few steps the core is the whole window and all
+windows with one core are equal, so no task gets an unbounded group, and every group goes through the same transform.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few, lean, read, stored
+from .common import beside, few, lean, read, stored, workspace
 
 MIN_LENGTH = 200
 #: Bytes of the piece that names a window.
@@ -39,29 +41,27 @@ _C = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x
 
 @lru_cache(maxsize=1)
 def _tables():
-    """Twice: a random value for each byte, powers of an odd base and of its inverse modulo 2**64."""
-    rng, made = np.random.default_rng(20), []
-    for base in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
-        made.append(rng.integers(0, 1 << 63, 256, np.uint64))
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(_SEGMENT, b, np.uint64)
-            p[0] = 1
-            made.append(np.multiply.accumulate(p))
+    """A random value for each byte, powers of an odd base and of its inverse modulo 2**64."""
+    made, base = [np.random.default_rng(20).integers(0, 1 << 63, 256, np.uint64)], 0x9E3779B97F4A7C15
+    for b in (base, pow(base, -1, 1 << 64)):
+        p = np.full(_SEGMENT, b, np.uint64)
+        p[0] = 1
+        made.append(np.multiply.accumulate(p))
     return made
 
 
 def windows(data: bytes, length: int = MIN_LENGTH):
-    """Contexts of a text: first and last window start, hash of the core and two hashes of the context.
+    """Contexts of a text: first and last window start, hash of the core, and where the core begins and ends.
 
-    Hashes are polynomials modulo 2**64 over random values of the bytes; at the length of contexts (under 400 bytes) two
-    such values are as good as 128 random bits.
+    The hash is a polynomial modulo 2**64 over random values of the bytes. It only brings contexts together; whether
+    they are equal, and what they have in common, is found from their bytes.
     """
     parts = []
     step = _SEGMENT - length
     for at in range(0, max(1, len(data) - length + 1), step):
         got = _windows_of(np.frombuffer(data, np.uint8)[at : at + step + length - 1], length)
         if got is not None:
-            parts.append((got[0] + at, got[1] + at, *got[2:]))
+            parts.append((got[0] + at, got[1] + at, got[2], got[3] + at, got[4] + at))
     if not parts:
         return tuple(np.empty(0, np.int64) for _ in range(5))
     return tuple(np.concatenate(x) for x in zip(*parts))
@@ -70,7 +70,7 @@ def windows(data: bytes, length: int = MIN_LENGTH):
 def _windows_of(x: np.ndarray, length: int):
     if len(x) < length:
         return None
-    byte, power, inverse, byte2, power2, inverse2 = _tables()
+    byte, power, inverse = _tables()
     t = byte[x]
     h = t
     for s in (1, 2, 4, 8):
@@ -96,13 +96,15 @@ def _windows_of(x: np.ndarray, length: int):
     core = (sums[right] - sums[left]) * inverse[left]
     core = (core ^ (core >> np.uint64(32)) ^ np.where(e, _C[1], _C[2])) * _C[0]
     core = (core ^ (core >> np.uint64(29))).view(np.int64)
-    # equal contexts have their windows at equal places round the piece too
-    where = (p - first).astype(np.uint64) * _C[2]
-    end = last + length
-    one = ((sums[end] - sums[first]) * inverse[first] + where).view(np.int64)
-    sums = np.r_[np.uint64(0), np.cumsum(byte2[x] * power2[: len(t)])]
-    two = ((sums[end] - sums[first]) * inverse2[first] + (end - first).astype(np.uint64)).view(np.int64)
-    return first, last, core, one, two
+    return first, last, core, left, right
+
+
+def _name(context: bytes, core_at: int, core_end: int) -> tuple[int, int]:
+    """128 bits of a context and of where its core lies (which tells windows with other cores apart)."""
+    import xxhash
+
+    both = xxhash.xxh3_128_intdigest(context, core_at << 20 | core_end)
+    return (both >> 64) - (1 << 63), (both & ((1 << 64) - 1)) - (1 << 63)
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -189,7 +191,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = _rows(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
+    with workspace(rows.sparkSession) as keep:
+        return keep(_repeated_spans(rows, kind, length, most_contexts, broadcast_cores))
 
+
+def _repeated_spans(rows: DataFrame, kind: str, length: int, most_contexts: int, broadcast_cores: int) -> DataFrame:
     def cores(batches):
         for b in batches:
             for part in (b.slice(i, 500) for i in range(0, b.num_rows, 500)):
@@ -207,38 +213,38 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         asked = _with_cores(rows, cores_of=shared, length=length, kind=kind)
 
     def contexts(batches):
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for b in batches:
             for part in (b.slice(i, 250) for i in range(0, b.num_rows, 250)):
-                row, cols, held = [], [], []
+                row, cols, names, held = [], [], [], []
                 for i, t in enumerate(part.column(2)):
                     data = t.as_py().encode("utf-8", "surrogatepass")
                     wanted = sent.value if sent is not None else np.sort(np.array(part.column(3)[i].as_py() or [], np.int64))
                     if len(data) < length or not len(wanted):
                         continue
-                    first, last, core, one, two = windows(data, length)
-                    k = wanted[np.minimum(np.searchsorted(wanted, core), len(wanted) - 1)] == core
-                    row.append(np.full(k.sum(), i))
-                    cols.append(np.stack([core[k], one[k], two[k], first[k]]))
-                    for name, s, e in zip(one[k].tolist(), first[k].tolist(), (last[k] + length).tolist()):
-                        held.append(None if name in seen else data[s:e])
+                    first, last, core, left, right = windows(data, length)
+                    k = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, core), len(wanted) - 1)] == core)
+                    row.append(np.full(len(k), i))
+                    cols.append(np.stack([core[k], first[k], left[k] - first[k], right[k] - first[k]]))
+                    for s, e, lo, hi in zip(first[k].tolist(), (last[k] + length).tolist(), *cols[-1][2:].tolist()):
+                        context = data[s:e]
+                        name = _name(context, lo, hi)
+                        names.append(name)
+                        held.append(None if name in seen else context)
                         seen.add(name)
                 if len(seen) > 500_000:
                     seen.clear()
                 if row:
                     at = pa.array(np.concatenate(row))
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *map(pa.array, np.concatenate(cols, 1)), pa.array(held, pa.binary())], ["doc_id", "key", "core", "one", "two", "start", "context"])
-
-    found = stored(asked.select("doc_id", "key", "text", *named).mapInArrow(lean(contexts), f"doc_id {kind}, key bigint, core bigint, one bigint, two bigint, start bigint, context binary"))
-    entries = stored(found.groupBy("core", "one", "two").agg(F.count("*").alias("n"), F.max("context").alias("context")))
-    groups = entries.groupBy("core").agg(F.count("*").alias("contexts"))
-    hot = groups.where(F.col("contexts") > most_contexts).select("core")
-    crowded = not hot.isEmpty()
-    usual = entries.join(F.broadcast(hot) if hot.count() < 100_000 else hot, "core", "left_anti") if crowded else entries
-    met = usual.repartition("core").sortWithinPartitions("core", "one", "two").mapInArrow(lean(_compare(length)), _MET)
-    if crowded:
-        met = met.unionByName(_single_windows(entries.join(few(hot), "core", "left_semi"), length))
-    met = stored(met)
+                    core, start, lo, hi = np.concatenate(cols, 1)
+                    both = np.array(names, np.int64).reshape(-1, 2)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *map(pa.array, (core, both[:, 0], both[:, 1], start)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(held, pa.binary())], ["doc_id", "key", *_NAME, "start", "lo", "hi", "context"])
+
+    found = stored(asked.select("doc_id", "key", "text", *named).mapInArrow(lean(contexts), f"doc_id {kind}, key bigint, core bigint, one bigint, two bigint, start bigint, lo int, hi int, context binary"))
+    if sent is not None:
+        sent.destroy()
+    entries = stored(found.groupBy(*_NAME).agg(F.count("*").alias("n"), F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.max("context").alias("context")))
+    met = few(stored(_met(entries, length, most_contexts)))
     at = found.select("doc_id", "key", *_NAME, "start").join(met, list(_NAME))
     at = at.select("doc_id", "key", (F.col("start") + F.col("first")).alias("s"), (F.col("start") + F.col("last") + length).alias("e"))
     lists = at.groupBy("doc_id", "key").agg(F.collect_set(F.struct("s", "e")).alias("at"))
@@ -261,6 +267,53 @@ _NAME = ("core", "one", "two")
 _MET = "core bigint, one bigint, two bigint, first int, last int"
 
 
+def _met(entries: DataFrame, length: int, most_contexts: int) -> DataFrame:
+    """core, one, two, first, last: runs of windows of each context that begin repeated strings."""
+    groups = entries.groupBy("core").agg(F.count("*").alias("contexts"))
+    hot = few(stored(groups.where(F.col("contexts") > most_contexts).select("core")))
+    crowded = not hot.isEmpty()
+    usual = entries.join(hot, "core", "left_anti") if crowded else entries
+    met = usual.repartition("core").sortWithinPartitions(*_NAME).mapInArrow(lean(_compare(length)), _MET)
+    if not crowded:
+        return met
+    cut = stored(_longer_cores(entries.join(hot, "core", "left_semi"), length))
+    parts = stored(cut.groupBy(*_NAME).agg(F.sum("n").alias("n"), F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.max("context").alias("context")))
+    inner = few(stored(_met(parts, length, most_contexts)))
+    back = cut.join(inner, list(_NAME)).select(*(F.col(f"of_{c}").alias(c) for c in _NAME), (F.col("first") + F.col("shift")).alias("first"), (F.col("last") + F.col("shift")).alias("last"))
+    return met.unionByName(back)
+
+
+def _longer_cores(entries: DataFrame, length: int) -> DataFrame:
+    """Each context as one or two with longer cores: of_core, of_one, of_two, shift (where it begins in the former) and the columns of an entry.
+
+    A window may have ``spare`` bytes beside the core. Those with the greater part of them on the left share that part,
+    the others share one on the right; equal windows stand alike round the core, so they stay together.
+    """
+
+    def cut(batches):
+        import xxhash
+
+        for b in batches:
+            for part in (b.slice(i, 500) for i in range(0, b.num_rows, 500)):
+                row, made = [], []
+                for i, (lo, hi, context) in enumerate(zip(*(part.column(c).to_pylist() for c in ("lo", "hi", "context")))):
+                    last, spare = len(context) - length, length - (hi - lo)
+                    more = -(-spare // 2)
+                    for side, start, end, a, z in ((0, 0, min(lo - more, last), lo - more, hi), (1, max(0, lo - more + 1), last, lo, hi + spare - more + 1)):
+                        if start > end or (side and not spare):
+                            continue
+                        text, a, z = context[start : end + length], a - start, z - start
+                        core = xxhash.xxh3_64_intdigest(text[a:z], side) - (1 << 63)
+                        row.append(i)
+                        made.append((start, core, *_name(text, a, z), a, z, text))
+                at, cols = pa.array(row, pa.int64()), list(zip(*made)) or [()] * 7
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in (*_NAME, "n")), *(pa.array(x, k) for x, k in zip(cols, kinds))], [*(f"of_{c}" for c in _NAME), "n", "shift", *_NAME, "lo", "hi", "context"])
+
+    shape = "of_core bigint, of_one bigint, of_two bigint, n bigint, shift int, core bigint, one bigint, two bigint, lo int, hi int, context binary"
+    return entries.select(*_NAME, "n", "lo", "hi", "context").mapInArrow(lean(cut), shape)
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
@@ -338,43 +391,28 @@ def _compare(length: int):
     return compare
 
 
-def _single_windows(entries: DataFrame, length: int) -> DataFrame:
-    """As _compare, of the single windows of crowded cores that occur more than once."""
+NEW = ("kept", "n_bytes", "n_removed", "n_spans")
 
-    def cut(batches):
-        import xxhash
 
-        for b in batches:
-            for part in (b.slice(i, 200) for i in range(0, b.num_rows, 200)):
-                row, first, digest = [], [], []
-                for i, c in enumerate(part.column("context").to_pylist()):
-                    n = len(c) - length + 1
-                    row += [i] * n
-                    first += range(n)
-                    digest += [xxhash.xxh3_128_digest(c[j : j + length]) for j in range(n)]
-                at = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in _NAME), part.column("n").take(at), pa.array(first, pa.int32()), pa.array(digest, pa.binary())], [*_NAME, "n", "first", "window"])
-
-    cuts = entries.select(*_NAME, "n", "context").mapInArrow(lean(cut), "core bigint, one bigint, two bigint, n bigint, first int, window binary")
-    twice = cuts.groupBy("window").agg(F.sum("n").alias("total")).where("total > 1").select("window")
-    return cuts.join(twice, "window").select(*_NAME, "first", F.col("first").alias("last"))
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = MIN_LENGTH, spans: DataFrame | None = None, as_text: bool = False, **how) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = MIN_LENGTH, spans: DataFrame | None = None, as_text: bool = False, names: tuple[str, ...] = NEW, **how) -> DataFrame:
     """All columns of every row, and kept (the bytes that stay, put together), n_bytes, n_removed and n_spans.
 
-    as_text: kept is a string; of characters that a cut has split nothing stays.
+    as_text: kept is a string; of characters that a cut has split nothing stays. names: what the four are called; a
+    column of ``docs`` with such a name is left out.
 
     Texts are UTF-8 bytes; null counts as empty; strings are judged on the input, not on what is left. Rows that repeat
-    are copies of each other. An empty table gives an empty one.
+    are copies of each other; rows with the same id and other texts are different documents. Texts of any length are
+    taken whole. An empty table gives an empty one.
     """
-    spans = stored(repeated_spans(docs, id_col, text_col, length, **how)) if spans is None else spans
+    spans = repeated_spans(docs, id_col, text_col, length, **how) if spans is None else spans
     total = spans.agg(F.sum(F.length("spans") + 32)).first()[0] or 0
-    side = spans.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("spans").alias("__spans"))
+    of_id, of_key, of_spans, body = beside([*docs.columns, *names], "id", "key", "spans", "text")
+    side = spans.select(F.col("doc_id").alias(of_id), F.col("key").alias(of_key), F.col("spans").alias(of_spans))
     side = F.broadcast(side) if total <= 48 << 20 else side
     text = F.coalesce(F.col(text_col), F.lit(""))
-    joined = docs.join(side, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__key")), "left")
-    at = joined.select(*docs.columns, text.alias("__text"), "__spans")
+    joined = docs.join(side, F.col(id_col).eqNullSafe(F.col(of_id)) & (F.xxhash64(text) == F.col(of_key)), "left")
+    others = [f for f in docs.schema if f.name.lower() not in {n.lower() for n in names}]
+    at = joined.select(*(F.col(f"`{f.name}`") for f in others), text.alias(body), of_spans)
 
     def cut(batches):
         for b in batches:
@@ -389,22 +427,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 gone.append(len(data) - len(kept[-1]))
                 runs.append(len(pairs))
             left = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[: k - 2], left, *(pa.array(x, pa.int64()) for x in (size, gone, runs))], [*b.schema.names[: k - 2], "kept", "n_bytes", "n_removed", "n_spans"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: k - 2], left, *(pa.array(x, pa.int64()) for x in (size, gone, runs))], [*b.schema.names[: k - 2], *names])
 
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return at.mapInArrow(lean(cut), f"{shape}, kept {'string' if as_text else 'binary'}, n_bytes bigint, n_removed bigint, n_spans bigint")
+    shape = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in others)
+    return at.mapInArrow(lean(cut), shape + ", ".join(f"`{n}` {k}" for n, k in zip(names, ("string" if as_text else "binary", "bigint", "bigint", "bigint"))))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", **how) -> DataFrame:
     """``docs`` with the bytes that remove_repeats keeps as text; of characters that a cut has split nothing stays.
 
     chars_col, if there is such a column, is set to the new length. No row goes, even if its text is empty now. Nulls
-    stay null.
+    stay null; other columns stay as they are, whatever they are called.
     """
-    text = remove_repeats(docs, id_col, text_col, as_text=True, **how)
-    new = {text_col: F.when(F.col(text_col).isNotNull(), F.col("kept"))}
+    names = beside(docs.columns, *NEW)
+    text = remove_repeats(docs, id_col, text_col, as_text=True, names=tuple(names), **how)
+    kept = F.col(names[0])
+    new = {text_col: F.when(F.col(text_col).isNotNull(), kept)}
     if chars_col in docs.columns:
-        new[chars_col] = F.coalesce(F.length("kept").cast(docs.schema[chars_col].dataType), F.col(chars_col))
+        new[chars_col] = F.coalesce(F.length(kept).cast(docs.schema[chars_col].dataType), F.col(chars_col))
     return text.withColumns(new).select(*docs.columns)
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, read, stored, workspace
+from .common import beside, lean, read, stored, workspace
 
 #: Rows that the model is fitted on, at most. Which ones is a matter of a hash of the id.
 MOST_POSITIVE = 3_000
@@ -167,8 +167,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     return train(features[True], features[False], prior)
 
 
-def score_toxicity(docs: DataFrame, model: tuple[dict[int, float], float], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id_col, score of every whole text, and the columns named in ``keep``. Null and empty texts get the bias' score."""
+def score_toxicity(docs: DataFrame, model: tuple[dict[int, float], float], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), score_col: str = "score") -> DataFrame:
+    """id_col, the columns named in ``keep``, and the score of every whole text as ``score_col``.
+
+    Null and empty texts get the bias' score. Rows that repeat, null ids and equal ids stay rows; an empty table gives
+    an empty one; columns that aren't named are left out.
+    """
     weights, bias = model
     cols = [id_col, *keep]
 
@@ -187,11 +191,11 @@ def score_toxicity(docs: DataFrame, model: tuple[dict[int, float], float], id_co
                 if len(known) > WORDS_HELD:
                     known.clear()
             p = 1 / (1 + np.exp(-np.clip(np.array(out, float), -500, 500)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p)], [*cols, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p)], [*cols, score_col])
 
     schema = docs.select(*cols).schema
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return docs.select(*cols, F.col(text_col).alias("__text")).mapInArrow(lean(score), f"{shape}, score double")
+    return docs.select(*cols, F.col(text_col).alias(beside(cols, "text")[0])).mapInArrow(lean(score), f"{shape}, `{score_col}` double")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
