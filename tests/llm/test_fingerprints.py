@@ -63,3 +63,60 @@ def test_query(spark):
 def test_likeness(spark):
     df = spark.createDataFrame([([1, 2], [1, 2]), ([], []), ([1], []), ([1, 2, 3], [2, 3, 4])], "a array<long>, b array<long>")
     assert [r[0] for r in df.select(likeness(F.col("a"), F.col("b"))).collect()] == [1.0, 1.0, 0.0, 0.5]
+
+
+def brute_likeness(a, b):
+    if not a and not b:
+        return 1.0
+    band = fingerprints.LEAST_BAND + max(len(a), len(b)) // fingerprints.BAND
+    place = {x: i for i, x in enumerate(b)}
+    n = {}
+    for i, x in enumerate(a):
+        if x in place:
+            at = (place[x] - i) // band
+            n[at] = n.get(at, 0) + 1
+    matched = max((n[at] + n.get(at + 1, 0) for at in n), default=0)
+    return matched / (len(a) + len(b) - len(set(a) & set(b)))
+
+
+def test_likeness_goes_by_place(spark):
+    rng = random.Random(5)
+    rows = []
+    for _ in range(200):
+        a = rng.sample(range(-400, 400), rng.choice([0, 1, 3, 30, 200]))
+        b = list(a)
+        for _ in range(rng.choice([0, 1, 3])):
+            i, j = sorted((rng.randrange(len(b) + 1), rng.randrange(len(b) + 1)))
+            b = rng.choice([b[:i] + b[j:], b[j:] + b[i:j] + b[:i], b[:i] + rng.sample(range(1000, 2000), 9) + b[i:]])
+        rows.append((a, b if rng.random() < 0.9 else rng.sample(range(5000), 7)))
+    rows = [(a, list(dict.fromkeys(b))) for a, b in rows]
+    got = spark.createDataFrame(rows, "a array<long>, b array<long>").select("a", "b", likeness(F.col("a"), F.col("b")).alias("x")).collect()
+    assert all(abs(r.x - brute_likeness(r.a, r.b)) < 1e-12 for r in got) and len({r.x for r in got}) > 20
+    half = list(range(100))
+    moved = spark.createDataFrame([(half, half[50:] + half[:50]), (half, half[:50] + [1000, 1001] + half[50:])], "a array<long>, b array<long>")
+    turned, longer = (r[0] for r in moved.select(likeness(F.col("a"), F.col("b"))).collect())
+    assert turned == 0.5 and longer == 100 / 102
+
+
+def test_an_edit_inside_unspaced_text_moves_few_anchors(spark):
+    rng = random.Random(9)
+    text = "".join(chr(0x4E00 + rng.randrange(900)) for _ in range(3000))
+    df = spark.createDataFrame([(0, text), (1, "一" + text), (2, text[:1500] + "丁" + text[1500:])], "i int, text string")
+    df = df.select("i", fingerprints.fingerprint(F.col("text")).alias("p"))
+    p = {r.i: r.p for r in df.collect()}
+    assert len(p[0]) > 1000 and all(len(set(p[0]) ^ set(p[i])) <= 2 * K for i in (1, 2))
+
+
+def test_ids_of_any_kind(spark):
+    rows = [("b", "x"), ("ab", "y"), ("", "z"), (None, "u"), ("b", "w"), (None, None), ("ä", "v")]
+    df = spark.createDataFrame([(i, t, 1, "k") for i, t in rows], "doc_id string, text string, bucket int, key string")
+    order = sorted(rows, key=lambda r: (r[0] is not None, (r[0] or "").encode()), reverse=True)
+    got = {(r.doc_id, r.text): r.next_text for r in with_next(df).collect()}
+    assert len(got) == len(rows)
+    ids = [i for i, _ in order]
+    of_text = {t or "": i for i, t in rows}
+    at, seen = ("ä", "v"), []
+    for _ in rows:
+        seen.append(at[0])
+        at = (of_text[got[at]], got[at])
+    assert seen == ids and at == ("ä", "v")
