@@ -112,15 +112,29 @@ def give_back(spark: SparkSession) -> None:
     and memory that its compiler threads have freed (which the C library otherwise keeps)."""
     jvm = spark.sparkContext._jvm
     jvm.System.gc()
-    beans = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
-    command = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
-    none = (spark.sparkContext._gateway.new_array(kind, 0) for kind in (jvm.Object, jvm.String))
     try:
-        beans.invoke(command, "systemTrimNativeHeap", *none)
+        _command(spark, "systemTrimNativeHeap")
     except Py4JError:  # not every JVM has that command
         pass
 
 
+def _command(spark: SparkSession, name: str) -> str:
+    """Runs a diagnostic command of the driver's JVM, through the interface (its class isn't open to callers)."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+
+    def array(kind, *items):
+        made = gateway.new_array(kind, len(items))
+        for i, x in enumerate(items):
+            made[i] = x
+        return made
+
+    of = jvm.java.lang.Class.forName
+    kinds = array(jvm.java.lang.Class, *map(of, ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")))
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    commands = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    return of("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(server, array(jvm.Object, commands, name, array(jvm.Object), array(jvm.String)))
+
+
 def _forget(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
