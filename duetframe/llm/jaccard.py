@@ -4,7 +4,8 @@ Documents with the same set of shingles are one class. Classes are put into grou
 its rarest shingles with the most central class that has them, and if the two are similar they are in one group. The matrix
 holds, for every shingle that decides, which groups have it; with each group goes the union of its members' shingles.
 A class is held against the groups of other clusters that the matrix finds for it: a group is opened only if the class
-has enough shingles in common with the union, and then compared with its members one by one.
+has enough shingles in common with the union, and then compared with its members one by one. Classes of one cluster are
+compared through what each has more or less than the cluster's centre.
 
 Nothing is lost: two similar sets have a shingle in common among the first of both in any fixed order of shingles (the
 smaller set needs fewer of them), and the order here puts frequent ones last. How often a shingle occurs is counted in
@@ -18,12 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, connected_components, few, lean, read, stored
+from .common import LOWER, beside, connected_components, few, lean, read, stored, workspace
 
 #: Counters of the table of shingle frequencies, as a power of two, and the parts it is added up in.
 COUNTER_BITS, COUNTER_PARTS = 20, 64
 #: Classes of a group, about.
 GROUP_SIZE = 32
+#: Classes of a cluster, and shingles by which they differ from its centre, that a task compares with as many others, about.
+BLOCK_CLASSES, BLOCK_SHINGLES = 1_000, 2_000_000
+#: Classes that meet a copy of their cluster's centre (or pivot) in one place, about.
+BESIDE_PIVOT = 500
 WORDS_HELD = 200_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -60,17 +65,21 @@ def _counter(tokens: np.ndarray) -> np.ndarray:
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, key (hash of the text; with the id it names a row's text) and text."""
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), F.col(text_col).alias("text"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), F.col(text_col).alias("text"))
 
 
 def _scan(rows: DataFrame, k: int) -> DataFrame:
     """Two kinds of rows: doc_id, key, n, hi, lo (hash of the set) for documents; part, counts of the table for tasks."""
 
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
     def scan(batches):
         import xxhash
 
+        id_type = None
         known, counts, waiting, size = _Words(), np.zeros(1 << COUNTER_BITS, np.int32), [], 0
         for b in batches:
+            id_type = b.schema.field(0).type
             n, hi, lo = [], [], []
             for text in b.column(2):
                 tokens = shingle_hashes(text.as_py(), k, known)
@@ -89,9 +98,9 @@ def _scan(rows: DataFrame, k: int) -> DataFrame:
             counts += np.bincount(_counter(np.concatenate(waiting)), minlength=len(counts)).astype(np.int32)
         if counts.any():
             none = pa.nulls(COUNTER_PARTS, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(range(COUNTER_PARTS), pa.int32()), pa.array([c.tobytes() for c in np.split(counts, COUNTER_PARTS)], pa.binary())], ["doc_id", "key", "n", "hi", "lo", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(COUNTER_PARTS, id_type), none, none, none, none, pa.array(range(COUNTER_PARTS), pa.int32()), pa.array([c.tobytes() for c in np.split(counts, COUNTER_PARTS)], pa.binary())], ["doc_id", "key", "n", "hi", "lo", "part", "counts"])
 
-    return rows.mapInArrow(lean(scan), "doc_id bigint, key bigint, n bigint, hi bigint, lo bigint, part int, counts binary")
+    return rows.mapInArrow(lean(scan), f"doc_id {kind}, key bigint, n bigint, hi bigint, lo bigint, part int, counts binary")
 
 
 def _frequency_classes(scanned: DataFrame) -> np.ndarray:
@@ -166,39 +175,54 @@ def _at_least(part, whole: int):
 
 
 def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id of every row; also key, the text's hash, and group, a name of the component.
+    """doc_id, n_shingles, component_id and n_links of every row; also key, the text's hash, and group, a name of the component.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; a document's set holds its distinct k-word
     shingles, of fewer words the whole sequence. Two documents link if 100 * intersection >= percent * union;
-    component_id is the smallest doc_id reachable by links. Null and empty texts and texts without words have an empty
-    set, link with nothing and keep their own id (their group is null). A null id is never the smallest (a component of
-    such rows alone has a null id); ids are whole numbers. Rows with the same id and text are copies like any others,
-    rows with the same id and other texts are different documents. An empty table gives an empty one; other columns are
-    left out.
+    component_id is the smallest doc_id reachable by links, n_links the number of other rows that a row links with. Null
+    and empty texts and texts without words have an empty set, link with nothing and keep their own id (their group is
+    null). A null id is never the smallest (a component of such rows alone has a null id); ids are of any type that
+    sorts. Rows with the same id and text are copies like any others, rows with the same id and other texts are
+    different documents. Texts of any length are taken whole. An empty table gives an empty one; other columns are left
+    out. The result is a stored table.
     """
-    rows = _rows(docs, id_col, text_col)
+    with workspace(docs.sparkSession) as keep:
+        return keep(_groups(_rows(docs, id_col, text_col), k, percent))
+
+
+def _groups(rows: DataFrame, k: int, percent: int, count_links: bool = True) -> DataFrame:
+    """The rows of jaccard_groups; without count_links n_links is left out."""
     spark = rows.sparkSession
     scanned = stored(_scan(rows, k))
     levels = spark.sparkContext.broadcast(_frequency_classes(scanned))
     members = scanned.where("part is null").drop("part", "counts")
     # a class is known by 64 bits of its set's hash: ids need be neither there nor unique
-    at = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
-    classes = members.where("n > 0").groupBy("hi", "lo").agg(at.alias("f"), F.first("n").alias("n"))
-    classes = stored(classes.select(F.col("hi").alias("node"), "lo", "n", F.col("f.doc_id").alias("at_id"), F.col("f.key").alias("at_key")))
+    alike = members.where("n > 0").groupBy("hi", "lo", "doc_id", "key").agg(F.count("*").alias("rows"), F.first("n").alias("n"))
+    at = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "rows"))
+    classes = alike.groupBy("hi", "lo").agg(at.alias("f"), F.first("n").alias("n"), F.sum("rows").alias("weight"))
+    classes = stored(classes.select(F.col("hi").alias("node"), "lo", "n", "weight", F.col("f.doc_id").alias("at_id"), F.col("f.key").alias("at_key"), (F.col("f.rows") > 1).alias("again")))
+    again = not classes.where("again").isEmpty()
     smallest = percent // (100 - percent) + (percent % (100 - percent) > 0)  # a smaller set is similar to no other
 
     def texts_of(nodes: DataFrame) -> DataFrame:
-        """Texts of the classes in ``nodes`` (node and more columns)."""
-        asked = few(classes.select("node", "at_id", "at_key").join(nodes, "node"))
-        return rows.join(asked, rows.doc_id.eqNullSafe(asked.at_id) & (rows.key == asked.at_key)).select(*nodes.columns, "text")
+        """One text for each class in ``nodes`` (node and more columns)."""
+        asked = classes.select("node", "at_id", "at_key", "again").join(nodes, "node")
+
+        def found(asked: DataFrame) -> DataFrame:
+            asked = few(asked)
+            return rows.join(asked, rows.doc_id.eqNullSafe(asked.at_id) & (rows.key == asked.at_key)).select(*nodes.columns, "text")
+
+        once = found(asked.where("not again"))
+        return once.unionByName(found(asked.where("again")).dropDuplicates(nodes.columns[:1])) if again else once
 
     keys = stored(_keys(texts_of(classes.where(F.col("n") >= smallest).select("node")), levels, k, percent))
+    levels.destroy()
     # the set in which the shingle stands foremost has the fewest shingles of its own: it is in the middle of the others
     pivots = keys.groupBy("token").agg(F.min_by("id", "at").alias("pivot"), F.min("id").alias("low"), F.max("id").alias("top"))
     pivots = pivots.where("low <> top").select("token", "pivot")
     shared = stored(keys.join(pivots, "token"))
     near = stored(_near_pivots(shared, texts_of, k, percent))
-    clusters = connected_components(near)
+    clusters = stored(connected_components(near))
     links = stored(_links_across(shared, clusters, texts_of, k, percent))
     both = clusters.select("id", "component")
     if not links.isEmpty():
@@ -207,22 +231,113 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
         merged = connected_components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))).select(F.col("id").alias("component"), F.col("component").alias("root"))
         whole = at.join(merged, "component", "left").select("id", F.coalesce("root", "component").alias("component"))
         both = whole.union(merged.select(F.col("component").alias("id"), F.col("root").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
-    grouped = classes.join(both, classes.node == both.id, "left").select("node", "lo", "at_id", F.coalesce("component", "node").alias("group"))
+    grouped = classes.join(both, classes.node == both.id, "left").select("node", "lo", "at_id", "weight", F.coalesce("component", "node").alias("group"))
     least = grouped.groupBy("group").agg(F.min("at_id").alias("least"))
-    own = few(stored(grouped.join(least, "group").select(F.col("node").alias("hi"), "lo", "group", "least")))
-    out = members.join(own, ["hi", "lo"], "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least"))
-    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), component.alias("component_id"), "group")
+    told = grouped.join(least, "group")
+    if count_links:
+        weights = classes.select(F.col("node").alias("other"), "weight")
+        links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()  # sets of one size are found from both
+        across = links.select(F.col("a").alias("id"), F.col("b").alias("other")).union(links.select(F.col("b").alias("id"), F.col("a").alias("other"))).join(weights, "other").select("id", F.col("weight").alias("links"))
+        counted = across.union(_links_inside(near, clusters, classes, texts_of, k, percent)).groupBy(F.col("id").alias("linked")).agg(F.sum("links").alias("links"))
+        told = told.join(counted, told.node == counted.linked, "left").withColumn("n_links", F.col("weight") - 1 + F.coalesce("links", F.lit(0)))
+    more = ["n_links"] if count_links else []
+    own = few(stored(told.select(F.col("node").alias("hi"), "lo", "group", "least", *more)))
+    some = members.where("n > 0").join(own, ["hi", "lo"]).select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"), *more, "group")
+    none = members.where("n = 0").select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *(F.lit(0).cast("bigint").alias(c) for c in more), F.lit(None).cast("bigint").alias("group"))
+    return some.unionByName(none)
+
+
+def _beside(of: DataFrame, pivot: str, texts_of, k: int) -> DataFrame:
+    """node, ``pivot``, tokens and of_pivot: the sets of the classes in ``of`` (node, pivot) and of their pivots.
+
+    A pivot that very many classes have is copied, so that they don't all meet in one task.
+    """
+    crowd = of.groupBy(pivot).agg(F.ceil(F.count("*") / BESIDE_PIVOT).alias("copies"))
+    salted = of.join(crowd, pivot).select("node", pivot, F.pmod(F.xxhash64("node"), F.col("copies")).alias("salt"))
+    others = _sets(texts_of(salted), k)
+    middle = _sets(texts_of(crowd.select(F.col(pivot).alias("node"), "copies")), k)
+    middle = middle.select(F.col("node").alias(pivot), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)).alias("salt"), F.col("tokens").alias("of_pivot"))
+    return others.join(middle, [pivot, "salt"]).select("node", pivot, "tokens", "of_pivot")
+
+
+def _links_inside(near: DataFrame, clusters: DataFrame, classes: DataFrame, texts_of, k: int, percent: int) -> DataFrame:
+    """id and links: with how many rows of other classes of its cluster a class links, in one or more parts.
+
+    With P the set of the cluster's centre and D(X) what X has more or less than P, two sets have
+    |P| - |P - A| - |P - B| + |D(A) & D(B)| shingles in common, whatever P is: the shingles of D tell it all, and they are
+    few where sets are similar. A large cluster is cut into blocks, and tasks compare one block with another.
+    """
+    best = near.groupBy(F.col("b").alias("id")).agg(F.count("*").alias("n")).join(clusters, "id").groupBy("component").agg(F.max_by("id", F.struct("n", "id")).alias("centre"))
+    of = clusters.join(best, "component").select(F.col("id").alias("node"), "centre")
+    more, less = F.array_except("tokens", "of_pivot"), F.array_except("of_pivot", "tokens")
+    apart = _beside(stored(of), "centre", texts_of, k).select("node", "centre", F.size("tokens").alias("n"), F.size(less).alias("less"), F.concat(more, less).alias("apart"))
+    apart = stored(apart.join(classes.select("node", "weight"), "node"))
+    size = apart.groupBy("centre").agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum(F.size("apart")) / BLOCK_SHINGLES)).alias("blocks"))
+    own, to = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+    dealt = apart.join(size, "centre").withColumn("block", own).withColumn("to", to)
+    dealt = dealt.select("centre", F.least("block", "to").alias("low"), F.greatest("block", "to").alias("high"), "block", "node", "n", "less", "weight", "apart")
+    dealt = dealt.repartition("centre", "low", "high").sortWithinPartitions("centre", "low", "high")
+
+    def compare(batches):
+        def links(group):
+            block, node, n, less, weight = (np.array([r[i] for r in group], np.int64) for i in range(3, 8))
+            whole = int(n[0] - len(group[0][8]) + 2 * less[0])  # the centre's shingles
+            sides = [np.flatnonzero(block == x) for x in dict.fromkeys((group[0][1], group[0][2]))]
+            if not all(map(len, sides)):
+                return []
+            left, right = sides[0], sides[-1]
+            common = np.zeros((len(left), len(right)), np.int64)
+            places = []
+            for side in (left, right):
+                token = np.concatenate([np.asarray(group[i][8], np.int64) for i in side])
+                row = np.repeat(np.arange(len(side)), [len(group[i][8]) for i in side])
+                order = np.argsort(token, kind="stable")
+                seen, start = np.unique(token[order], return_index=True)
+                places.append((seen, np.append(start, len(token)), row[order]))
+            (seen, start, row), (seen2, start2, row2) = places
+            both, i, j = np.intersect1d(seen, seen2, assume_unique=True, return_indices=True)
+            size, size2 = start[i + 1] - start[i], start2[j + 1] - start2[j]
+            one = (size == 1) & (size2 == 1)  # the usual case all at once
+            np.add.at(common, (row[start[i[one]]], row2[start2[j[one]]]), 1)
+            for x, y in zip(i[~one], j[~one]):
+                common[np.ix_(row[start[x] : start[x + 1]], row2[start2[y] : start2[y + 1]])] += 1
+            common += whole - less[left][:, None] - less[right][None, :]
+            similar = (100 + percent) * common >= percent * (n[left][:, None] + n[right][None, :])
+            if len(sides) == 1:
+                np.fill_diagonal(similar, False)
+            out = list(zip(node[left].tolist(), (similar @ weight[right]).tolist()))
+            if len(sides) == 2:
+                out += zip(node[right].tolist(), (weight[left] @ similar).tolist())
+            return [x for x in out if x[1]]
+
+        def batch(out):
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["id", "links"])
+
+        group, out = [], []
+        for b in batches:
+            cols = [c.to_pylist() for c in b.columns[:-1]]
+            apart = b.column(b.num_columns - 1)
+            for at, r in enumerate(zip(*cols)):
+                if group and group[0][:3] != r[:3]:
+                    out += links(group)
+                    group = []
+                group.append((*r, apart[at].values.to_numpy(zero_copy_only=False)))
+            if len(out) > 5_000:
+                yield batch(out)
+                out = []
+        if group:
+            out += links(group)
+        yield batch(out)
+
+    return dealt.mapInArrow(lean(compare), "id bigint, links bigint")
 
 
 def _near_pivots(shared: DataFrame, texts_of, k: int, percent: int) -> DataFrame:
     """Links (a, b) of each class with the pivot that it has most shingles in common with, where they are similar."""
     least = percent * (100 - percent) / (100 + percent) / 200  # half the part of a set that similar sets of a size must share here
     best = shared.where("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= F.col("n") * least)
-    best = stored(best.groupBy("id").agg(F.max_by("pivot", F.struct("c", -F.col("pivot"))).alias("pivot")))
-    others = _sets(texts_of(best.select(F.col("id").alias("node"), "pivot")), k)
-    middle = _sets(texts_of(best.select(F.col("pivot").alias("node")).distinct()), k).select(F.col("node").alias("pivot"), F.col("tokens").alias("of_pivot"))
-    return others.join(middle, "pivot").where(_similar(F.col("tokens"), F.col("of_pivot"), percent)).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    best = stored(best.groupBy("id").agg(F.max_by("pivot", F.struct("c", -F.col("pivot"))).alias("pivot")).select(F.col("id").alias("node"), "pivot"))
+    return _beside(best, "pivot", texts_of, k).where(_similar(F.col("tokens"), F.col("of_pivot"), percent)).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
 
 
 def _links_across(shared: DataFrame, clusters: DataFrame, texts_of, k: int, percent: int) -> DataFrame:
@@ -270,21 +385,25 @@ def keep_one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 80, id_co
     """The rows of ``docs``, all columns, without near copies: of each component the row with the smallest doc_id stays.
 
     Rows whose set is empty all stay. Of rows that share id and text one stays (its other columns are those of any).
+    Columns may have any names.
     """
-    groups = stored(jaccard_groups(docs, k, percent, id_col, text_col).where("n_shingles > 0").groupBy("group", "doc_id", "key").agg(F.count("*").alias("rows")))
-    chosen = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("one"))
-    told = groups.join(few(chosen), "group").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("key") == F.col("one.key")))
-    told = stored(told.where("not stays or rows > 1").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("stays").alias("__stays")).distinct())
+    of_id, of_key, stays = beside(docs.columns, "id", "key", "stays")
+    with workspace(docs.sparkSession) as keep:
+        groups = _groups(_rows(docs, id_col, text_col), k, percent, count_links=False)
+        groups = stored(groups.where("n_shingles > 0").groupBy("group", "doc_id", "key").agg(F.count("*").alias("rows")))
+        chosen = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("one"))
+        told = groups.join(few(chosen), "group").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("key") == F.col("one.key")))
+        told = keep(told.where("not stays or rows > 1").select(F.col("doc_id").alias(of_id), F.col("key").alias(of_key), F.col("stays").alias(stays)).distinct())
 
     def same(t):
-        return F.col(id_col).cast("bigint").eqNullSafe(t["__id"]) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == t["__key"])
+        return F.col(id_col).eqNullSafe(t[of_id]) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == t[of_key])
 
-    gone, again = told.where("not __stays"), told.where("__stays")
+    gone, again = told.where(~F.col(stays)), told.where(F.col(stays))
     kept = docs.join(few(gone), same(gone), "left_anti")
     if again.isEmpty():
         return kept
     again = few(again)
-    one = kept.join(again, same(again)).dropDuplicates(["__id", "__key"]).select(*docs.columns)
+    one = kept.join(again, same(again)).dropDuplicates([of_id, of_key]).select(*docs.columns)
     return kept.join(again, same(again), "left_anti").unionByName(one)
 
 

@@ -4,6 +4,7 @@ from itertools import combinations
 
 import pytest
 
+from duetframe.llm import jaccard
 from duetframe.llm.common import connected_components
 from duetframe.llm.jaccard import jaccard_groups, keep_one_of_each_group
 
@@ -38,6 +39,17 @@ def brute(rows, k, percent):
     return [(d, len(s), low.get(find(i)) if s else d) for i, ((d, _), s) in enumerate(zip(rows, sets))]
 
 
+def brute_links(rows, k, percent):
+    sets = sets_of([t for _, t in rows], k)
+    n = [0] * len(rows)
+    for i, j in combinations(range(len(rows)), 2):
+        a, b = sets[i], sets[j]
+        if a and b and 100 * len(a & b) >= percent * len(a | b):
+            n[i] += 1
+            n[j] += 1
+    return [(d, x) for (d, _), x in zip(rows, n)]
+
+
 def made(seed):
     rng = random.Random(seed)
     vocab = [f"w{i}" for i in range(60)]
@@ -87,3 +99,21 @@ def test_components(spark):
     want = {k: v for k, v in root.items() if any(k in e and e[0] != e[1] for e in edges)}
     got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.id: r.component for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("block", [1000, 4])
+def test_number_of_links_equals_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK_CLASSES", block)
+    monkeypatch.setattr(jaccard, "BESIDE_PIVOT", block)
+    rows = made(4)
+    df = spark.createDataFrame([(None if i is None else f"d{i}", t, 1, 2) for i, t in rows], "doc_id string, text string, n_links int, node int")
+    got = [(r.doc_id, r.n_links) for r in jaccard_groups(df, 3, 80).collect()]
+    want = [(None if i is None else f"d{i}", n) for i, n in brute_links(rows, 3, 80)]
+    assert sorted(got, key=lambda r: (r[0] or "", r[1])) == sorted(want, key=lambda r: (r[0] or "", r[1]))
+    assert max(n for _, n in want) > 8
+
+
+def test_rows_that_repeat_very_often(spark):
+    rows = [(1, "a b c d e f g h i j k")] * 60 + [(2, "a b c d e f g h i j z")] * 40 + [(3, "x y z")] * 20
+    got = jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
+    assert sorted((r.doc_id, r.component_id, r.n_links) for r in got) == [(1, 1, 99)] * 60 + [(2, 1, 99)] * 40 + [(3, 3, 19)] * 20
