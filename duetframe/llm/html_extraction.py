@@ -9,7 +9,7 @@ document tree. The minimum cut labels all blocks of the page at once; its source
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from html import unescape
 from math import exp, log2
 
@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import lean, read
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+#: The rest of a tag, in which > may stand between quotes.
+_REST = re.compile(r"""((?:"[^"]*"|'[^']*'|[^'">])*+)>""")
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Elements whose content isn't markup; it is skipped to their end tag.
@@ -40,6 +42,10 @@ ON_WORDS = frozenset("article content post entry story body text main prose main
 _NO = frozenset("has with no without show hide is".split())
 #: Open elements that a start tag ends.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Tags of a page whose quotes are looked for to the page's end in vain; in later ones > ends a tag wherever it stands.
+MOST_UNCLOSED = 20
+#: Steps in the tree beyond which a distance counts as so many.
+FARTHEST = 60
 #: How strongly neighbours hold together, and how that falls off with each step between them in the tree.
 TOGETHER, FALL = 1.0, 1.6
 _kinds: dict[tuple[str, str], float | None] = {}
@@ -72,53 +78,103 @@ def _kind(tag: str, attributes: str) -> float | None:
     return _kinds[key]
 
 
+class Node:
+    """An open element: its tag, the element it stands in, how deep that is, and what it or the nearest one above says."""
+
+    __slots__ = ("depth", "said", "tag", "up")
+
+    def __init__(self, tag: str, up: Node | None, said: float | None):
+        self.tag, self.up, self.said = tag, up, said
+        self.depth = up.depth + 1 if up else 1
+
+
 class Block:
-    __slots__ = ("links", "path", "said", "tag", "text")
+    __slots__ = ("at", "links", "text")
+
+    def __init__(self, text: str, links: int, at: Node | None):
+        self.text, self.links, self.at = text, links, at
+
+    @property
+    def said(self) -> float | None:
+        return self.at.said if self.at else None
+
+    @property
+    def tag(self) -> str:
+        return self.at.tag if self.at else ""
+
+
+def tokens_of(html: str):
+    """(text, tag, closing, attributes) by turns: the text before each tag, and the tag; tag is empty for what is none.
+
+    Every character is looked at a bounded number of times, whatever the page.
+    """
+    start = at = unclosed = 0
+    last = html.rfind(">")
+    while True:
+        i = html.find("<", at)
+        if i >= 0 and html.startswith("<!--", i):
+            end = html.find("-->", i + 4)
+            yield html[start:i], "", False, ""
+            start = at = len(html) if end < 0 else end + 3
+            continue
+        if i < 0 or i > last:
+            yield html[start:], "", False, ""
+            return
+        if html.startswith(("<!", "<?"), i):
+            yield html[start:i], "", False, ""
+            start = at = html.find(">", i) + 1
+            continue
+        name = _NAME.match(html, i + 1)
+        if not name:
+            at = i + 1
+            continue
+        rest = _REST.match(html, name.end()) if unclosed < MOST_UNCLOSED else None
+        if rest:
+            end, attributes = rest.end(), rest[1]
+        else:
+            unclosed += 1
+            end = html.find(">", name.end()) + 1
+            attributes = html[name.end() : end - 1]
+        tag = name[2].lower()
+        yield html[start:i], tag, bool(name[1]), attributes
+        start = at = end
+        if tag in RAW and not name[1]:
+            found = _RAW_END[tag].search(html, end)
+            start = at = found.end() if found else len(html)
 
-    def __init__(self, text, links, path, said, tag):
-        self.text, self.links, self.path, self.said, self.tag = text, links, path, said, tag
+
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>?", re.I) for tag in RAW}
 
 
 def blocks_of(html: str) -> list[Block]:
     """The text blocks of a page in order: references decoded, white space made single spaces, no empty ones."""
     out: list[Block] = []
-    stack: list[tuple[str, int, float | None]] = []  # tag, number, what it or the nearest ancestor with a say says
+    stack: list[Node] = []
+    opened: Counter[str] = Counter()
     parts: list[str] = []
-    links = in_link = number = 0
-    at = 0
+    links = in_link = 0
+    in_body = False
 
     def flush():
         nonlocal links
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, min(links, len(text)), tuple(s[1] for s in stack), stack[-1][2] if stack else None, stack[-1][0] if stack else ""))
+                out.append(Block(text, min(links, len(text)), stack[-1] if stack else None))
             parts.clear()
         links = 0
 
-    def put(raw):
-        nonlocal links
-        text = unescape(raw) if "&" in raw else raw
-        parts.append(text)
-        if in_link:
-            links += len(text.strip())
-
-    search = _TOKEN.search
-    while True:
-        m = search(html, at)
-        if not m:
-            put(html[at:])
-            break
-        if m.start() > at:
-            put(html[at : m.start()])
-        at = m.end()
-        tag = m[2] or m[5]
-        if not tag:
-            continue
-        tag, closing, attributes = tag.lower(), m[1] or m[4], m[3] if m[2] else m[6]
-        if tag in RAW and not closing:
-            end = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(html, at)
-            at = end.end() if end else len(html)
+    def leave(upto: int) -> None:
+        while len(stack) > upto:
+            opened[stack.pop().tag] -= 1
+
+    for raw, tag, closing, attributes in tokens_of(html):
+        if raw:
+            text = unescape(raw) if "&" in raw else raw
+            parts.append(text)
+            if in_link:
+                links += len(text.strip())
+        if not tag or tag in RAW and not closing:
             continue
         if tag in INLINE:
             if tag == "br":
@@ -129,26 +185,25 @@ def blocks_of(html: str) -> list[Block]:
         flush()
         in_link = 0
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if opened[tag]:
+                leave(next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag))
             continue
         if tag in VOID:
             continue
-        if stack and stack[-1][0] == "p":
-            stack.pop()
+        if stack and stack[-1].tag == "p":
+            leave(len(stack) - 1)
         ends = ENDS.get(tag)
-        while ends and stack and stack[-1][0] in ends:
-            stack.pop()
-        if tag == "body":
-            stack = [s for s in stack if s[0] == "html"]
+        while ends and stack and stack[-1].tag in ends:
+            leave(len(stack) - 1)
+        if tag == "body" and not in_body:
+            in_body = True
+            leave(next((i for i, s in enumerate(stack) if s.tag != "html"), len(stack)))
         said = _kind(tag, attributes)
-        above = stack[-1][2] if stack else None
+        above = stack[-1].said if stack else None
         if tag == "header" and said == -5.5 and above is not None and above > 0:
             said = None  # an article's own header
-        number += 1
-        stack.append((tag, number, above if said is None else said))
+        stack.append(Node(tag, stack[-1] if stack else None, above if said is None else said))
+        opened[tag] += 1
     flush()
     return out
 
@@ -168,24 +223,30 @@ def log_odds(b: Block) -> float:
     return score
 
 
+def _steps(a: Node | None, b: Node | None) -> int:
+    """Steps in the tree from one element to another, less two; FARTHEST at most."""
+    steps = 0
+    while a is not b and steps < FARTHEST + 2:
+        if a is None or b is not None and b.depth >= a.depth:
+            b = b.up
+        else:
+            a = a.up
+        steps += 1
+    return max(0, steps - 2)
+
+
 def neighbours(blocks: list[Block]) -> list[tuple[int, int, float]]:
     """Edges (i, j, weight) between blocks that follow each other and between the nearest blocks of one parent."""
     edges: dict[tuple[int, int], float] = {}
-    last: dict[tuple[int, ...], int] = {}
+    last: dict[int, int] = {}
     for j, b in enumerate(blocks):
         if j:
-            a = blocks[j - 1].path
-            same = 0
-            for x, y in zip(a, b.path):
-                if x != y:
-                    break
-                same += 1
-            steps = max(0, len(a) + len(b.path) - 2 * same - 2)
-            edges[j - 1, j] = TOGETHER * exp(-steps / FALL)
-        i = last.get(b.path[:-1])
+            edges[j - 1, j] = TOGETHER * exp(-_steps(blocks[j - 1].at, b.at) / FALL)
+        parent = id(b.at.up) if b.at else 0
+        i = last.get(parent)
         if i is not None and i != j - 1:
             edges[i, j] = TOGETHER / 2
-        last[b.path[:-1]] = j
+        last[parent] = j
     return [(i, j, w) for (i, j), w in edges.items()]
 
 
@@ -274,7 +335,8 @@ def main_text(html: str | None) -> str:
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url and text of every row; the whole page is read and nothing of the text is left out for length.
 
-    Null html gives an empty text; null ids and urls and rows that repeat stay; other columns are left out.
+    Null and empty html give an empty text; null ids and urls and rows that repeat stay; an empty table gives an empty
+    one; other columns are left out, so their names can't clash. A page takes time in proportion to its length.
     """
     kinds = [pages.schema[c].dataType.simpleString() for c in (id_col, url_col)]
 

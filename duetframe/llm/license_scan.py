@@ -1,11 +1,13 @@
-"""License scans in DataFrame functions alone: MinHash bands over text windows, then exact containment.
+"""License scans in DataFrame functions alone: MinHash bands over overlapping text windows, then exact containment.
 
-A template is the set of its K-word shingles. A text is looked at through all windows that begin with a shingle of the
-template and are a quarter longer than it. Each of BANDS hash functions is a band of one row: a window retrieves a
-template if for one of them the smallest hash is the same. At the containment asked for, window and template have a
-Jaccard similarity of 0.5 or more, so a match is missed with probability 2**-32 at most. A band can agree only in windows
-that hold the shingle with the template's smallest hash, so only windows round such shingles are hashed; what they
-retrieve is verified by counting the shingles in common.
+A template is the set of its K-word shingles. A match is a run of shingle places, a quarter longer than the template,
+that holds PERCENT percent of it. Texts are looked at through windows half as long again as such a run, of which one
+begins after each half of a run, so every match lies in one whole. Each of BANDS hash functions is a band of one row: a
+window retrieves a template if for one of them the smallest hash is the same. A window that holds a match has a Jaccard
+similarity of 0.38 or more with the template, so a match is missed with probability 2 in ten million at most. A band can
+agree only in windows that hold the shingle with the template's smallest hash, so only windows round such shingles are
+hashed. In what they retrieve the shingles of the template are counted exactly, by a running sum over the places where
+windows gain and lose one.
 
 Notices of few words have too few shingles for that: scan_notices finds them as whole sequences of words, each in the
 forms that it is written in.
@@ -13,9 +15,7 @@ forms that it is written in.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import lower_ascii, read
@@ -35,6 +35,35 @@ TEMPLATES = {
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "all-rights-reserved": "All rights reserved. No part of this work may be reproduced without written permission.",
+    "mit-full": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without "
+        "restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
+        "Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the "
+        "Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR "
+        "PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+        "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "isc-full": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice "
+        "appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND "
+        "FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER "
+        "IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "bsd-3-clause-full": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain "
+        "the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+        "the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be "
+        "used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND "
+        "ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE "
+        "COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS "
+        "OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR "
+        "OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "apache-2.0-header": (
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT "
+        "WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
+    ),
 }
 #: Notices of few words, by license, in the forms they are written in.
 NOTICES = {
@@ -63,12 +92,8 @@ def shingle_hashes(text: Column) -> Column:
     return let(words, made)
 
 
-def _min_of(hashes: Column, band: int) -> Column:
-    return F.array_min(F.transform(hashes, lambda x: F.xxhash64(x, F.lit(band))))
-
-
 def _lowest_of(hashes: Column, band: int) -> Column:
-    """The shingle that _min_of takes the hash of."""
+    """The shingle with the smallest hash of a band."""
     return F.array_min(F.transform(hashes, lambda x: F.struct(F.xxhash64(x, F.lit(band)).alias("h"), x.alias("x"))))["x"]
 
 
@@ -82,7 +107,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
     A template is held if some window (window_size(n_template) shingle places, from a template's shingle on) has at
     least ``percent`` percent of its distinct shingles; n_found is the most that one has, at the place (in words, from
     0) where the first such window begins. Null, empty and short texts hold nothing; rows with the same id and text give
-    one row; a template of fewer than K words is refused; other columns are left out.
+    one row; an empty table gives none; a template of fewer than K words is refused; other columns are left out. Texts
+    and templates of any length are compared whole, in time proportional to the text for each template found in it.
     """
     spark = docs.sparkSession
     templates = TEMPLATES if templates is None else templates
@@ -94,27 +120,56 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
     kind = docs.schema[id_col].dataType.simpleString()
     if not known:
         return spark.createDataFrame([], f"doc_id {kind}, template string, n_template int, n_found int, at int")
-    rows = [(r.template, r.own, window_size(len(r.own)), x, [b for b in range(BANDS) if r.lowest[b] == x]) for r in known for x in sorted(set(r.lowest))]
-    lowest = sorted({r[3] for r in rows})
-    reach = max(r[2] for r in rows)
-    index = F.broadcast(spark.createDataFrame(rows, "template string, own array<bigint>, width int, x bigint, bands array<int>"))
-
-    # round each place whose shingle is the lowest of some template in some band: the places before and after
-    def around(h: Column) -> Column:
-        places = F.filter(F.transform(h, lambda x, i: F.when(x.isin(lowest), i)), lambda i: i.isNotNull())
-        return F.transform(places, lambda i: F.struct(i.alias("at"), h[i].alias("x"), F.slice(h, F.greatest(i - (reach - 2), F.lit(1)), F.least(i, F.lit(reach - 1)) + reach).alias("near")))
-
-    found = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), let(shingle_hashes(F.col(text_col)), around).alias("places")).where(F.size("places") > 0)
-    found = found.select("doc_id", "key", F.explode("places").alias("p")).select("doc_id", "key", "p.*").join(index, "x")
-    before = F.least("at", F.lit(reach - 1))  # places of near in front of the lowest
-    starts = F.filter(F.sequence(F.greatest(before - F.col("width") + 1, F.lit(0)), before), lambda a: F.array_contains("own", F.element_at("near", a + 1)))
-    windows = found.select("doc_id", "key", "template", "own", "bands", "x", "at", before.alias("before"), F.explode(F.transform(starts, lambda a: F.struct(a.alias("a"), F.slice("near", a + 1, F.col("width")).alias("w")))).alias("s"))
-    retrieved = reduce(lambda a, b: a | b, [F.array_contains("bands", b) & (_min_of(F.col("s.w"), b) == F.xxhash64("x", F.lit(b))) for b in range(BANDS)])
-    common = F.size(F.array_intersect("own", F.col("s.w")))
-    matches = windows.where(retrieved).select("doc_id", "key", "template", F.size("own").alias("n_template"), common.alias("n_found"), (F.col("at") - F.col("before") + F.col("s.a")).alias("at"))
-    matches = matches.where(100 * F.col("n_found") >= percent * F.col("n_template"))
-    best = matches.groupBy("doc_id", "key", "template", "n_template").agg(F.max(F.struct("n_found", (-F.col("at")).alias("before"))).alias("m"))
-    return best.select("doc_id", "template", "n_template", F.col("m.n_found").alias("n_found"), (-F.col("m.before")).cast("int").alias("at"))
+    rows = []
+    for number, r in enumerate(known):
+        bands = [{"x": x, "bands": [b for b in range(BANDS) if r.lowest[b] == x]} for x in sorted(set(r.lowest))]
+        rows.append((number, r.template, r.own, window_size(len(r.own)), bands))
+    shape = "number int, template string, own array<bigint>, width int, lowest array<struct<x: bigint, bands: array<int>>>"
+    index = F.broadcast(spark.createDataFrame(rows, shape))  # as many rows as templates were given
+    of_lowest: dict[int, list[int]] = {}
+    for number, *_, bands in rows:
+        for b in bands:
+            of_lowest.setdefault(b["x"], []).append(number)
+    which = F.create_map(*(c for shingle, numbers in of_lowest.items() for c in (F.lit(shingle).cast("bigint"), F.array(*map(F.lit, numbers)))))
+
+    # the templates of which a text has the lowest shingle in some band
+    def candidates(h: Column) -> Column:
+        met = F.array_distinct(F.filter(h, lambda x: x.isin(list(of_lowest))))
+        return F.struct(h.alias("h"), F.array_distinct(F.flatten(F.transform(met, lambda x: F.element_at(which, x)))).alias("numbers"))
+
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    found = docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), let(shingle_hashes(F.col(text_col)), candidates).alias("c")).where(F.size("c.numbers") > 0)
+    found = found.select("doc_id", "key", F.col("c.h").alias("h"), F.explode("c.numbers").alias("number")).join(index, "number")
+    step = F.greatest(F.lit(1), F.floor(F.col("width") / 2).cast("int"))
+    span = F.col("width") + step
+
+    def agrees(low: Column) -> Column:
+        """Whether one of the bands of a lowest shingle has it for its minimum in a window."""
+
+        def window(j: Column) -> Column:
+            inside = F.slice("h", j * step + 1, span)
+            return F.exists(low["bands"], lambda b: F.forall(inside, lambda y: F.xxhash64(y, b) >= F.xxhash64(low["x"], b)))
+
+        def round_it(i: Column) -> Column:
+            first = F.greatest(F.lit(0), F.ceil((i - span + 1) / step).cast("int"))
+            return F.exists(F.sequence(first, F.floor(i / step).cast("int")), window)
+
+        return F.exists(F.filter(F.transform("h", lambda x, i: F.when(x == low["x"], i)), lambda i: i.isNotNull()), round_it)
+
+    retrieved = found.where(F.exists("lowest", agrees))
+    hits = retrieved.select("doc_id", "key", "template", F.size("own").alias("n"), "width", "own", F.posexplode("h").alias("pos", "shingle")).where(F.array_contains("own", F.col("shingle"))).drop("own")
+    of = ("doc_id", "key", "template", "n")
+    before = F.coalesce(F.lag("pos").over(Window.partitionBy(*of, "shingle").orderBy("pos")), F.lit(-1))
+    # a hit is new to the runs that begin after the same shingle's last place and reach up to it
+    hits = hits.withColumn("before", before)
+    gain = F.struct(F.greatest(F.col("before") + 1, F.col("pos") - F.col("width") + 1, F.lit(0)).alias("at"), F.lit(1).alias("change"), F.lit(False).alias("start"))
+    lose = F.struct((F.col("pos") + 1).alias("at"), F.lit(-1).alias("change"), F.lit(False).alias("start"))
+    start = F.struct(F.col("pos").alias("at"), F.lit(0).alias("change"), F.lit(True).alias("start"))
+    events = hits.select(*of, F.explode(F.array(gain, lose, start)).alias("e")).select(*of, "e.*")
+    running = F.sum("change").over(Window.partitionBy(*of).orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    runs = events.withColumn("n_found", running).where(F.col("start") & (100 * F.col("n_found") >= percent * F.col("n")))
+    best = runs.groupBy(*of).agg(F.max(F.struct("n_found", (-F.col("at")).alias("before"))).alias("m"))
+    return best.select("doc_id", "template", F.col("n").alias("n_template"), F.col("m.n_found").cast("int").alias("n_found"), (-F.col("m.before")).cast("int").alias("at"))
 
 
 def _words_between_spaces(text: Column) -> Column:

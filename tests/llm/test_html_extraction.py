@@ -1,9 +1,12 @@
 import html
 import random
 import re
+import time
 from itertools import product
 
-from duetframe.llm.html_extraction import blocks_of, extract_text, main_text, min_cut, op4_html_extraction
+import pytest
+
+from duetframe.llm.html_extraction import blocks_of, extract_text, main_text, min_cut, op4_html_extraction, tokens_of
 
 
 def cost(label, odds, edges):
@@ -57,3 +60,15 @@ def test_edges(spark):
     assert by[0] == by[1] == "" and by[10].count("\n") == 1999 and by[None] == TEXT
     assert extract_text(df.limit(0)).collect() == []
     assert [b.text for b in blocks_of("<p>a&nbsp;&lt;b&gt; 1 < 2</p>x<br>y<b>z</b>")] == ["a <b> 1 < 2", "x yz"]
+
+
+@pytest.mark.parametrize("page", ["<a " * 333_000, "<div>" * 200_000, '<a "' * 250_000, '<a ">" ' * 140_000 + '"', "<div>" * 100_000 + "</x>" * 100_000, "<div>x" * 160_000, "<ul><li>x" * 100_000, "<html>" * 80_000 + "<body>" * 80_000, "<!--" * 250_000, "<script" * 140_000])
+def test_a_page_of_a_megabyte_takes_seconds(page):
+    began = time.time()
+    main_text(page)
+    assert time.time() - began < 5
+
+
+def test_quotes_and_unclosed_tags():
+    assert [b.text for b in blocks_of('<p title="a > b">one</p><p title="c > two</p>')] == ["one", "two"]
+    assert [(t, g) for t, g, _, _ in tokens_of('x<b a="1>2">y<c d=">z<!-- <p> -->w<')] == [("x", "b"), ("y", "c"), ("z", ""), ("w<", "")]

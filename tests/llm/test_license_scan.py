@@ -81,3 +81,22 @@ def test_every_license_line_of_the_tables_is_found(spark):
     got = {r.doc_id for r in scan_notices(docs).collect()}
     assert len(want) > 300 and want <= got
     assert set(NOTICES) >= {"all-rights-reserved", "mit", "gpl-3.0", "apache-2.0", "cc-by-nc-4.0"}
+
+
+def test_long_templates_take_time_in_proportion(spark):
+    import random
+    import time
+
+    rng = random.Random(4)
+    body = [f"w{rng.randrange(900)}" for _ in range(2000)]
+    changed = list(body)
+    for _ in range(60):
+        changed[rng.randrange(2000)] = "changed"
+    far = body[:1000] + ["filler"] * 900 + body[1000:]
+    rows = [(1, " ".join(["x y"] * 500 + changed + ["z"] * 300)), (2, " ".join(far)), (3, " ".join(body[:1500])), (4, " ".join(body[40:60] * 900)), (5, " ".join(body * 3))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    scan_licenses(df, {"long": " ".join(body[:40])}).collect()
+    began = time.time()
+    got = {tuple(r) for r in scan_licenses(df, {"long": " ".join(body)}).collect()}
+    assert time.time() - began < 15
+    assert got == brute(rows, {"long": " ".join(body)}) and {r[0] for r in got} == {1, 5}
