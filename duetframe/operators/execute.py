@@ -56,10 +56,13 @@ RESULT = T.StructType(
 
 def run_tests(code: str | None, entry_point: str | None, tests: list[dict], seconds: float = 2.0) -> dict:
     """One candidate: passed only if there are tests and all hold; a timeout or a process that vanishes counts as 0."""
-    base = {"passed": False, "pass_rate": 0.0, "passed_tests": 0, "total_tests": len(tests), "timeout": False, "error_type": None, "error_message": None, "assert_results": "[]"}
-    job = json.dumps({"code": code or "", "entry_point": entry_point or "", "tests": tests, "cpu": int(seconds) + 1})
+    return _outcome(_CHILD, {"code": code or "", "entry_point": entry_point or "", "tests": tests, "cpu": int(seconds) + 1}, len(tests), seconds)
+
+
+def _outcome(child: str, job: dict, total: int, seconds: float) -> dict:
+    base = {"passed": False, "pass_rate": 0.0, "passed_tests": 0, "total_tests": total, "timeout": False, "error_type": None, "error_message": None, "assert_results": "[]"}
     try:
-        got = subprocess.run([sys.executable, "-I", "-c", _CHILD], input=job, capture_output=True, text=True, timeout=seconds, env={})
+        got = subprocess.run([sys.executable, "-I", "-c", child], input=json.dumps(job), capture_output=True, text=True, timeout=seconds, env={})
     except subprocess.TimeoutExpired:
         return base | {"timeout": True}
     try:
@@ -68,24 +71,61 @@ def run_tests(code: str | None, entry_point: str | None, tests: list[dict], seco
         return base | {"error_type": "empty_executor_result"}
     rows = result.get("assert_results", [])
     n = sum(r["passed"] for r in rows)
-    return base | {"passed": n == len(tests) > 0, "pass_rate": n / len(tests) if tests else 0.0, "passed_tests": n, "error_type": result.get("error_type"), "error_message": result.get("error_message"), "assert_results": json.dumps(rows)}
+    return base | {"passed": n == total > 0, "pass_rate": n / total if total else 0.0, "passed_tests": n, "error_type": result.get("error_type"), "error_message": result.get("error_message"), "assert_results": json.dumps(rows)}
 
 
 def execute(df: DataFrame, code: str = "code", entry_point: str = "entry_point", tests: str = "tests", seconds: float = 2.0) -> DataFrame:
     """Adds feedback (RESULT) to every row; tests is a JSON list of {args, expected}."""
+    return _with_feedback(df, (code, entry_point, tests), lambda c, e, t: run_tests(c, e, json.loads(t or "[]"), seconds))
+
+
+def _with_feedback(df: DataFrame, of: tuple[str, ...], run_one) -> DataFrame:
     schema = T.StructType([*df.schema.fields, T.StructField("feedback", RESULT)])
-    names = df.columns
+    at = [df.columns.index(c) for c in of]
 
     def run(batches):
+        kind = pa.struct([("passed", pa.bool_()), ("pass_rate", pa.float64()), ("passed_tests", pa.int32()), ("total_tests", pa.int32()), ("timeout", pa.bool_()), ("error_type", pa.string()), ("error_message", pa.string()), ("assert_results", pa.string())])
         for b in batches:
-            cols = [b.column(names.index(c)).to_pylist() for c in (code, entry_point, tests)]
-            got = [run_tests(c, e, json.loads(t or "[]"), seconds) for c, e, t in zip(*cols)]
-            kind = pa.struct([("passed", pa.bool_()), ("pass_rate", pa.float64()), ("passed_tests", pa.int32()), ("total_tests", pa.int32()), ("timeout", pa.bool_()), ("error_type", pa.string()), ("error_message", pa.string()), ("assert_results", pa.string())])
+            got = [run_one(*row) for row in zip(*(b.column(i).to_pylist() for i in at))]
             yield b.append_column("feedback", pa.array(got, kind))
 
     return df.mapInArrow(run, schema)
 
 
+#: As _CHILD for {code, entry_point, asserts}: each assert statement is run by itself after the code.
+_ASSERTS = _CHILD[: _CHILD.index("    f = space.get")] + """    if job["entry_point"]:
+        space["candidate"] = space[job["entry_point"]]
+    rows = []
+    for t in job["asserts"]:
+        row = {"assert": t, "passed": False}
+        try:
+            exec(t, space, space); row["passed"] = True
+        except Exception as e:
+            row["error"] = repr(e)
+        rows.append(row)
+    done({"assert_results": rows})
+""" + _CHILD[_CHILD.index("except Exception as e:\n    done"):]
+
+
+def asserts_of(test: str | None) -> list[str]:
+    """The assert statements of a test's source, in order, wherever they stand; none if it can't be parsed."""
+    try:
+        return [ast.unparse(n) for n in ast.walk(ast.parse(test or "")) if isinstance(n, ast.Assert)]
+    except (SyntaxError, ValueError):
+        return []
+
+
+def run_asserts(code: str | None, entry_point: str | None, test: str | None, seconds: float = 2.0) -> dict:
+    """As run_tests, with the tests given as source whose assert statements call the function (also as ``candidate``)."""
+    tests = asserts_of(test)
+    return _outcome(_ASSERTS, {"code": code or "", "entry_point": entry_point or "", "asserts": tests, "cpu": int(seconds) + 1}, len(tests), seconds)
+
+
+def execute_asserts(df: DataFrame, code: str = "code", entry_point: str = "entry_point", test: str = "test", seconds: float = 2.0) -> DataFrame:
+    """Adds feedback (RESULT) to every row; test is source with assert statements."""
+    return _with_feedback(df, (code, entry_point, test), lambda c, e, t: run_asserts(c, e, t, seconds))
+
+
 def count_asserts(source: str | None) -> int:
     try:
         return sum(isinstance(n, ast.Assert) for n in ast.walk(ast.parse(source or "")))

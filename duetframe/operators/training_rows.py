@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import rstrip, sharegpt
 
-# What the two roles are told.
+# What the two roles are told, and the names of the metadata of a row.
 LEADER_SYSTEM = "You are the leader/planner in a planner-coder code generation team. Give concise, actionable guidance. Do not write code."
 FOLLOWER_SYSTEM = "You are the follower/coder in a planner-coder code generation team. Return only valid Python code. Do not include markdown fences, prose, tests, or examples."
 LEADER_ASK = "\n\nCreate an implementation plan for the coder.\nStart with exactly one line: Estimated effort tokens: N\nThen mention the core algorithm and key edge cases. Do not write code."
@@ -15,14 +15,20 @@ FOLLOWER_ASK = "\n\nWrite the complete Python function requested by the task. Re
 REPAIR_ASK = "\n\nGive a concise repair plan for the coder. Do not write code."
 
 
+def _measures(pairs: DataFrame) -> list[Column]:
+    """What a pair was chosen by: null where its columns don't have it, except for the weight (1)."""
+    there = lambda c, other: F.col(c).cast("double") if c in pairs.columns else F.lit(other).cast("double")
+    return [there(c, None).alias(c) for c in ("chosen_utility", "rejected_utility", "utility_delta")] + [F.coalesce(there("weight", 1.0), F.lit(1.0)).alias("weight")]
+
+
 def leader_rows(pairs: DataFrame, states: DataFrame) -> DataFrame:
     """pairs: task_id, chosen_id, rejected_id, chosen, rejected, utility_delta, weight; states: trajectory_id, state_text.
 
-    A pair whose chosen trajectory isn't there gets an empty state.
+    The metadata also has the utilities of both sides, if pairs has chosen_utility and rejected_utility. A pair whose chosen trajectory isn't there gets an empty state.
     """
     j = pairs.join(states.withColumnRenamed("trajectory_id", "chosen_id"), "chosen_id", "left")
     human = F.concat(F.lit("Task state:\n"), F.coalesce("state_text", F.lit("")), F.lit(LEADER_ASK))
-    metadata = F.struct(F.lit("leader_initial").alias("stage"), "task_id", F.col("chosen_id").alias("chosen_trajectory_id"), F.col("rejected_id").alias("rejected_trajectory_id"), "utility_delta")
+    metadata = F.struct(F.lit("leader_initial").alias("stage"), "task_id", F.col("chosen_id").alias("chosen_trajectory_id"), F.col("rejected_id").alias("rejected_trajectory_id"), *_measures(pairs))
     return j.select(*sharegpt(LEADER_SYSTEM, human, F.col("chosen"), F.col("rejected"), metadata, F.col("weight")))
 
 
@@ -30,7 +36,7 @@ def follower_rows(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
     """As leader_rows with candidates (candidate_id, prompt); a pair whose chosen candidate isn't there is left out."""
     j = pairs.join(candidates.select(F.col("candidate_id").alias("chosen_id"), "prompt"), "chosen_id")
     human = F.when(F.coalesce("prompt", F.lit("")) != "", F.col("prompt")).otherwise(F.concat(F.lit("Task state id: "), "state_id", F.lit(FOLLOWER_ASK)))
-    metadata = F.struct(F.lit("follower_code").alias("stage"), "task_id", "state_id", F.col("chosen_id").alias("chosen_candidate_id"), F.col("rejected_id").alias("rejected_candidate_id"), "utility_delta")
+    metadata = F.struct(F.lit("follower_code").alias("stage"), "task_id", "state_id", F.col("chosen_id").alias("chosen_candidate_id"), F.col("rejected_id").alias("rejected_candidate_id"), *_measures(pairs))
     return j.select(*sharegpt(FOLLOWER_SYSTEM, human, rstrip(F.col("chosen")), rstrip(F.col("rejected")), metadata, F.col("weight")))
 
 

@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from . import reports, scoring, texts, turns
+from . import records, reports, scoring, texts, turns
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "reports", "scoring", "texts", "turns"]
+__all__ = ["ORACLES", "QUERIES", "records", "reports", "scoring", "texts", "turns"]

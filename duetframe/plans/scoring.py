@@ -147,13 +147,13 @@ def leader_pair_rows(spark, d):
     return pr.pair_within(scored(spark, d), "task_id", "leader_utility", LEADER.leader_margin)
 
 
-@query(with_views("v_traj") + ", " + _PAIRS + f" SELECT task_id, chosen_id, rejected_id, round(chosen_utility, 6) AS chosen_utility, round(rejected_utility, 6) AS rejected_utility, round(delta, 6) AS utility_delta, round({_WEIGHT.format('(SELECT avg(delta) FROM p)')}, 6) AS weight FROM p")
+@query(with_views("v_traj") + ", " + _PAIRS + f" SELECT task_id, chosen_id, rejected_id, round(chosen_utility, 6) AS chosen_utility, round(rejected_utility, 6) AS rejected_utility, round(delta, 6) AS utility_delta, round({_WEIGHT.format('avg(delta) OVER ()')}, 6) AS weight FROM p")
 def leader_pairs(spark, d):
     p = pr.weighted(leader_pair_rows(spark, d), U)
     return p.select("task_id", F.col("chosen.trajectory_id").alias("chosen_id"), F.col("rejected.trajectory_id").alias("rejected_id"), R6(F.col("chosen.leader_utility")).alias("chosen_utility"), R6(F.col("rejected.leader_utility")).alias("rejected_utility"), R6(F.col("utility_delta")).alias("utility_delta"), R6(F.col("weight")).alias("weight"))
 
 
-@query(with_views("v_traj") + ", " + _PAIRS + f" SELECT chosen_id, rejected_id, round(delta / ((SELECT avg(delta) FROM p) + 0.00000001), 6) AS raw_weight, round({_WEIGHT.format('(SELECT avg(delta) FROM p)')}, 6) AS weight FROM p")
+@query(with_views("v_traj") + ", " + _PAIRS + f" SELECT chosen_id, rejected_id, round(delta / (avg(delta) OVER () + 0.00000001), 6) AS raw_weight, round({_WEIGHT.format('avg(delta) OVER ()')}, 6) AS weight FROM p")
 def pref_weight(spark, d):
     p = pr.weighted(leader_pair_rows(spark, d), U)
     return p.select(F.col("chosen.trajectory_id").alias("chosen_id"), F.col("rejected.trajectory_id").alias("rejected_id"), R6(F.col("raw_weight")).alias("raw_weight"), R6(F.col("weight")).alias("weight"))
@@ -241,21 +241,23 @@ def percentile_block(spark, d):
     return t.agg(F.min(w).alias("min"), R6(F.median(w)).alias("p50"), R6(F.avg(w)).alias("mean"), F.max(w).alias("max")).crossJoin(F.broadcast(cuts.select(*_r(("p25", "p75", "p90")))))
 
 
-@query(with_views("v_traj") + ", " + _PAIRS + f" SELECT chosen_id, rejected_id, round(delta, 6) AS utility_delta, round({_WEIGHT.format('(SELECT avg(delta) FROM p)')}, 6) AS weight FROM p ORDER BY weight DESC, utility_delta DESC, chosen_id, rejected_id LIMIT 20")
+@query(with_views("v_traj") + ", " + _PAIRS + f" SELECT chosen_id, rejected_id, round(delta, 6) AS utility_delta, round({_WEIGHT.format('avg(delta) OVER ()')}, 6) AS weight FROM p ORDER BY weight DESC, utility_delta DESC, chosen_id, rejected_id LIMIT 20")
 def top_weight_pairs(spark, d):
     p = pr.weighted(leader_pair_rows(spark, d), U)
     p = p.select(F.col("chosen.trajectory_id").alias("chosen_id"), F.col("rejected.trajectory_id").alias("rejected_id"), R6(F.col("utility_delta")).alias("utility_delta"), R6(F.col("weight")).alias("weight"))
     return p.orderBy(F.desc("weight"), F.desc("utility_delta"), "chosen_id", "rejected_id").limit(20)
 
 
-@query("SELECT CAST(0 AS BIGINT) AS violations, CAST(0 AS BIGINT) AS equal_or_less")
+@query(with_views("v_traj") + ", " + _SCORED + """, p AS (SELECT greatest(a.u, b.u) AS c, least(a.u, b.u) AS r FROM s a JOIN s b ON a.task_id = b.task_id AND a.ord < b.ord WHERE abs(a.u - b.u) > 0.03)
+SELECT count(*) FILTER (c <= r) AS violations, count(*) FILTER (c - r <= 0.03) AS equal_or_less FROM p""")
 def verify_utility_direction(spark, d):
     p = leader_pair_rows(spark, d)
     wrong = F.col("chosen.leader_utility") <= F.col("rejected.leader_utility")
     return p.agg(F.count_if(wrong).alias("violations"), F.count_if(F.col("utility_delta") <= LEADER.leader_margin).alias("equal_or_less"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS other_state, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS wrong_direction")
+@query(with_views("v_cand") + ", " + _GATED + """, j AS (SELECT g.c.utility AS uc, g.r.utility AS ur, a.state_id AS sa, b.state_id AS sb, a.task_id AS ta, b.task_id AS tb, a.round AS ra, b.round AS rb FROM g LEFT JOIN v_cand a ON a.candidate_id = g.c.candidate_id LEFT JOIN v_cand b ON b.candidate_id = g.r.candidate_id)
+SELECT count(*) FILTER (sa IS DISTINCT FROM sb OR ta IS DISTINCT FROM tb OR ra IS DISTINCT FROM rb) AS other_state, count(*) FILTER (sa IS NULL OR sb IS NULL) AS missing, count(*) FILTER (uc <= ur) AS wrong_direction FROM j""")
 def verify_state_consistency(spark, d):
     pairs = gated_rows(spark, d).select("state_id", F.col("chosen.candidate_id").alias("c"), F.col("rejected.candidate_id").alias("r"), F.col("chosen.utility").alias("uc"), F.col("rejected.utility").alias("ur"))
     cand = view(spark, d, "v_cand").select("candidate_id", F.col("state_id").alias("s"), F.col("task_id").alias("t"), "round")

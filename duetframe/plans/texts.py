@@ -134,7 +134,14 @@ def dedup_task_cap(spark, d):
     return cl.dedup_and_cap(short_texts(spark, d), 3).select("ord", "outcome")
 
 
-@query()
+_ACROSS = """, r AS (SELECT ord, task_id, concat(ord % 23, ' ', ord % 5) AS h, row_number() OVER (ORDER BY task_id, utility_delta DESC, weight DESC, ord) AS i FROM v_text),
+f(i, ord, task_id, seen, n, outcome) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST([] AS VARCHAR[]), 0, CAST(NULL AS VARCHAR) UNION ALL
+ SELECT i, ord, task_id, CASE WHEN outcome = 'accepted' THEN list_append(seen, h) ELSE seen END, CASE WHEN outcome = 'accepted' THEN n + 1 ELSE n END, outcome
+ FROM (SELECT r.i, r.ord, r.task_id, h, seen, CASE WHEN r.task_id IS DISTINCT FROM f.task_id THEN 0 ELSE n END AS n,
+  CASE WHEN list_contains(seen, h) THEN 'duplicate' WHEN r.task_id IS NOT DISTINCT FROM f.task_id AND n >= 3 THEN 'cap' ELSE 'accepted' END AS outcome FROM f JOIN r ON r.i = f.i + 1))"""
+
+
+@query(with_views("v_text").replace("WITH ", "WITH RECURSIVE ", 1) + _ACROSS + " SELECT ord, outcome FROM f WHERE i > 0")
 def dedup_task_cap_across(spark, d):
     return cl.dedup_and_cap_across(short_texts(spark, d).withColumn("chosen", F.concat("chosen", F.lit(" "), (F.col("ord") % 5).cast("string"))), 3).select("ord", "outcome")
 
@@ -165,7 +172,7 @@ def merge_system(spark, d):
 
 def _leader(spark, d):
     p = pr.weighted(leader_pair_rows(spark, d), U)
-    return p.select("task_id", F.col("chosen.trajectory_id").alias("chosen_id"), F.col("rejected.trajectory_id").alias("rejected_id"), R6(F.col("utility_delta")).alias("utility_delta"), R6(F.col("weight")).alias("weight"))
+    return p.select("task_id", F.col("chosen.trajectory_id").alias("chosen_id"), F.col("rejected.trajectory_id").alias("rejected_id"), *(R6(F.col(f"{side}.leader_utility")).alias(f"{side}_utility") for side in ("chosen", "rejected")), R6(F.col("utility_delta")).alias("utility_delta"), R6(F.col("weight")).alias("weight"))
 
 
 def _with_plans(spark, d):
@@ -178,17 +185,17 @@ def _with_plans(spark, d):
 _LWPO = _PAIRS + f", w AS (SELECT *, round({_WEIGHT.format('avg(delta) OVER ()')}, 6) AS weight FROM p)"
 
 
-@query(with_views("v_traj") + ", " + _LWPO + """ SELECT chosen_id, rejected_id, concat('Task state:', chr(10), CASE WHEN c.rounds > 2 THEN '' ELSE concat('state of ', chosen_id) END) AS state, concat(c.plan, chr(10)) AS chosen, concat(r.plan, chr(10)) AS rejected, weight FROM w JOIN v_traj c ON c.trajectory_id = chosen_id JOIN v_traj r ON r.trajectory_id = rejected_id""")
+@query(with_views("v_traj") + ", " + _LWPO + """ SELECT chosen_id, rejected_id, concat('Task state:', chr(10), CASE WHEN c.rounds > 2 THEN '' ELSE concat('state of ', chosen_id) END) AS state, concat(c.plan, chr(10)) AS chosen, concat(r.plan, chr(10)) AS rejected, weight, round(chosen_utility, 6) AS chosen_utility, round(rejected_utility, 6) AS rejected_utility FROM w JOIN v_traj c ON c.trajectory_id = chosen_id JOIN v_traj r ON r.trajectory_id = rejected_id""")
 def leader_wpo(spark, d):
     states = view(spark, d, "v_traj").where("rounds <= 2").select("trajectory_id", F.concat(F.lit("state of "), "trajectory_id").alias("state_text"))
     w = rows.leader_rows(_with_plans(spark, d), states)
     human = F.col("conversations")[1]["value"]
-    return w.select(F.col("metadata.chosen_trajectory_id").alias("chosen_id"), F.col("metadata.rejected_trajectory_id").alias("rejected_id"), F.split(human, "\n\nCreate")[0].alias("state"), F.col("chosen.value").alias("chosen"), F.col("rejected.value").alias("rejected"), "weight")
+    return w.select(F.col("metadata.chosen_trajectory_id").alias("chosen_id"), F.col("metadata.rejected_trajectory_id").alias("rejected_id"), F.split(human, "\n\nCreate")[0].alias("state"), F.col("chosen.value").alias("chosen"), F.col("rejected.value").alias("rejected"), F.col("metadata.weight").alias("weight"), "metadata.chosen_utility", "metadata.rejected_utility")
 
 
 @query(with_views("v_cand") + """, s AS (SELECT *, round(least(1.0, pass_rate) + incentive - 0.00001 * code_tokens, 6) AS u FROM v_cand),
-p AS (SELECT CASE WHEN a.u > b.u THEN a ELSE b END AS c, CASE WHEN a.u > b.u THEN b ELSE a END AS r, abs(a.u - b.u) AS delta FROM s a JOIN s b ON a.state_id = b.state_id AND a.ord < b.ord AND abs(a.u - b.u) > 0.02)
-SELECT c.candidate_id AS chosen_id, r.candidate_id AS rejected_id, CASE WHEN c.ord % 2 = 0 THEN concat('Task state id: ', c.state_id) ELSE concat('Do ', c.candidate_id) END AS asked, concat(trim(c.code), chr(10)) AS chosen FROM p WHERE c.round < 3""")
+p AS (SELECT CASE WHEN a.u > b.u THEN a.candidate_id ELSE b.candidate_id END AS chosen_id, CASE WHEN a.u > b.u THEN b.candidate_id ELSE a.candidate_id END AS rejected_id, greatest(a.u, b.u) AS chosen_utility, least(a.u, b.u) AS rejected_utility FROM s a JOIN s b ON a.state_id = b.state_id AND a.ord < b.ord AND abs(a.u - b.u) > 0.02)
+SELECT chosen_id, rejected_id, CASE WHEN ord % 2 = 0 THEN concat('Task state id: ', state_id) ELSE concat('Do ', chosen_id) END AS asked, concat(trim(code), chr(10)) AS chosen, chosen_utility, rejected_utility FROM p JOIN v_cand ON candidate_id = chosen_id WHERE round < 3""")
 def follower_wpo(spark, d):
     from ..functions import utility as ut
 
@@ -196,12 +203,12 @@ def follower_wpo(spark, d):
     u = ut.follower_utility(F.col("pass_rate"), F.col("code_tokens"), F.col("incentive"), U)
     p = pr.pair_within(c.select("state_id", "task_id", "ord", "candidate_id", R6(u).alias("u")), "state_id", "u", U.follower_margin)
     code = c.select("candidate_id", "code")
-    p = p.select("state_id", F.col("chosen.task_id").alias("task_id"), F.col("chosen.candidate_id").alias("chosen_id"), F.col("rejected.candidate_id").alias("rejected_id"), "utility_delta", F.lit(1.0).alias("weight"))
+    p = p.select("state_id", F.col("chosen.task_id").alias("task_id"), F.col("chosen.candidate_id").alias("chosen_id"), F.col("rejected.candidate_id").alias("rejected_id"), F.col("chosen.u").alias("chosen_utility"), F.col("rejected.u").alias("rejected_utility"), "utility_delta", F.lit(1.0).alias("weight"))
     p = p.join(code.select(F.col("candidate_id").alias("chosen_id"), F.col("code").alias("chosen")), "chosen_id").join(code.select(F.col("candidate_id").alias("rejected_id"), F.col("code").alias("rejected")), "rejected_id")
     known = c.where("round < 3").select("candidate_id", F.when(F.col("ord") % 2 == 1, F.concat(F.lit("Do "), "candidate_id")).alias("prompt"))
     w = rows.follower_rows(p, known)
     asked = F.split(F.col("conversations")[1]["value"], "\n\nWrite")[0]
-    return w.select(F.col("metadata.chosen_candidate_id").alias("chosen_id"), F.col("metadata.rejected_candidate_id").alias("rejected_id"), asked.alias("asked"), F.col("chosen.value").alias("chosen"))
+    return w.select(F.col("metadata.chosen_candidate_id").alias("chosen_id"), F.col("metadata.rejected_candidate_id").alias("rejected_id"), asked.alias("asked"), F.col("chosen.value").alias("chosen"), "metadata.chosen_utility", "metadata.rejected_utility")
 
 
 _TPAIR = """tp AS (SELECT a.trajectory_id AS chosen_id, b.trajectory_id AS rejected_id FROM (SELECT DISTINCT task_id, trajectory_id, CAST(split_part(trajectory_id, '_', 2) AS INT) AS n FROM v_turn) a JOIN (SELECT DISTINCT task_id, trajectory_id, CAST(split_part(trajectory_id, '_', 2) AS INT) AS n FROM v_turn) b ON a.task_id = b.task_id AND b.n = a.n + 1)"""

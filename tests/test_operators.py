@@ -282,3 +282,26 @@ def test_rows_without_oracles(spark):
     for f in (texts.execute_tests, texts.ast_assert_count, texts.compact_feedback_json, texts.dedup_task_cap_across, turn_queries.seeded_shuffle):
         assert f(spark, D).count() > 0
     assert scoring.LEADER and reports.METHODS and training_rows.LEADER_SYSTEM
+
+
+def test_files_and_splits(spark, tmp_path):
+    import pytest as pt
+    from pyspark.sql import types as T
+
+    from duetframe.sources import readers
+
+    (tmp_path / "src").mkdir()
+    for name, text in (("a_1.py", "x = 1\n"), ("a_2.py", "import oldname\n"), ("b.py", "def f(:\n"), ("c.txt", "oldname def f(:\n")):
+        (tmp_path / "src" / name).write_text(text)
+    assert readers.last_file(spark, f"file://{tmp_path}/src/a_*.py").endswith("a_2.py")
+    assert readers.last_file(spark, f"file://{tmp_path}/src/z*") is None
+    got = {(r.path.rsplit("/", 1)[1], r.reason) for r in readers.broken_sources(spark, f"file://{tmp_path}/src", ["oldname"]).collect()}
+    assert got == {("a_2.py", "names oldname"), ("b.py", "does not compile"), ("c.txt", "names oldname")}
+    files = {}
+    for s in ("train", "valid", "test"):
+        (tmp_path / f"{s}.jsonl").write_text("".join(f'{{"task_id": "{s}{i}"}}\n' for i in range(3)))
+        files[s] = f"file://{tmp_path}/{s}.jsonl"
+    shape = T.StructType([T.StructField("task_id", T.StringType())])
+    assert [r.task_id for r in readers.read_splits(spark, files, "all", shape, 5).orderBy("file_rank", "ord").collect()] == ["train0", "train1", "train2", "valid0", "valid1"]
+    with pt.raises(ValueError):
+        readers.read_splits(spark, files, "dev", shape)
