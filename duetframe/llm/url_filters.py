@@ -69,13 +69,16 @@ def judge_urls(urls: DataFrame, rules: DataFrame | list, id_col: str = "page_id"
 
     Returns id_col, host, path, rule (host + path of the rule; null if none fits) and verdict (``default`` if none
     fits). Null urls and urls without ``://`` have an empty host and path and fit no rule; repeated rows are judged
-    each; other columns are left out, so their names can't clash; an empty table gives an empty table.
+    each; other columns are left out, so their names can't clash; an empty table gives an empty table. Urls of any length
+    are judged whole. An id column that is called like a column of the result is a ValueError.
     """
+    if id_col in ("host", "path", "rule", "verdict"):
+        raise ValueError(f"an id column called {id_col} can't stand beside the result's")
     spark = urls.sparkSession
     slots = slots or max(1, shuffle_partitions(spark))
     if isinstance(rules, list):
         rules = spark.createDataFrame(rules or [("", "", "")], "host string, path string, verdict string").where("host <> ''")
-    rules = rules.groupBy(F.lower("host").alias("host"), "path").agg(F.max("verdict").alias("verdict"))
+    rules = rules.groupBy(lower_ascii(F.col("host")).alias("host"), "path").agg(F.max("verdict").alias("verdict"))
     url = F.col(url_col)
     keyed = urls.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path")).select(
         "id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path")

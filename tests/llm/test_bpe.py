@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -33,6 +34,16 @@ def test_both_ways_and_edges(spark):
         assert encode_documents(df.limit(0), broadcast_bytes=limit).collect() == []
 
 
+def test_rare_words_are_joined(spark):
+    """With room for some words only, the others' ids come by the join, wherever they stand in a text."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(["the", "of", "and", f"rare{rng.randrange(400)}", "日本"]) for _ in range(rng.randrange(60)))) for i in range(80)]
+    df = spark.createDataFrame([*rows, *rows[:9]], "doc_id long, text string")
+    for limit in (60, 2_000):
+        got = encode_documents(df, broadcast_bytes=limit).collect()
+        assert sorted((r.doc_id, r.ids) for r in got) == sorted((i, own(t)) for i, t in [*rows, *rows[:9]])
+
+
 def test_query(spark):
     d = "/root/testdata/sf0.001"
     want = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
