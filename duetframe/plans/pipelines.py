@@ -125,3 +125,46 @@ def verify(preferences: DataFrame, cleaned: DataFrame) -> dict[str, int]:
     """How many rows break what must hold: direction of utilities, no overstepping plan among the clean, counts."""
     wrong = preferences.where(F.col("chosen_utility") <= F.col("rejected_utility")).count()
     return {"wrong_direction": wrong, "overreach": cleaned.where(overreach_basic(F.col("chosen"))).count(), "empty": int(preferences.isEmpty())}
+
+
+def check(preferences: DataFrame, cleaned: DataFrame, follower: DataFrame, candidates: DataFrame) -> DataFrame:
+    """What must hold of a run's tables, one row each: rule, broken (how many rows break it; 0 where it holds).
+
+    Preferences point to the higher utility; no clean plan oversteps; both sides of a follower pair have code, not the
+    same, that was written for one state; none of the tables is empty.
+    """
+    code = candidates.groupBy("state_id", "code").agg(F.count("*").alias("n"))
+    sides = [code.select("state_id", F.col("code").alias(side), F.col("n").alias(f"n_{side}")) for side in ("chosen", "rejected")]
+    found = follower.join(sides[0], ["state_id", "chosen"], "left").join(sides[1], ["state_id", "rejected"], "left")
+    missing = F.col("n_chosen").isNull() | F.col("n_rejected").isNull()
+    counted = [
+        (preferences, "leader_direction", F.col("chosen_utility") <= F.col("rejected_utility")),
+        (cleaned, "overreach", overreach_basic(F.col("chosen"))),
+        (follower, "follower_direction", F.col("chosen_utility") <= F.col("rejected_utility")),
+        (follower, "identical_code", F.col("chosen") == F.col("rejected")),
+        (found, "other_state", missing),
+    ]
+    out = None
+    for df, rule, broken in counted:
+        one = df.agg(F.count_if(broken).alias("broken")).select(F.lit(rule).alias("rule"), "broken")
+        out = one if out is None else out.unionByName(one)
+    for name, df in (("preferences", preferences), ("cleaned", cleaned), ("follower", follower), ("candidates", candidates)):
+        out = out.unionByName(df.agg((F.count("*") == 0).cast("bigint").alias("broken")).select(F.lit(f"no_{name}").alias("rule"), "broken"))
+    return out
+
+
+def staged(spark: SparkSession, trajectories: DataFrame, out: str, cfg: UtilityConfig, rules: dict[str, list[tuple[str, float | None, float | None]]] | None = None, resume: bool = True) -> dict[str, Any]:
+    """The run from trajectories as stages with tables of their own, gates (``rules`` by stage) and a manifest."""
+    made = from_trajectories(trajectories, cfg)
+    names = ("leader", "clean", "candidates", "follower", "leader_rows")
+    stages = [Stage(name, lambda _, name=name: made[name].drop("order"), (rules or {}).get(name, [])) for name in names]
+    return run_stages(spark, stages, out, resume, gates=bool(rules))
+
+
+def ablation(runs: DataFrame) -> DataFrame:
+    """runs: variant, task_id, passed, assert_rate, tokens, rounds. A row for each variant, by its utility."""
+    cfg = UtilityConfig()
+    n, p = F.count("*"), F.count_if("passed")
+    utility = F.avg("assert_rate") - cfg.lambda_round * F.avg("rounds") - cfg.lambda_token * F.avg("tokens")
+    table = runs.groupBy("variant").agg(n.alias("num_tasks"), p.alias("final_passed"), (p / n).alias("final_pass_rate"), F.avg("assert_rate").alias("avg_assert_pass_rate"), F.avg("tokens").alias("avg_total_tokens"), utility.alias("leader_utility"))
+    return table.orderBy(F.desc("leader_utility"), "variant")

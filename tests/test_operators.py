@@ -305,3 +305,24 @@ def test_files_and_splits(spark, tmp_path):
     assert [r.task_id for r in readers.read_splits(spark, files, "all", shape, 5).orderBy("file_rank", "ord").collect()] == ["train0", "train1", "train2", "valid0", "valid1"]
     with pt.raises(ValueError):
         readers.read_splits(spark, files, "dev", shape)
+
+
+def test_staged_run_check_and_ablation(spark, tmp_path, capsys):
+    from duetframe import cli
+
+    t = turns.rollup(turn_queries.turns(spark, D)).withColumns({"ord": F.split("trajectory_id", "_")[0].cast("long") * 1000 + F.split("trajectory_id", "_")[1].cast("long"), "task_id": F.split("trajectory_id", "_")[0], "state_text": F.lit("s"), "context_tokens": F.lit(5), "communication_tokens": F.lit(None).cast("int")})
+    out = str(tmp_path / "run")
+    m = pipelines.staged(spark, t.limit(60), out, config.UtilityConfig(), {"leader": [("rows", 1.0, None)]})
+    assert m["ok"] and list(m["stages"]) == ["leader", "clean", "candidates", "follower", "leader_rows"]
+    said = cli.main(["verify", out])
+    rules = dict(x.split("\t") for x in capsys.readouterr().out.split("\n") if "\t" in x)
+    # the made-up turns give equal code different pass rates, so this one rule may be broken
+    assert said == int(rules.pop("identical_code") != "0") and set(rules.values()) == {"0"}
+    tables = [spark.read.parquet(f"{out}/{n}") for n in ("leader", "clean", "follower", "candidates")]
+    bad = tables[2].limit(3).withColumn("rejected", F.col("chosen")).unionByName(tables[2].limit(2).withColumn("state_id", F.lit("none")))
+    broken = {r.rule: r.broken for r in pipelines.check(tables[0], tables[1], bad, tables[3].limit(0)).collect()}
+    assert 3 <= broken["identical_code"] <= 5 and broken["other_state"] == 5 and broken["no_candidates"] == 1 and broken["leader_direction"] == 0
+    (tmp_path / "runs.jsonl").write_text("".join(json.dumps({"variant": v, "task_id": f"t{i}", "passed": p, "assert_rate": r, "tokens": 100, "rounds": 1}) + "\n" for v, p, r in (("a", True, 1.0), ("b", False, 0.5)) for i in range(2)))
+    assert cli.main(["ablation", str(tmp_path / "runs.jsonl"), str(tmp_path / "csv")]) == 0
+    text = capsys.readouterr().out
+    assert "| a | 2 | 2 | 1.00 | 1.00 | 100.00 | 0.98 |" in text and text.index("| a |") < text.index("| b |")
