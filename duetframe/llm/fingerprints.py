@@ -1,6 +1,6 @@
 """Document fingerprints from closed syncmers, matched by place, in DataFrame functions alone.
 
-A text is a row of units: words, and in runs of more than LONGEST characters without white space every character. A
+A text is a row of units: words, and in runs of more than LONGEST characters without ASCII white space every character. A
 window of K units is an anchor if the smallest of its inner S-unit strings (by hash) stands at one of its two edges.
 Whether it is depends on nothing outside the window, so an edit changes no anchor that it doesn't touch. The fingerprint
 is the row of the anchors' hashes, so it grows with the text and tells the anchors' order. Two fingerprints are held
@@ -19,8 +19,8 @@ from .common import few, read, shuffle_partitions, stored
 K, S = 5, 2
 #: Characters of the longest run without white space that is one unit; of longer ones each character is a unit.
 LONGEST = 32
-#: White space of Unicode, as the inside of a character class.
-SPACE = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: White space of ASCII, as the inside of a character class; a class of such characters alone is a table look-up.
+SPACE = r" \t-\r"
 #: Shifts that differ by less than this and a part of BAND of the longer fingerprint are one.
 LEAST_BAND, BAND = 4, 8
 #: Rows of a bucket of neighbouring ids, about; keys sampled for each border, and for all of them.
