@@ -269,7 +269,8 @@ _TESTS = """concat('[{"args": [1], "expected": ', ord % 3, '}, {"args": [2], "ex
 _CODE = "CASE ord % 5 WHEN 0 THEN 'def f(x): return x' WHEN 1 THEN 'def f(x): return 0' WHEN 2 THEN 'def g(x): return x' WHEN 3 THEN 'def f(x) return' ELSE concat('def f(x):', chr(10), '  return 1 // (x - 1)') END"
 
 
-@query()
+@query(with_views("v_text") + """, r AS (SELECT ord, CASE ord % 5 WHEN 0 THEN CASE WHEN ord % 3 = 1 THEN 1.0 ELSE 0.5 END WHEN 1 THEN CASE WHEN ord % 3 = 0 THEN 0.5 ELSE 0.0 END ELSE 0.0 END AS pass_rate, CASE ord % 5 WHEN 2 THEN 'missing_entry_point' WHEN 3 THEN 'SyntaxError' END AS error_type FROM v_text)
+SELECT ord, pass_rate = 1.0 AS passed, pass_rate, error_type FROM r""")
 def execute_tests(spark, d):
     t = texts(spark, d).select("ord", F.expr(_CODE).alias("code"), F.lit("f").alias("entry_point"), F.expr(_TESTS).alias("tests"))
     # the same program with the same tests runs once
@@ -294,13 +295,14 @@ def failed_asserts_topk(spark, d):
     return c.select("candidate_id", F.slice("f", 1, 6).alias("first_failed"), F.slice("f", F.greatest(F.size("f") - 7, F.lit(1)), F.lit(8)).alias("last_failed"))
 
 
-@query()
+@query(with_views("v_text") + """, n AS (SELECT ord, CAST(CASE WHEN ord % 17 = 0 THEN 0 ELSE ord % 13 END AS INT) AS n_asserts FROM v_text)
+SELECT ord, n_asserts, CASE WHEN n_asserts <= 4 THEN 'easy' WHEN n_asserts <= 9 THEN 'medium' ELSE 'hard' END AS difficulty FROM n""")
 def ast_assert_count(spark, d):
     test = F.concat(F.lit("def check(f):\n"), F.repeat(F.lit("    assert f(1) == 1\n"), (F.col("ord") % 13).cast("int")), F.when(F.col("ord") % 17 == 0, "    broken (").otherwise("    pass\n"))
     return ex.with_assert_count(texts(spark, d).select("ord", test.alias("test"))).select("ord", "n_asserts", "difficulty")
 
 
-@query()
+@query(with_views("v_cand") + """ SELECT candidate_id, '{' || chr(10) || '  "passed": ' || CASE WHEN passed THEN 'true' ELSE 'false' END || ',' || chr(10) || '  "pass_rate": ' || CAST(pass_rate AS VARCHAR) || ',' || chr(10) || '  "error_type": ' || CASE WHEN round = 2 THEN '"SyntaxError"' ELSE 'null' END || chr(10) || '}' AS feedback FROM v_cand""")
 def compact_feedback_json(spark, d):
     c = view(spark, d, "v_cand").select("candidate_id", "passed", "pass_rate", F.when(F.col("round") == 2, "SyntaxError").alias("error_type"))
     return ex.with_pretty_json(c, ["passed", "pass_rate", "error_type"], "feedback").select("candidate_id", "feedback")

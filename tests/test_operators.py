@@ -326,3 +326,18 @@ def test_staged_run_check_and_ablation(spark, tmp_path, capsys):
     assert cli.main(["ablation", str(tmp_path / "runs.jsonl"), str(tmp_path / "csv")]) == 0
     text = capsys.readouterr().out
     assert "| a | 2 | 2 | 1.00 | 1.00 | 100.00 | 0.98 |" in text and text.index("| a |") < text.index("| b |")
+
+
+def test_registry_backups(tmp_path):
+    from duetframe.sources import readers
+
+    path = str(tmp_path / "info.json")
+    readers.upsert_dataset(path, "a", {"n": 1})
+    assert readers.read_json(path + ".bak") is None
+    readers.upsert_dataset(path, "b", {"n": 2})
+    assert readers.read_json(path + ".bak") == {"a": {"n": 1}}
+    for k in ("c", "d"):
+        readers.upsert_dataset(path, k, {}, create=False, backup=".once", after=True)
+    assert set(readers.read_json(path + ".once")) == {"a", "b", "c"} and set(readers.read_json(path)) == {"a", "b", "c", "d"}
+    with pytest.raises(FileNotFoundError):
+        readers.upsert_dataset(path + "x", "a", {}, create=False)
