@@ -99,12 +99,10 @@ def _windows_of(x: np.ndarray, length: int):
     return first, last, core, left, right
 
 
-def _name(context: bytes, core_at: int, core_end: int) -> tuple[int, int]:
-    """128 bits of a context and of where its core lies (which tells windows with other cores apart)."""
-    import xxhash
-
-    both = xxhash.xxh3_128_intdigest(context, core_at << 20 | core_end)
-    return (both >> 64) - (1 << 63), (both & ((1 << 64) - 1)) - (1 << 63)
+def _names(digests: list[bytes]) -> np.ndarray:
+    """Two numbers for each 128-bit digest of a context (seeded with where its core lies, which tells windows with other
+    cores apart)."""
+    return np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -213,7 +211,9 @@ def _repeated_spans(rows: DataFrame, kind: str, length: int, most_contexts: int,
         asked = _with_cores(rows, cores_of=shared, length=length, kind=kind)
 
     def contexts(batches):
-        seen: set[tuple[int, int]] = set()
+        from xxhash import xxh3_128_digest
+
+        seen: set[bytes] = set()
         for b in batches:
             for part in (b.slice(i, 250) for i in range(0, b.num_rows, 250)):
                 row, cols, names, held = [], [], [], []
@@ -226,18 +226,22 @@ def _repeated_spans(rows: DataFrame, kind: str, length: int, most_contexts: int,
                     k = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, core), len(wanted) - 1)] == core)
                     row.append(np.full(len(k), i))
                     cols.append(np.stack([core[k], first[k], left[k] - first[k], right[k] - first[k]]))
-                    for s, e, lo, hi in zip(first[k].tolist(), (last[k] + length).tolist(), *cols[-1][2:].tolist()):
+                    lo, hi = cols[-1][2:]
+                    for s, e, seed in zip(first[k].tolist(), (last[k] + length).tolist(), (lo << 20 | hi).tolist()):
                         context = data[s:e]
-                        name = _name(context, lo, hi)
+                        name = xxh3_128_digest(context, seed)
                         names.append(name)
-                        held.append(None if name in seen else context)
-                        seen.add(name)
+                        if name in seen:
+                            held.append(None)
+                        else:
+                            held.append(context)
+                            seen.add(name)
                 if len(seen) > 500_000:
                     seen.clear()
                 if row:
                     at = pa.array(np.concatenate(row))
                     core, start, lo, hi = np.concatenate(cols, 1)
-                    both = np.array(names, np.int64).reshape(-1, 2)
+                    both = _names(names)
                     yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *map(pa.array, (core, both[:, 0], both[:, 1], start)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(held, pa.binary())], ["doc_id", "key", *_NAME, "start", "lo", "hi", "context"])
 
     found = stored(asked.select("doc_id", "key", "text", *named).mapInArrow(lean(contexts), f"doc_id {kind}, key bigint, core bigint, one bigint, two bigint, start bigint, lo int, hi int, context binary"))
@@ -295,7 +299,7 @@ def _longer_cores(entries: DataFrame, length: int) -> DataFrame:
 
         for b in batches:
             for part in (b.slice(i, 500) for i in range(0, b.num_rows, 500)):
-                row, made = [], []
+                row, made, names = [], [], []
                 for i, (lo, hi, context) in enumerate(zip(*(part.column(c).to_pylist() for c in ("lo", "hi", "context")))):
                     last, spare = len(context) - length, length - (hi - lo)
                     more = -(-spare // 2)
@@ -305,8 +309,10 @@ def _longer_cores(entries: DataFrame, length: int) -> DataFrame:
                         text, a, z = context[start : end + length], a - start, z - start
                         core = xxhash.xxh3_64_intdigest(text[a:z], side) - (1 << 63)
                         row.append(i)
-                        made.append((start, core, *_name(text, a, z), a, z, text))
-                at, cols = pa.array(row, pa.int64()), list(zip(*made)) or [()] * 7
+                        names.append(xxhash.xxh3_128_digest(text, a << 20 | z))
+                        made.append((start, core, a, z, text))
+                at, cols = pa.array(row, pa.int64()), list(zip(*made)) or [()] * 5
+                cols[2:2] = _names(names).T
                 kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in (*_NAME, "n")), *(pa.array(x, k) for x, k in zip(cols, kinds))], [*(f"of_{c}" for c in _NAME), "n", "shift", *_NAME, "lo", "hi", "context"])
 
