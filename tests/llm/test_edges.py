@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from duetframe.llm import bpe, fingerprints, html_extraction, jaccard, license_scan, packing, quality, suffix_dedup, toxicity, url_filters
+from duetframe.llm import bpe, fingerprints, html_extraction, jaccard, license_scan, packing, periodic_runs, quality, suffix_dedup, toxicity, url_filters, vector_codes, vector_links
 from duetframe.llm.common import beside
 
 LONG = "lorem ipsum dolor sit amet " * 4_000
@@ -22,6 +22,11 @@ def model(docs):
     return toxicity.fit_toxicity(docs, docs.select("doc_id", F.lit(1).alias("toxic")))
 
 
+def vectors(docs):
+    """A vector column of the numbers of characters ; none is null."""
+    return docs.withColumn("n_chars", F.array(F.col("n_chars") * 1.0, F.lit(1.0)))
+
+
 OPERATORS = {
     "url_filters": lambda d: url_filters.judge_urls(d.withColumn("url", F.col("text")), url_filters.RULES, "doc_id"),
     "jaccard_groups": lambda d: jaccard.jaccard_groups(d),
@@ -33,6 +38,9 @@ OPERATORS = {
     "encode_documents": lambda d: bpe.encode_documents(d, decoded=True),
     "remove_repeats": lambda d: suffix_dedup.remove_repeats(d),
     "score_toxicity": lambda d: toxicity.score_toxicity(d, model(d)),
+    "encode_vectors": lambda d: vector_codes.with_group_error(vector_codes.encode_vectors(vectors(d), vector_codes.fit_codebooks(vectors(d), "doc_id", "n_chars", parts=1), "doc_id", "n_chars", keep=("label",))),
+    "find_runs": lambda d: periodic_runs.find_runs(d),
+    "vector_links": lambda d: vector_links.vector_links(vectors(d), "doc_id", "n_chars"),
     "pack_documents": lambda d: packing.pack_documents(d),
 }
 #: Results with a row for each match or piece.
