@@ -17,6 +17,7 @@ from .utility import clamp01
 #: Names and kinds of a feedback's plain fields.
 KINDS = {"passed": "boolean", "pass_rate": "double", "passed_tests": "int", "total_tests": "int", "timeout": "boolean", "error_type": "string", "error_message": "string"}
 FEEDBACK = "struct<passed:boolean,pass_rate:double,passed_tests:int,total_tests:int,timeout:boolean,error_type:string,error_message:string,assert_results:string,stderr:string>"
+FIELDS = tuple(x.split(":")[0] for x in FEEDBACK[7:-1].split(","))
 #: White space in Python's sense, and what ends a line there.
 _SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"

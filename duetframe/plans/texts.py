@@ -273,9 +273,7 @@ _CODE = "CASE ord % 5 WHEN 0 THEN 'def f(x): return x' WHEN 1 THEN 'def f(x): re
 SELECT ord, pass_rate = 1.0 AS passed, pass_rate, error_type FROM r""")
 def execute_tests(spark, d):
     t = texts(spark, d).select("ord", F.expr(_CODE).alias("code"), F.lit("f").alias("entry_point"), F.expr(_TESTS).alias("tests"))
-    # the same program with the same tests runs once
-    ran = ex.execute(t.select("code", "entry_point", "tests").distinct(), seconds=10.0)
-    return t.join(ran, ["code", "entry_point", "tests"]).select("ord", "feedback.passed", R6(F.col("feedback.pass_rate")).alias("pass_rate"), "feedback.error_type")
+    return ex.execute(t, seconds=10.0, once=True).select("ord", "feedback.passed", R6(F.col("feedback.pass_rate")).alias("pass_rate"), "feedback.error_type")
 
 
 @query(with_views("v_cand") + " SELECT candidate_id, CAST(len(list_filter(r, lambda x: x)) AS INT) AS passed_tests, round(len(list_filter(r, lambda x: x)) / greatest(1, len(r)), 6) AS pass_rate, len(r) > 0 AND len(list_filter(r, lambda x: NOT x)) = 0 AS passed FROM (SELECT candidate_id, list_transform(range(0, code_tokens % 6), lambda i: (i + ord) % 3 > 0) AS r FROM v_cand)")
