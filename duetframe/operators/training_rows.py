@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.prompts import repair_request
 from ..functions.text import rstrip, sharegpt
 
 # What the two roles are told, and the names of the metadata of a row.
@@ -12,7 +13,6 @@ LEADER_SYSTEM = "You are the leader/planner in a planner-coder code generation t
 FOLLOWER_SYSTEM = "You are the follower/coder in a planner-coder code generation team. Return only valid Python code. Do not include markdown fences, prose, tests, or examples."
 LEADER_ASK = "\n\nCreate an implementation plan for the coder.\nStart with exactly one line: Estimated effort tokens: N\nThen mention the core algorithm and key edge cases. Do not write code."
 FOLLOWER_ASK = "\n\nWrite the complete Python function requested by the task. Return Python code only."
-REPAIR_ASK = "\n\nGive a concise repair plan for the coder. Do not write code."
 
 
 def _measures(pairs: DataFrame) -> list[Column]:
@@ -57,18 +57,28 @@ def initial_examples(pairs: DataFrame) -> DataFrame:
     return pairs.where("chosen_row is not null and rejected_row is not null").withColumns({"chosen_plan": a, "rejected_plan": b}).where(usable(F.col("chosen_plan"), F.col("rejected_plan")))
 
 
-def state_signature(task_id: Column, previous_code: Column, previous_error: Column) -> Column:
-    """SHA-256 of what both sides must have seen to be compared: task, code before, error before."""
-    return F.sha2(F.to_json(F.struct(task_id.alias("a"), F.coalesce(previous_code, F.lit("")).alias("b"), F.coalesce(previous_error, F.lit("")).alias("c"))), 256)
-
-
 def repair_examples(pairs: DataFrame, turns: DataFrame) -> DataFrame:
     """Turns after the first that both sides of a pair reached from the same state: one row each, with kept (usable).
 
-    turns: trajectory_id, round, plan, and signature of the state the turn starts from. Turns are joined by pair and
-    round, so a pair costs no more rows than its shorter side has turns.
+    turns: trajectory_id, round, plan, and signature of the state the turn starts from (functions.feedback.state_signature:
+    task, code before, and the whole compact feedback). Turns are joined by pair and round, so a pair costs no more rows
+    than its shorter side has turns.
     """
     later = turns.where("round > 1")
     a = pairs.join(later.select(F.col("trajectory_id").alias("chosen_id"), "round", F.col("plan").alias("chosen_plan"), F.col("signature").alias("sa")), "chosen_id")
     b = later.select(F.col("trajectory_id").alias("rejected_id"), "round", F.col("plan").alias("rejected_plan"), F.col("signature").alias("sb"))
     return a.join(b, ["rejected_id", "round"]).withColumn("kept", (F.col("sa") == F.col("sb")) & usable(F.col("chosen_plan"), F.col("rejected_plan"))).drop("sa", "sb")
+
+
+def repair_rows(pairs: DataFrame, turns: DataFrame) -> DataFrame:
+    """Training rows of the kept repair examples, with round.
+
+    pairs: as for leader_rows; turns: as for repair_examples, with state_text, previous_code and previous_feedback (the
+    compact text) of the turn, which the request shows as the chosen side saw them.
+    """
+    kept = repair_examples(pairs, turns).where("kept")
+    seen = turns.select(F.col("trajectory_id").alias("chosen_id"), "round", "state_text", "previous_code", "previous_feedback")
+    j = kept.join(seen, ["chosen_id", "round"])
+    human = repair_request(F.col("state_text"), F.col("previous_code"), F.col("previous_feedback"))
+    metadata = F.struct(F.lit("leader_repair_strict").alias("stage"), "round", "task_id", F.col("chosen_id").alias("chosen_trajectory_id"), F.col("rejected_id").alias("rejected_trajectory_id"), *_measures(j))
+    return j.select(*sharegpt(LEADER_SYSTEM, human, F.col("chosen_plan"), F.col("rejected_plan"), metadata, F.lit(1.0)))

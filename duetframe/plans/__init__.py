@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from . import records, reports, scoring, texts, turns
+from . import dialogue, feedback, records, reports, scoring, texts, turns
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "records", "reports", "scoring", "texts", "turns"]
+__all__ = ["ORACLES", "QUERIES", "dialogue", "feedback", "records", "reports", "scoring", "texts", "turns"]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import feedback as fb
 from ..functions import text as tx
 from ..operators import clean as cl
 from ..operators import execute as ex
@@ -11,6 +13,7 @@ from ..operators import pairs as pr
 from ..operators import training_rows as rows
 from ..operators import turns as tr
 from ..sources.views import view, with_views
+from .feedback import compact_sql, feedback_of
 from .registry import query
 from .scoring import _PAIRS, _WEIGHT, R6, U, leader_pair_rows
 
@@ -238,29 +241,36 @@ def pair_refs_missing(spark, d):
     return p.agg(F.count("*").alias("pairs"), F.count_if(F.col("chosen_row").isNull() | F.col("rejected_row").isNull()).alias("missing_refs"))
 
 
-_SIG = """g AS (SELECT trajectory_id, round, plan, task_id, lag(code) OVER (PARTITION BY trajectory_id ORDER BY round) AS pc, coalesce(lag(error_type) OVER (PARTITION BY trajectory_id ORDER BY round), '') AS pe FROM v_turn),
-rx AS (SELECT chosen_id, rejected_id, a.round AS round, a.plan AS cp, b.plan AS rp, (a.task_id = b.task_id AND a.pc = b.pc AND a.pe = b.pe) AND a.plan <> b.plan AS kept FROM tp JOIN g a ON a.trajectory_id = chosen_id JOIN g b ON b.trajectory_id = rejected_id AND a.round = b.round WHERE a.round > 1)"""
+_SIG = f"""w AS (SELECT *, {compact_sql("rounds")} AS text FROM v_feed), g AS (SELECT trajectory_id, round, plan, task_id, coalesce(lag(code) OVER (PARTITION BY trajectory_id ORDER BY round), '') AS pc, lag(text) OVER (PARTITION BY trajectory_id ORDER BY round) AS pf FROM w),
+rx AS (SELECT chosen_id, rejected_id, a.round AS round, a.plan AS cp, b.plan AS rp, (a.task_id = b.task_id AND a.pc = b.pc AND a.pf = b.pf) AND a.plan <> b.plan AS kept FROM tp JOIN g a ON a.trajectory_id = chosen_id JOIN g b ON b.trajectory_id = rejected_id AND a.round = b.round WHERE a.round > 1)"""
+
+
+def signed_turns(spark, d):
+    """Turns with the compact feedback on the turn before and the signature of the state that they start from."""
+    t = view(spark, d, "v_feed").withColumn("text", fb.compact_feedback(feedback_of(), fb.ROUNDS))
+    w = Window.partitionBy("trajectory_id").orderBy("round")
+    t = t.withColumns({"previous_code": F.lag("code", 1, "").over(w), "previous_feedback": F.lag("text").over(w)})
+    signature = F.when(F.col("round") > 1, fb.state_signature(F.col("task_id"), F.col("previous_code"), F.col("previous_feedback")))
+    return t.withColumn("signature", signature)
 
 
 def _repairs(spark, d):
-    t = tr.with_previous(view(spark, d, "v_turn"))
-    t = t.withColumn("signature", rows.state_signature(F.col("task_id"), F.col("previous_code"), F.col("previous_error")))
-    return rows.repair_examples(turn_pairs(spark, d), t.select("trajectory_id", "round", "plan", "signature"))
+    return rows.repair_examples(turn_pairs(spark, d), signed_turns(spark, d).select("trajectory_id", "round", "plan", "signature"))
 
 
-@query(with_views("v_turn") + ", " + _TPAIR + ", " + _SIG + " SELECT chosen_id, rejected_id, round, kept FROM rx")
+@query(with_views("v_turn", "v_feed") + ", " + _TPAIR + ", " + _SIG + " SELECT chosen_id, rejected_id, round, kept FROM rx")
 def repair_examples_strict(spark, d):
     return _repairs(spark, d).select("chosen_id", "rejected_id", "round", "kept")
 
 
-@query(with_views("v_turn") + ", " + _TPAIR + ", " + _SIG + ", f AS (SELECT trajectory_id, plan FROM v_turn WHERE round = 1) SELECT chosen_id, rejected_id, 1 AS round, 'leader_initial' AS stage, a.plan AS chosen FROM tp JOIN f a ON a.trajectory_id = chosen_id JOIN f b ON b.trajectory_id = rejected_id WHERE a.plan <> b.plan UNION ALL SELECT chosen_id, rejected_id, round, 'leader_repair_strict', cp FROM rx WHERE kept")
+@query(with_views("v_turn", "v_feed") + ", " + _TPAIR + ", " + _SIG + ", f AS (SELECT trajectory_id, plan FROM v_turn WHERE round = 1) SELECT chosen_id, rejected_id, 1 AS round, 'leader_initial' AS stage, a.plan AS chosen FROM tp JOIN f a ON a.trajectory_id = chosen_id JOIN f b ON b.trajectory_id = rejected_id WHERE a.plan <> b.plan UNION ALL SELECT chosen_id, rejected_id, round, 'leader_repair_strict', cp FROM rx WHERE kept")
 def round_conversion_all(spark, d):
     p = rows.with_references(turn_pairs(spark, d), _rolled(spark, d), F.struct("turns"))
     first = rows.initial_examples(p).select("chosen_id", "rejected_id", F.lit(1).alias("round"), F.lit("leader_initial").alias("stage"), F.col("chosen_plan").alias("chosen"))
     return first.unionByName(_repairs(spark, d).where("kept").select("chosen_id", "rejected_id", "round", F.lit("leader_repair_strict").alias("stage"), F.col("chosen_plan").alias("chosen")))
 
 
-@query(with_views("v_turn") + ", " + _TPAIR + ", " + _SIG + ", f AS (SELECT trajectory_id, plan FROM v_turn WHERE round = 1), a AS (SELECT 'leader_initial' AS stage FROM tp JOIN f a ON a.trajectory_id = chosen_id JOIN f b ON b.trajectory_id = rejected_id WHERE a.plan <> b.plan UNION ALL SELECT 'leader_repair_strict' FROM rx WHERE kept) SELECT stage, count(*) AS rows FROM a GROUP BY stage")
+@query(with_views("v_turn", "v_feed") + ", " + _TPAIR + ", " + _SIG + ", f AS (SELECT trajectory_id, plan FROM v_turn WHERE round = 1), a AS (SELECT 'leader_initial' AS stage FROM tp JOIN f a ON a.trajectory_id = chosen_id JOIN f b ON b.trajectory_id = rejected_id WHERE a.plan <> b.plan UNION ALL SELECT 'leader_repair_strict' FROM rx WHERE kept) SELECT stage, count(*) AS rows FROM a GROUP BY stage")
 def stage_counts(spark, d):
     return round_conversion_all(spark, d).groupBy("stage").agg(F.count("*").alias("rows"))
 

@@ -31,6 +31,14 @@ FROM (SELECT task_id, k, CAST(row_number() OVER (PARTITION BY task_id ORDER BY l
   concat(' Plan ', event_type, ' ', k % 20, ' ') AS plan, concat('code ', k % 7) AS code, k * 0.001e0 AS incentive, event_id AS ord
 FROM (SELECT user_id, event_type, value, event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k,
   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM {events}) a""",
+    ),
+    "v_feed": (
+        ("events",),
+        """SELECT a.*, k % 3 / 2.0e0 AS fb_rate, CAST(k % 3 AS INT) AS passed_tests, CAST(2 AS INT) AS total_tests, k % 11 = 0 AS timeout,
+  CASE WHEN error_type IS NOT NULL THEN concat('bad "', error_type, '"', chr(10), chr(9), 'é') END AS error_message,
+  concat('[', concat_ws(', ', {asserts}), ']') AS assert_results,
+  CASE ord % 3 WHEN 0 THEN ' ' WHEN 1 THEN concat('warn ', code, chr(10)) ELSE concat('  a', chr(10), 'b', chr(10), 'c', chr(10), 'd', chr(10), 'e', chr(10), 'f', chr(10), 'g', chr(10), 'h', chr(10), '"i"', chr(10), 'j', chr(10)) END AS stderr
+FROM (SELECT t.*, CAST(round(pass_rate * 99) AS INT) AS k FROM ({v_turn}) t) a""",
     ),
     "v_text": (
         ("documents", "labels"),
@@ -77,6 +85,10 @@ FROM {part}""",
     ),
 }
 
+#: What the i-th assert of a turn in v_feed says: ten of them where k % 3 is 0, else three; which fail is a matter of ord's parity.
+_ASSERT = """CASE WHEN {i} < CASE WHEN k % 3 = 0 THEN 10 ELSE 3 END THEN concat(chr(123), '"assert": "assert f({i}) == ', chr(92), '"é', chr(92), '"", "passed": ', CASE WHEN ({i} + ord % 2) % 3 > 1 THEN 'true' ELSE 'false, "error": "AssertionError()"' END, chr(125)) END"""
+SQL["v_feed"] = (SQL["v_feed"][0], SQL["v_feed"][1].replace("{asserts}", ", ".join(_ASSERT.format(i=i) for i in range(10))).replace("{v_turn}", SQL["v_turn"][1]))
+
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     tables, sql = SQL[name]

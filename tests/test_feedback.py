@@ -88,3 +88,27 @@ def test_signature(feedbacks):
         whole = {"task_id": 'HumanEval/"1"' if i < 3 else None, "previous_code": f'def f():\n\treturn "é"\n#{i}' if i else "", "previous_feedback": plain(f, fb.ROUNDS)}
         want[i] = hashlib.sha256(json.dumps(whole, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
     assert got == want
+
+
+def test_repairs_need_the_same_failed_asserts(spark):
+    """Two turns that differ in one failed assert only start from different states; training rows show what the chosen side saw."""
+    from duetframe.operators import training_rows as rows
+
+    base = dict(FEEDBACKS[0])
+    other = json.dumps([{**a, "n": None} if i == 1 else a for i, a in enumerate(ASSERTS)], ensure_ascii=False)
+    late = json.dumps([{**a, "n": None} if i == 19 else a for i, a in enumerate(ASSERTS)], ensure_ascii=False)  # beyond the first six failed ones
+    first = {"a": base["assert_results"], "b": base["assert_results"], "c": other, "d": late}
+    names = list(fb.FIELDS)
+    kinds = fb.FEEDBACK[7:-1].replace(":", " ")
+    df = spark.createDataFrame([(t, *((base | {"assert_results": first[t]})[n] for n in names)) for t in first], f"trajectory_id string, {kinds}")
+    text = fb.compact_feedback(F.struct(*names))
+    turns = df.select("trajectory_id", F.lit(2).alias("round"), F.concat(F.lit("plan "), "trajectory_id").alias("plan"), F.lit("code").alias("previous_code"), text.alias("previous_feedback"), F.lit("state").alias("state_text"))
+    turns = turns.withColumn("signature", fb.state_signature(F.lit("t"), F.col("previous_code"), F.col("previous_feedback")))
+    pairs = spark.createDataFrame([("t", "a", "b", 0.1), ("t", "a", "c", 0.2), ("t", "a", "d", 0.3), ("t", "b", "b", 0.4)], "task_id string, chosen_id string, rejected_id string, utility_delta double")
+    got = {(r.chosen_id, r.rejected_id): r.kept for r in rows.repair_examples(pairs, turns).collect()}
+    assert got == {("a", "b"): True, ("a", "c"): False, ("a", "d"): True, ("b", "b"): False}
+    made = {r.metadata.rejected_trajectory_id: r for r in rows.repair_rows(pairs, turns).collect()}
+    assert set(made) == {"b", "d"}
+    human = f"Task state:\nstate\n\nPrevious code:\ncode\n\nExecution feedback:\n{plain(base, fb.ROUNDS)}\n\nGive a concise repair plan for the coder. Do not write code."
+    assert made["b"].conversations[1].value == human and made["b"].chosen.value == "plan a\n" and made["d"].metadata.utility_delta == 0.3
+    assert made["b"].metadata.stage == "leader_repair_strict" and made["b"].metadata.round == 2
