@@ -7,6 +7,7 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import numbered
 from .turns import with_best_before, with_previous
 
 #: A step's incentive where none is known.
@@ -34,6 +35,9 @@ def selected(states: DataFrame, limit: int, order: str = "ord", prefer_repair: b
     if most_first is None and most_repair is None:
         rank = [first, F.col(order)]
     else:
+        # of each kind no more rows than its quota and the limit can be selected: the numbering sees only those
+        kind = F.coalesce(repair, F.lit(False))
+        states = states.where(~kind).orderBy(order).limit((most_first or 0) + limit).unionByName(states.where(kind).orderBy(order).limit((most_repair or 0) + limit))
         nth = F.row_number().over(Window.partitionBy(repair).orderBy(order))
         states = states.withColumn("__quota", F.when(repair, nth <= (most_repair or 0)).otherwise(nth <= (most_first or 0)))
         stage = F.when(F.col("__quota") & ~repair, 0).when(F.col("__quota"), 1).otherwise(2)
@@ -57,8 +61,8 @@ def permutation(n: int, seed: int) -> list[int]:
 
 
 def placed(df: DataFrame, order: str = "ord") -> DataFrame:
-    """Adds place, the row's number in order, from 0. One task sees the ordinals; for tables of tasks and states."""
-    return df.withColumn("place", (F.row_number().over(Window.orderBy(order)) - 1).cast("bigint"))
+    """Adds place, the row's number in order, from 0."""
+    return numbered(df, [order])
 
 
 def shuffled(df: DataFrame, seed: int, order: str = "ord") -> DataFrame:

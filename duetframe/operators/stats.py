@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import nearest_ranks, values_at
+
 
 def nearest(sorted_values: Column, q: float) -> Column:
     """The value at index round((n - 1) * q), halves to even, of a sorted array; 0 of an empty one."""
@@ -15,17 +17,24 @@ def nearest(sorted_values: Column, q: float) -> Column:
 def exact_percentiles(df: DataFrame, value: str, shares: dict[str, float], group: list[str] | None = None) -> DataFrame:
     """Nearest-index percentiles of each group (or of all rows) without gathering a group in one row.
 
-    Distinct values are counted first (with partial counts); where a running count passes an index stands its value, so
-    a window goes over distinct values only.
+    Distinct values are counted first (with partial counts). Of all rows, the values are picked from the ranges of values
+    that hold their ranks (ranks.values_at). Of groups, a window goes over each group's distinct values: where a running
+    count passes an index stands its value.
     """
-    from pyspark.sql import Window
-
-    keys = group or []
-    counts = df.groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    order = Window.partitionBy(*keys).orderBy("v")
-    run = counts.withColumns({"upto": F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(Window.partitionBy(*keys))})
+    if not group:
+        got = values_at(df, value, nearest_ranks(shares))
+        return df.sparkSession.createDataFrame([tuple(got[name] for name in shares)], ", ".join(f"`{name}` double" for name in shares))
+    counts = df.groupBy(*group, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    order = Window.partitionBy(*group).orderBy("v")
+    run = counts.withColumns({"upto": F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(Window.partitionBy(*group))})
     hit = lambda q: F.max(F.when((F.bround((F.col("n") - 1) * F.lit(q)) >= F.col("upto") - F.col("c")) & (F.bround((F.col("n") - 1) * F.lit(q)) < F.col("upto")), F.col("v")))
-    return run.groupBy(*keys).agg(*(hit(q).alias(name) for name, q in shares.items()))
+    return run.groupBy(*group).agg(*(hit(q).alias(name) for name, q in shares.items()))
+
+
+def median(df: DataFrame, value: str) -> float | None:
+    """The middle value of all rows, or the mean of the two middle ones; None of nothing."""
+    got = values_at(df, value, lambda n: {"low": (n - 1) // 2, "high": n // 2})
+    return None if got["low"] is None else (got["low"] + got["high"]) / 2
 
 
 def rate(count: Column, total: Column) -> Column:

@@ -8,9 +8,10 @@ from ..operators import generate
 from ..operators import pairs as pr
 from ..operators import stats as st
 from ..operators import turns as tr
+from ..operators.ranks import numbered
 from ..sources.views import view, with_views
 from .registry import query
-from .scoring import _GATED, _PAIRS, FOLLOW, R6, U, gated_rows, leader_pair_rows, scored
+from .scoring import _GATED, _PAIRS, FOLLOW, LEADER, R6, U, gated_rows, leader_pair_rows, scored
 
 METHODS = ("direct_prompt", "self_consistency_3", "self_repair", "agentcoder")
 DISPLAY = {"direct_prompt": "Direct Prompt", "self_consistency_3": "Self-Consistency@3", "self_repair": "Self-Repair", "agentcoder": "AgentCoder"}
@@ -23,7 +24,8 @@ _NAMES = ", ".join(f"('{m}', '{n}', {i})" for i, (m, n) in enumerate(DISPLAY.ite
 def sampling_summary(spark, d):
     t = view(spark, d, "v_traj").join(scored(spark, d).select("trajectory_id", "leader_utility"), "trajectory_id")
     one = t.agg(F.count_distinct("task_id").alias("tasks"), F.count("*").alias("trajectories"), R6(F.avg("pass_rate")).alias("pass_rate_mean"), F.count_if("passed").alias("passed"), R6(F.avg("leader_utility")).alias("utility_mean"), R6(F.avg("rounds")).alias("avg_rounds"), R6(F.avg("incentive_total")).alias("avg_incentive"), F.count_if(F.col("role_penalty") > 0).alias("violations"))
-    two = leader_pair_rows(spark, d).agg(F.count("*").alias("preferences"), F.count_distinct("task_id").alias("tasks_with_preferences"))
+    # counted by a sweep over utilities: no pair is made
+    two = pr.delta_stats(scored(spark, d), "task_id", "leader_utility", LEADER.leader_margin).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("preferences"), F.count("*").alias("tasks_with_preferences"))
     return one.crossJoin(F.broadcast(two)).withColumn("tasks_without_preferences", F.col("tasks") - F.col("tasks_with_preferences"))
 
 
@@ -111,12 +113,10 @@ def diagnosis_summary(spark, d):
 
 @query(with_views("v_run") + f""", n(method, display, rank) AS (VALUES {_NAMES}) SELECT coalesce(display, method) AS method, budget AS max_new_tokens, row_number() OVER (ORDER BY coalesce(rank, 99), budget, ord) AS place FROM v_run LEFT JOIN n USING (method)""")
 def efficiency_curve(spark, d):
-    from pyspark.sql import Window
-
     names = spark.createDataFrame([(m, n, i) for i, (m, n) in enumerate(DISPLAY.items())], "method string, display string, rank int")
     r = view(spark, d, "v_run").join(F.broadcast(names), "method", "left")
-    place = F.row_number().over(Window.orderBy(F.coalesce("rank", F.lit(99)), "budget", "ord")).cast("bigint")
-    return r.select(F.coalesce("display", "method").alias("method"), F.col("budget").alias("max_new_tokens"), place.alias("place"))
+    r = r.select(F.coalesce("display", "method").alias("method"), F.coalesce("rank", F.lit(99)).alias("rank"), "budget", "ord")
+    return numbered(r, ["rank", "budget", "ord"], first=1).select("method", F.col("budget").alias("max_new_tokens"), "place")
 
 
 @query(with_views("v_run") + """ SELECT ord, CASE WHEN has_failed THEN 'failed' WHEN has_summary THEN 'completed' ELSE 'pending' END AS status, CASE WHEN has_summary THEN round_even(100 * assert_rate, 2) END AS assert_pass_rate_percent, CASE WHEN has_summary THEN final_passed BETWEEN 0 AND 17 AND tokens > 0 AND assert_rate BETWEEN 0 AND 1 END AS valid FROM v_run""")

@@ -165,6 +165,23 @@ def local_weights(spark, d):
     return p.select(F.col("chosen.trajectory_id").alias("chosen_id"), F.col("rejected.trajectory_id").alias("rejected_id"), R6(F.col("weight")).alias("weight"))
 
 
+@query(with_views("v_traj") + ", " + _PAIRS + " SELECT task_id, count(*) AS pairs, round(sum(delta), 6) AS total, round(min(delta), 6) AS least, round(max(delta), 6) AS most FROM p GROUP BY task_id")
+def delta_stats(spark, d):
+    """The deltas of each task's pairs, without the pairs."""
+    s = pr.delta_stats(scored(spark, d), "task_id", "leader_utility", LEADER.leader_margin)
+    return s.select("task_id", "pairs", R6(F.col("total")).alias("total"), R6(F.col("least")).alias("least"), R6(F.col("most")).alias("most"))
+
+
+@query(with_views("v_cand") + """, s AS (SELECT task_id, ord * 1000 + round AS o, state_id, round(least(1.0, pass_rate) + incentive - 0.00001 * code_tokens, 6) AS u FROM v_cand),
+p AS (SELECT a.task_id, abs(a.u - b.u) AS delta FROM s a JOIN s b ON a.task_id = b.task_id AND (a.state_id, a.o) < (b.state_id, b.o) AND abs(a.u - b.u) > 0.9) SELECT task_id, count(*) AS pairs, round(min(delta), 6) AS least, round(max(delta), 6) AS most FROM p GROUP BY task_id""")
+def crowded_pairs(spark, d):
+    """Pairs of all candidates of a task, whatever their state, that lie far apart: few groups of many rows, in tiles."""
+    u = ut.follower_utility(F.col("pass_rate"), F.col("code_tokens"), F.col("incentive"), U)
+    c = view(spark, d, "v_cand").select("task_id", F.struct("state_id", "ord").alias("ord"), R6(u).alias("u"))
+    p = pr.pair_within(c, "task_id", "u", 0.9, tile=256)
+    return p.groupBy("task_id").agg(F.count("*").alias("pairs"), R6(F.min("utility_delta")).alias("least"), R6(F.max("utility_delta")).alias("most"))
+
+
 @query(with_views("v_traj") + ", " + _PAIRS + " SELECT chosen_id, rejected_id FROM p WHERE chosen_passed AND NOT rejected_passed")
 def strong_pairs(spark, d):
     return pr.strong(leader_pair_rows(spark, d)).select(F.col("chosen.trajectory_id").alias("chosen_id"), F.col("rejected.trajectory_id").alias("rejected_id"))
@@ -223,7 +240,8 @@ _NEAR = "round(list_sort(list(w))[1 + CAST(round_even((count(*) - 1) * {}, 0) AS
 
 @query(with_views("v_traj") + ", " + _PAIRS + f", q AS (SELECT delta, {_WEIGHT.format('avg(delta) OVER ()')} AS w FROM p) SELECT {_STATS}, {_NEAR.format('0.1', 'p10')}, {_NEAR.format('0.5', 'p50')}, {_NEAR.format('0.9', 'p90')}, count(*) FILTER (w <= 0.3 + 0.00000001) AS clipped_low, count(*) FILTER (w >= 2.0 - 0.00000001) AS clipped_high, round(avg(delta), 6) AS delta_mean, round(min(delta), 6) AS delta_min, round(max(delta), 6) AS delta_max FROM q")
 def weight_stats(spark, d):
-    s = st.weight_stats(pr.weighted(leader_pair_rows(spark, d), U), U.weight_min, U.weight_max)
+    deltas = pr.delta_stats(scored(spark, d), "task_id", "leader_utility", LEADER.leader_margin)
+    s = st.weight_stats(pr.weighted(leader_pair_rows(spark, d), U, mean=pr.mean_delta(deltas) or 0.0), U.weight_min, U.weight_max)
     return s.select("count", "clipped_low", "clipped_high", *_r(("min", "max", "mean", "stdev", "p10", "p50", "p90", "delta_mean", "delta_min", "delta_max")))
 
 
@@ -238,7 +256,7 @@ def percentile_block(spark, d):
     t = view(spark, d, "v_text")
     cuts = st.exact_percentiles(t, "weight", {"p25": 0.25, "p75": 0.75, "p90": 0.9})
     w = F.col("weight")
-    return t.agg(F.min(w).alias("min"), R6(F.median(w)).alias("p50"), R6(F.avg(w)).alias("mean"), F.max(w).alias("max")).crossJoin(F.broadcast(cuts.select(*_r(("p25", "p75", "p90")))))
+    return t.agg(F.min(w).alias("min"), R6(F.lit(st.median(t, "weight")).cast("double")).alias("p50"), R6(F.avg(w)).alias("mean"), F.max(w).alias("max")).crossJoin(F.broadcast(cuts.select(*_r(("p25", "p75", "p90")))))
 
 
 @query(with_views("v_traj") + ", " + _PAIRS + f" SELECT chosen_id, rejected_id, round(delta, 6) AS utility_delta, round({_WEIGHT.format('avg(delta) OVER ()')}, 6) AS weight FROM p ORDER BY weight DESC, utility_delta DESC, chosen_id, rejected_id LIMIT 20")

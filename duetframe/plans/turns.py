@@ -8,6 +8,7 @@ from ..functions import text as tx
 from ..functions import utility as ut
 from ..operators import states as ss
 from ..operators import turns as tr
+from ..operators.ranks import numbered, scattered
 from ..sources import readers
 from ..sources.tables import shared_dir
 from ..sources.views import view, with_views
@@ -134,6 +135,23 @@ def seeded_shuffle(spark, d):
     return ss.shuffled(view(spark, d, "v_task").select("ord", "task_id"), 11).select("task_id", "shuffled_at")
 
 
+_KEYED = "sha256('{}:' || ord)"
+
+
+@query(with_views("v_task") + f" SELECT task_id, row_number() OVER (ORDER BY {_KEYED.format(11)}, ord) - 1 AS shuffled_at FROM v_task")
+def keyed_shuffle(spark, d):
+    """A permutation drawn by a seed, for tables of any size."""
+    return scattered(view(spark, d, "v_task").select("ord", "task_id"), 11).select("task_id", "shuffled_at")
+
+
+@query(with_views("v_task") + f", a AS (SELECT task_id, row_number() OVER (ORDER BY ord) AS p FROM v_task), b AS (SELECT prompt_tokens, row_number() OVER (ORDER BY {_KEYED.format(SHUFFLE_SEED)}, ord) AS p FROM v_task) SELECT task_id, prompt_tokens AS budget FROM a JOIN b USING (p)")
+def keyed_budget(spark, d):
+    """As shuffled_budget, with a permutation for tables of any size: tasks and permuted budgets are joined by place."""
+    t = view(spark, d, "v_task").select("ord", "task_id", "prompt_tokens")
+    moved = scattered(t, SHUFFLE_SEED).select(F.col("shuffled_at").alias("place"), F.col("prompt_tokens").alias("budget"))
+    return ss.placed(t).join(moved, "place").select("task_id", "budget")
+
+
 @query(with_views("v_traj") + """, f AS (SELECT task_id, min(CAST(split_part(trajectory_id, '_', 1) AS BIGINT) * 100 + ord) AS f FROM v_traj GROUP BY 1 ORDER BY f LIMIT 50)
 SELECT trajectory_id FROM (SELECT trajectory_id, CAST(split_part(trajectory_id, '_', 1) AS BIGINT) * 100 + ord AS o FROM v_traj WHERE task_id IN (SELECT task_id FROM f)) ORDER BY o LIMIT 120""")
 def limit_trajectories(spark, d):
@@ -162,9 +180,7 @@ def split_union_limit(spark, d):
 def shard_merge(spark, d):
     t = view(spark, d, "v_task")
     merged = readers.union_in_order([ss.shard(t, 4, k) for k in range(4)])
-    from pyspark.sql import Window
-
-    return merged.select("task_id", F.row_number().over(Window.orderBy("file_rank", "ord")).cast("bigint").alias("place"))
+    return numbered(merged.select("task_id", "file_rank", "ord"), ["file_rank", "ord"], first=1).select("task_id", "place")
 
 
 @query(with_views("v_task", "v_turn") + " SELECT task_id FROM v_task WHERE task_id NOT IN (SELECT task_id FROM v_turn WHERE passed)")
