@@ -73,13 +73,12 @@ def _largest_below(u: np.ndarray, margin: float) -> np.ndarray:
     return (low ^ ((low >> 63) & np.int64(2**63 - 1))).view(np.float64)
 
 
-def delta_stats(df: DataFrame, group: str, utility: str, margin: float) -> DataFrame:
-    """Of each group that has pairs: pairs, total, least and most of the deltas of pair_within, without the pairs.
+def swept_stats(df: DataFrame, group: str, utility: str, margin: float) -> DataFrame:
+    """As delta_stats, by a sweep.
 
     Equal utilities of a group are one row with a count. A sweep over the group in order of utility holds how many there
     are below, their sum and the last one; each utility looks up what stands more than the margin below it. This sorts n
-    rows where pairs would be n squared, and a crowded group lies in many tasks (ranks.running). Ordinals are taken to
-    be different within a group; rows without group or utility are in no pair.
+    rows where pairs would be n squared, and a crowded group lies in many tasks (ranks.running).
     """
     points = df.where(F.col(group).isNotNull() & F.col(utility).isNotNull()).groupBy(F.col(group).alias("g"), F.col(utility).cast("double").alias("u")).agg(F.count("*").cast("double").alias("c"))
     kind = points.schema["g"].dataType.simpleString()
@@ -106,6 +105,26 @@ def delta_stats(df: DataFrame, group: str, utility: str, margin: float) -> DataF
     return each.where("pairs > 0").select(F.col("g").alias(group), F.col("pairs").cast("bigint").alias("pairs"), "total", "least", "most")
 
 
+def delta_stats(df: DataFrame, group: str, utility: str, margin: float, crowded: int = 128) -> DataFrame:
+    """Of each group that has pairs: pairs, total, least and most of the deltas of pair_within, without giving the pairs.
+
+    Groups of up to ``crowded`` rows are joined with themselves, and what the join finds is summed up where it is found.
+    Larger groups, where that would be n squared, go through a sweep of n rows in order of utility (swept_stats). Both
+    give the same; ordinals are taken to be different within a group, and rows without group or utility are in no pair.
+    """
+    known = df.select(F.col(group).alias("g"), F.col(utility).cast("double").alias("u")).where("g is not null and u is not null")
+    sizes = known.groupBy("g").count().where(F.col("count") > crowded).select("g")
+    n = sizes.limit(MOST_SENT + 1).count()
+    side = F.broadcast(sizes) if n <= MOST_SENT else sizes
+    # equal utilities make no pair: of two others the higher one is on the left
+    small = known.join(side, "g", "left_anti") if n else known
+    a, b = small.alias("a"), small.alias("b")
+    delta = F.col("a.u") - F.col("b.u")
+    joined = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.u") > F.col("b.u")) & (delta > margin))
+    out = joined.groupBy(F.col("a.g").alias(group)).agg(F.count("*").alias("pairs"), F.sum(delta).alias("total"), F.min(delta).alias("least"), F.max(delta).alias("most"))
+    return out.unionByName(swept_stats(known.join(side, "g"), "g", "u", margin).withColumnRenamed("g", group)) if n else out
+
+
 def mean_delta(stats: DataFrame) -> float | None:
     """The mean of all deltas, from delta_stats."""
     r = stats.agg(F.sum("total").alias("t"), F.sum("pairs").alias("n")).first()

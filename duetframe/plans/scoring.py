@@ -9,6 +9,7 @@ from ..functions import text as tx
 from ..functions import utility as ut
 from ..operators import pairs as pr
 from ..operators import stats as st
+from ..sources.tables import stored, workspace
 from ..sources.views import view, with_views
 from .registry import query
 
@@ -240,8 +241,11 @@ _NEAR = "round(list_sort(list(w))[1 + CAST(round_even((count(*) - 1) * {}, 0) AS
 
 @query(with_views("v_traj") + ", " + _PAIRS + f", q AS (SELECT delta, {_WEIGHT.format('avg(delta) OVER ()')} AS w FROM p) SELECT {_STATS}, {_NEAR.format('0.1', 'p10')}, {_NEAR.format('0.5', 'p50')}, {_NEAR.format('0.9', 'p90')}, count(*) FILTER (w <= 0.3 + 0.00000001) AS clipped_low, count(*) FILTER (w >= 2.0 - 0.00000001) AS clipped_high, round(avg(delta), 6) AS delta_mean, round(min(delta), 6) AS delta_min, round(max(delta), 6) AS delta_max FROM q")
 def weight_stats(spark, d):
-    deltas = pr.delta_stats(scored(spark, d), "task_id", "leader_utility", LEADER.leader_margin)
-    s = st.weight_stats(pr.weighted(leader_pair_rows(spark, d), U, mean=pr.mean_delta(deltas) or 0.0), U.weight_min, U.weight_max)
+    with workspace(spark) as keep:
+        rows = stored(scored(spark, d).select("task_id", "ord", "leader_utility"))
+        mean = pr.mean_delta(pr.delta_stats(rows, "task_id", "leader_utility", LEADER.leader_margin)) or 0.0
+        weights = pr.weighted(pr.pair_within(rows, "task_id", "leader_utility", LEADER.leader_margin), U, mean=mean).select("weight", "utility_delta")
+        s = keep(st.weight_stats(weights, U.weight_min, U.weight_max))
     return s.select("count", "clipped_low", "clipped_high", *_r(("min", "max", "mean", "stdev", "p10", "p50", "p90", "delta_mean", "delta_min", "delta_max")))
 
 

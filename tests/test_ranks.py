@@ -85,15 +85,16 @@ def test_deltas_and_pairs_of_crowded_groups(spark, tile):
     got = [(r.ord_a, r.ord_b, (r.g, r.utility_delta, r.chosen.text, r.rejected.text)) for r in made.collect()]
     assert len(got) == len(want) and {(a, b): x for a, b, x in got} == want
     assert made.columns == ["g", "chosen", "rejected", "utility_delta", "ord_a", "ord_b"] and set(made.schema["chosen"].dataType.names) == {"g", "ord", "u", "text"}
-    stats = pairs.delta_stats(df, "g", "u", margin)
+    stats = pairs.delta_stats(df, "g", "u", margin, crowded=tile or 10_000)
     by = {}
     for g, d, *_ in want.values():
         by.setdefault(g, []).append(d)
-    found = {r.g: r for r in stats.collect()}
-    assert set(found) == set(by)
-    for g, ds in by.items():
-        r = found[g]
-        assert (r.pairs, r.least, r.most) == (len(ds), min(ds), max(ds)) and abs(r.total - sum(ds)) < 1e-9 * len(ds)
+    for way in (stats, pairs.swept_stats(df, "g", "u", margin)):
+        found = {r.g: r for r in way.collect()}
+        assert set(found) == set(by)
+        for g, ds in by.items():
+            r = found[g]
+            assert (r.pairs, r.least, r.most) == (len(ds), min(ds), max(ds)) and abs(r.total - sum(ds)) < 1e-9 * len(ds)
     assert abs(pairs.mean_delta(stats) - sum(map(sum, by.values())) / len(want)) < 1e-9
     assert pairs.delta_stats(df.limit(0), "g", "u", margin).collect() == [] and pairs.mean_delta(stats.limit(0)) is None
 
