@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field, is_dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,12 +43,18 @@ def clean(preferences: DataFrame) -> DataFrame:
 
 
 def follower_preferences(candidates: DataFrame, cfg: UtilityConfig) -> DataFrame:
-    """candidates: state_id, task_id, ord, trajectory_id, code, pass_rate, coder_tokens, incentive, prompt."""
+    """candidates: state_id, task_id, ord (each once in a state), code, pass_rate, coder_tokens, incentive.
+
+    Pairs are made of narrow rows; the code is joined to them by state and ordinal.
+    """
     u = ut.follower_utility(F.col("pass_rate"), F.col("coder_tokens"), F.col("incentive"), cfg)
-    rows = candidates.select("state_id", "task_id", "ord", "code", "prompt", u.alias("follower_utility"))
+    rows = candidates.select("state_id", "task_id", "ord", u.alias("follower_utility"))
     p = pairs.weighted(pairs.pair_within(rows, "state_id", "follower_utility", cfg.follower_margin), cfg)
-    once = pairs.first_of_each(p, ["state_id", strip(F.col("chosen.code")), strip(F.col("rejected.code"))], ["ord_a", "ord_b"])
-    return once.select("state_id", F.col("chosen.task_id").alias("task_id"), F.col("chosen.code").alias("chosen"), F.col("rejected.code").alias("rejected"), F.col("chosen.follower_utility").alias("chosen_utility"), F.col("rejected.follower_utility").alias("rejected_utility"), "utility_delta", "weight")
+    p = p.select("state_id", F.col("chosen.task_id").alias("task_id"), F.col("chosen.ord").alias("__c"), F.col("rejected.ord").alias("__r"), F.col("chosen.follower_utility").alias("chosen_utility"), F.col("rejected.follower_utility").alias("rejected_utility"), "utility_delta", "weight", "ord_a", "ord_b")
+    code = lambda at, name: candidates.select("state_id", F.col("ord").alias(at), F.col("code").alias(name))
+    p = p.join(code("__c", "chosen"), ["state_id", "__c"]).join(code("__r", "rejected"), ["state_id", "__r"])
+    once = pairs.first_of_each(p, ["state_id", strip(F.col("chosen")), strip(F.col("rejected"))], ["ord_a", "ord_b"])
+    return once.select("state_id", "task_id", "chosen", "rejected", "chosen_utility", "rejected_utility", "utility_delta", "weight")
 
 
 def tiny(spark: SparkSession, tasks: DataFrame, trajectories: DataFrame, cfg: UtilityConfig, seconds: float = 2.0) -> dict[str, DataFrame]:
@@ -67,45 +74,88 @@ def tiny(spark: SparkSession, tasks: DataFrame, trajectories: DataFrame, cfg: Ut
     return {"scored": scored, "leader": leader, "clean": clean(leader), "follower": follower_preferences(candidates, cfg)}
 
 
-def from_trajectories(rows: DataFrame, cfg: UtilityConfig, max_tasks: int | None = None, max_rows: int | None = None) -> dict[str, DataFrame]:
-    """Sampled trajectories with turns: limit, fill in, pair, clean, candidates of every turn, training rows."""
+def sampled(rows: DataFrame, cfg: UtilityConfig, max_tasks: int | None = None, max_rows: int | None = None) -> DataFrame:
+    """Trajectories, limited and with what is missing filled in from their turns."""
     t = turns.normalized(states.limited(rows, max_tasks, max_rows))
-    sampled = F.col("leader_utility") if "leader_utility" in rows.columns else F.lit(None).cast("double")
+    given = F.col("leader_utility") if "leader_utility" in rows.columns else F.lit(None).cast("double")
     own = ut.leader_utility(F.col("pass_rate"), F.col("rounds"), F.col("total_tokens"), cfg)
-    t = t.withColumn("leader_utility", F.coalesce(sampled, own))
-    leader = leader_preferences(t, cfg)
-    flat = t.select("task_id", "trajectory_id", "state_text", F.col("ord").alias("traj_ord"), F.explode("turns").alias("t"))
+    return t.withColumn("leader_utility", F.coalesce(given, own))
+
+
+def turn_candidates(trajectories: DataFrame) -> DataFrame:
+    """The code of every turn as a candidate of its state."""
+    flat = trajectories.select("task_id", "trajectory_id", "state_text", F.col("ord").alias("traj_ord"), F.explode("turns").alias("t"))
     prompt = F.concat(F.lit("Task state:\n"), F.coalesce("state_text", F.lit("")), F.lit("\n\nPlanner guidance:\n"), F.col("t.plan"), F.lit(training_rows.FOLLOWER_ASK))
-    candidates = flat.select(F.concat("task_id", F.lit("_round"), F.col("t.round").cast("string")).alias("state_id"), "task_id", (F.col("traj_ord") * 1000 + F.col("t.round")).alias("ord"), "trajectory_id", F.col("t.code").alias("code"), F.col("t.pass_rate").alias("pass_rate"), F.col("t.code_tokens").alias("coder_tokens"), F.lit(0.0).alias("incentive"), prompt.alias("prompt"))
+    return flat.select(F.concat("task_id", F.lit("_round"), F.col("t.round").cast("string")).alias("state_id"), "task_id", (F.col("traj_ord") * 1000 + F.col("t.round")).alias("ord"), "trajectory_id", F.col("t.code").alias("code"), F.col("t.pass_rate").alias("pass_rate"), F.col("t.code_tokens").alias("coder_tokens"), F.lit(0.0).alias("incentive"), prompt.alias("prompt"))
+
+
+def from_trajectories(rows: DataFrame, cfg: UtilityConfig, max_tasks: int | None = None, max_rows: int | None = None) -> dict[str, DataFrame]:
+    """Sampled trajectories with turns: limit, fill in, pair, clean, candidates of every turn, training rows."""
+    t = sampled(rows, cfg, max_tasks, max_rows)
+    leader, candidates = leader_preferences(t, cfg), turn_candidates(t)
     cleaned = clean(leader)
     return {"trajectories": t, "leader": leader, "clean": cleaned, "candidates": candidates, "follower": follower_preferences(candidates, cfg), "leader_rows": training_rows.leader_rows(cleaned, t.select("trajectory_id", "state_text"))}
 
 
 @dataclass
 class Stage:
-    """A step that writes one table; it is skipped where its output is complete already."""
+    """A step that writes one table.
+
+    It gets the tables of the stages before it. needs: those that it reads (None: all before it); of: what else its
+    rows hang on, as settings or fingerprints of sources. Its table is taken as it is where it was made whole of the
+    same ``of`` and of tables made of the same.
+    """
 
     name: str
     run: Callable[[dict[str, DataFrame]], DataFrame]
     rules: list[tuple[str, float | None, float | None]] = field(default_factory=list)
     summary: Callable[[DataFrame], DataFrame] | None = None
+    needs: tuple[str, ...] | None = None
+    of: Any = None
+
+
+def source_fingerprint(df: DataFrame) -> str:
+    """A digest of the names, lengths and times of the files that a table is read from; without files, of its plan."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    seen = []
+    for name in df.inputFiles():
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        s = path.getFileSystem(conf).getFileStatus(path)
+        seen.append(f"{name} {s.getLen()} {s.getModificationTime()}")
+    return _digest(sorted(seen) or df.semanticHash())
+
+
+def _digest(value: Any) -> str:
+    """Of settings: dataclasses count with their fields, anything else as JSON or by its repr."""
+    plain = lambda v: asdict(v) if is_dataclass(v) else repr(v)
+    return hashlib.sha256(json.dumps(value, sort_keys=True, default=plain).encode()).hexdigest()
 
 
 def run_stages(spark: SparkSession, stages: list[Stage], out: str, resume: bool = True, gates: bool = True) -> dict[str, Any]:
     """Runs the stages in order, each with the tables of those before; returns the manifest, also written when one fails.
 
-    A stage's table is <out>/<name>; an empty one, or a gate that fails, ends the run.
+    A stage's table is <out>/<name>, its fingerprint <out>/<name>/_fingerprint. With ``resume``, a stage whose table is
+    whole and has the fingerprint that it would get now is skipped: after a change of settings or sources exactly the
+    stages that hang on it run again. An empty table, or a gate that fails, ends the run.
     """
     manifest: dict[str, Any] = {"stages": {}, "gates": [], "ok": False}
     tables: dict[str, DataFrame] = {}
+    prints: dict[str, str] = {}
     try:
         for s in stages:
+            needs = tuple(tables) if s.needs is None else s.needs
+            if unknown := set(needs) - set(tables):
+                raise ValueError(f"{s.name} needs {sorted(unknown)}, which no stage before it makes")
             path, began = f"{out}/{s.name}", time.time()
-            done = resume and readers.exists(spark, f"{path}/_SUCCESS")
+            prints[s.name] = now = _digest([s.name, s.of, [prints[n] for n in needs]])
+            whole = readers.exists(spark, f"{path}/_SUCCESS")
+            done = resume and whole and readers.read_text(spark, f"{path}/_fingerprint") == now
             if not done:
-                s.run(tables).write.mode("overwrite").parquet(path)
+                s.run({n: tables[n] for n in needs}).write.mode("overwrite").parquet(path)
+                readers.write_text(spark, f"{path}/_fingerprint", now)
             tables[s.name] = df = spark.read.parquet(path)
-            manifest["stages"][s.name] = {"skipped": done, "rows": df.count(), "seconds": round(time.time() - began, 3)}
+            manifest["stages"][s.name] = {"skipped": done, "rows": df.count(), "seconds": round(time.time() - began, 3), "fingerprint": now}
             if df.isEmpty():
                 raise RuntimeError(f"{s.name} has no rows")
             if s.rules and gates:
@@ -154,10 +204,22 @@ def check(preferences: DataFrame, cleaned: DataFrame, follower: DataFrame, candi
 
 
 def staged(spark: SparkSession, trajectories: DataFrame, out: str, cfg: UtilityConfig, rules: dict[str, list[tuple[str, float | None, float | None]]] | None = None, resume: bool = True) -> dict[str, Any]:
-    """The run from trajectories as stages with tables of their own, gates (``rules`` by stage) and a manifest."""
-    made = from_trajectories(trajectories, cfg)
-    names = ("leader", "clean", "candidates", "follower", "leader_rows")
-    stages = [Stage(name, lambda _, name=name: made[name].drop("order"), (rules or {}).get(name, [])) for name in names]
+    """The run from trajectories as stages with tables of their own, gates (``rules`` by stage) and a manifest.
+
+    A stage reads the tables of those before it: pairs and candidates are made once, and a run that is started again
+    reads what is on disk. Rules and gates are no part of a stage's fingerprint.
+    """
+    source, t = source_fingerprint(trajectories), sampled(trajectories, cfg)
+    utility, margins = {"rounds": cfg.lambda_round, "tokens": cfg.lambda_token}, {"weights": (cfg.weight_min, cfg.weight_max, cfg.weight_power)}
+    texts = t.select("trajectory_id", "state_text")
+    own = {
+        "leader": ((), {"source": source, **utility, **margins, "margin": cfg.leader_margin}, lambda _: leader_preferences(t, cfg)),
+        "clean": (("leader",), None, lambda made: clean(made["leader"]).drop("order")),
+        "candidates": ((), {"source": source}, lambda _: turn_candidates(t)),
+        "follower": (("candidates",), {**utility, **margins, "margin": cfg.follower_margin}, lambda made: follower_preferences(made["candidates"], cfg)),
+        "leader_rows": (("clean",), {"source": source}, lambda made: training_rows.leader_rows(made["clean"], texts)),
+    }
+    stages = [Stage(name, run, (rules or {}).get(name, []), needs=needs, of=of) for name, (needs, of, run) in own.items()]
     return run_stages(spark, stages, out, resume, gates=bool(rules))
 
 
