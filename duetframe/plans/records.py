@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import prompts
 from ..operators import execute, states as ss, turns as tr
 from ..sources import readers
-from ..sources.tables import shared_dir
+from ..sources.tables import scratch
 from ..sources.views import view, with_views
 from .registry import query
 
@@ -15,10 +15,6 @@ R6 = lambda c: F.round(c, 6)
 W = "PARTITION BY trajectory_id ORDER BY round"
 
 
-def _path(spark, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{spark.sparkContext.applicationId}"
-
-
 def _sql(text: str) -> str:
     """A Python text as a DuckDB literal."""
     return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
@@ -90,7 +86,7 @@ def known_methods(spark, d):
 @query("SELECT 0 AS missing, count(*) AS there FROM conversations")
 def lenient_scan(spark, d):
     t = spark.read.parquet(f"{d}/conversations.parquet")
-    path = _path(spark, "lenient")
+    path = scratch(spark)
     readers.write_jsonl(t, path)
     missing = readers.read_jsonl_or_empty(spark, path + "-none", t.schema).agg(F.count("*").cast("int").alias("missing"))
     there = readers.read_jsonl_or_empty(spark, path, t.schema).agg(F.count("*").alias("there"))
@@ -101,7 +97,7 @@ def lenient_scan(spark, d):
 def append_resume(spark, d):
     """Written in two goes, the second of which gets all rows again: each key is there once."""
     t = spark.read.parquet(f"{d}/conversations.parquet").withColumn("key", F.concat_ws("_", "conv_id", "turn"))
-    path = _path(spark, "append")
+    path = scratch(spark)
     readers.write_jsonl(t.where("turn % 2 = 0"), path)
     readers.append_new(t, path, "key")
     return readers.read_jsonl(spark, path, t.schema).drop("key")
@@ -110,7 +106,7 @@ def append_resume(spark, d):
 @query("SELECT p_partkey, p_name, p_size FROM part")
 def csv_roundtrip(spark, d):
     t = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name", "p_size")
-    path = _path(spark, "csv")
+    path = scratch(spark)
     readers.write_csv(t, path)
     return spark.read.option("header", True).schema(t.schema).csv(path)
 
@@ -119,7 +115,7 @@ def csv_roundtrip(spark, d):
 def training_array(spark, d):
     """Rows written as JSON arrays without their metadata and read again."""
     t = spark.read.parquet(f"{d}/conversations.parquet").groupBy("conv_id", "role").agg(F.count("*").alias("turns"))
-    path = _path(spark, "array")
+    path = scratch(spark)
     readers.write_dpo_arrays(t.withColumn("metadata", F.struct(F.lit("x").alias("stage"))), path)
     return spark.read.option("multiLine", True).schema(t.schema).json(path)
 

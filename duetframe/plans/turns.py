@@ -10,7 +10,7 @@ from ..operators import states as ss
 from ..operators import turns as tr
 from ..operators.ranks import numbered, scattered
 from ..sources import readers
-from ..sources.tables import shared_dir
+from ..sources.tables import scratch
 from ..sources.views import view, with_views
 from .registry import query
 
@@ -198,14 +198,14 @@ def unknown_methods(spark, d):
 @query("SELECT count(*) AS lines FROM conversations WHERE regexp_matches(text, '\\S')")
 def count_nonblank(spark, d):
     lines = spark.read.parquet(f"{d}/conversations.parquet").select(F.regexp_replace("text", r"[\r\n]", " ").alias("value"))
-    path = f"{shared_dir(spark)}/count-{spark.sparkContext.applicationId}"
+    path = scratch(spark)
     lines.write.mode("overwrite").text(path)
     return readers.count_lines(spark, path)
 
 
 @query("SELECT conv_id, turn, role, text, CAST(turn AS DOUBLE) / 4 AS quarter FROM conversations")
 def scan_jsonl_roundtrip(spark, d):
-    path = f"{shared_dir(spark)}/rows-{spark.sparkContext.applicationId}"
+    path = scratch(spark)
     df = spark.read.parquet(f"{d}/conversations.parquet").withColumn("quarter", F.col("turn") / 4)
     readers.write_jsonl(df, path)
     return readers.read_jsonl(spark, path, df.schema)

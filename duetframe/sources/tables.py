@@ -10,6 +10,7 @@ import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from py4j.protocol import Py4JError
@@ -37,8 +38,8 @@ def ship_code(spark: SparkSession) -> None:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
     sc.addPyFile(path)
-    # rows hold whole texts: fewer of them in a batch keep workers small (a size that was chosen stays)
-    if spark.conf.get(BATCH_ROWS[0]) == "10000":
+    # rows hold whole texts: fewer of them in a batch keep workers small (a size that was chosen stays, whatever it is)
+    if not spark._jsparkSession.sessionState().conf().contains(BATCH_ROWS[0]):
         spark.conf.set(*BATCH_ROWS)
     sc._duetframe_shipped = True
 
@@ -68,18 +69,25 @@ def stored(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     ship_code(spark)
-    path = f"{shared_dir(spark)}/duetframe-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.option("compression", "zstd").parquet(path)
-    if _open:
-        _open[-1].append(path)
-    else:
-        atexit.register(_forget, spark, path)
     give_back(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Paths written in the workspaces that are open, innermost last.
-_open: list[list[str]] = []
+def scratch(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing else has; what is written there goes as stored() says."""
+    path = f"{shared_dir(spark)}/duetframe-{uuid.uuid4().hex}"
+    held = _open.get()
+    if held:
+        held[-1].append(path)
+    else:
+        atexit.register(_forget, spark, path)
+    return path
+
+
+#: Paths written in the workspaces that are open in this thread (or task of an event loop), innermost last.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("workspaces", default=())
 
 
 @contextmanager
@@ -88,23 +96,23 @@ def workspace(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]
 
     Nothing that reads a table of the block may be used after it.
     """
-    outer = len(_open)
-    _open.append([])
+    mine: list[str] = []
+    outer = _open.get()
+    entered = _open.set((*outer, mine))
 
     def keep(df: DataFrame) -> DataFrame:
-        inner = _open[outer:]
-        del _open[outer:]
+        inner = _open.set(outer)
         try:
             return stored(df)
         finally:
-            _open.extend(inner)
+            _open.reset(inner)
 
     try:
         yield keep
     finally:
-        while len(_open) > outer:
-            for path in _open.pop():
-                _forget(spark, path)
+        _open.reset(entered)
+        for path in mine:
+            _forget(spark, path)
 
 
 def give_back(spark: SparkSession) -> None:
