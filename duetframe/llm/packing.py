@@ -1,10 +1,10 @@
 """Best-fit packing with certified repacking.
 
 Every partition packs its pieces best-fit decreasing and certifies the number of bins by lower bounds from
-dual-feasible functions. Full bins stay, and where a partition has no more bins than its bound the fullest others do as
-well, as long as they hardly leave room that pieces of other partitions could fill; the pieces of the rest go to the next round, which deals them to fewer partitions and packs again. A round that saves
-no bin leaves the packing as it was. This ends when the total is certified by the bound of all pieces, when a single
-partition has packed what was left, or when partitions of the largest size save nothing more.
+dual-feasible functions. Where the bins are as many as the bound the partition is settled, but for its emptiest bins if
+they leave more than ROOM_LEFT; a partition with a gap tries other orders of its pieces, and if the gap stays it settles
+its full bins alone. Pieces of the other bins are exchanged: dealt anew to fewer partitions, and packed again. A round that saves no bin leaves the packing as it was. This ends when the total is certified by the bound
+of all pieces, or when STALE rounds in a row, each with another deal and other orders, have saved next to nothing.
 """
 
 from __future__ import annotations
@@ -23,10 +23,16 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces that a partition packs at once.
 PIECES_PER_PARTITION = 40_000
-#: A partition that its bound certifies may leave one part in so many of a sequence empty when its bins are settled.
-ROOM_LEFT = 64
-#: How many times that a partition of a later round may hold, where bins don't get full.
+#: The room that the settled bins of a certified partition leave, at most: one part in so many of a sequence. It is all
+#: that settling by the bound can cost, for each partition; bins that would leave more are exchanged.
+ROOM_LEFT = 16
+#: Pieces of a partition in later rounds, in multiples of per_partition: what a task's memory is laid out for.
 LARGEST = 8
+#: Other orders that a partition with a gap tries in a round.
+ORDERS = 6
+#: Rounds in a row that save no more than one in WORTH of the bins they were given, after which the packing stays as it is.
+STALE, WORTH = 2, 200
+_ADDED = ["sequence_id", "offset", "settled", "certified", "part"]
 _PIECES = "doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -56,12 +62,15 @@ def cut_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CA
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(cut), _PIECES.format(kind=kind))
 
 
-def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
-    """The bin of each length and the number of bins. Ties go by position, so equal input gives equal output."""
+def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY, order: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+    """The bin of each length and the number of bins. Ties go by position, so equal input gives equal output.
+
+    order: the positions in another order than that of decreasing lengths.
+    """
     bin_of = np.empty(len(lengths), np.int64)
     room: list[list[int]] = [[] for _ in range(capacity + 1)]
     open_rooms, bins = 0, 0  # bit r: some bin has room r
-    for i in np.argsort(-lengths, kind="stable").tolist():
+    for i in (np.argsort(-lengths, kind="stable") if order is None else order).tolist():
         size = int(lengths[i])
         fits = open_rooms >> size
         if fits:
@@ -78,6 +87,20 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
     return bin_of, bins
 
 
+def best_of_orders(lengths: np.ndarray, bound: int, capacity: int = CAPACITY, seed: int = 0) -> tuple[np.ndarray, int]:
+    """best_fit_decreasing and, while its bins are more than the bound, the same over lengths that are mixed a little before they are sorted."""
+    bin_of, bins = best_fit_decreasing(lengths, capacity)
+    rng = np.random.default_rng(seed)
+    for k in range(ORDERS):
+        if bins <= bound:
+            break
+        mixed = np.argsort(-lengths * (1 + 0.3 / (k + 1) * rng.random(len(lengths))), kind="stable")
+        other, n = best_fit_decreasing(lengths, capacity, mixed)
+        if n < bins:
+            bin_of, bins = other, n
+    return bin_of, bins
+
+
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     """No packing has fewer bins: the best of two families of dual-feasible functions.
 
@@ -113,35 +136,37 @@ def certificate(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return packed.agg(F.count_if(F.col("offset") == 0).alias("sequences")).select("sequences", F.lit(bound).cast("bigint").alias("lower_bound"), (F.col("sequences") == bound).alias("certified"))
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECES_PER_PARTITION) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECES_PER_PARTITION, rounds: list[dict] | None = None) -> DataFrame:
     """Sequences of at most ``capacity`` tokens; adds sequence_id and offset to every piece, drops none.
 
     pieces: doc_id, piece, start, length, ids_crc32 with 1 <= length <= capacity; null ids and repeated rows are packed
     like others; an empty table gives an empty one. Pieces of ``capacity`` fill a sequence of their own. See certificate
-    for how far the result can be from the best one.
+    for how far the result can be from the best one. rounds: gets a dict for each round, with the partitions that there
+    were and those that were certified, the pieces exchanged after it, and the bins of what it packed.
     """
     keep = pieces.columns
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(keep).schema)
     left, n, done, number = pieces, pieces.count(), [], 0
-    parts, settled_bins = -(-n // per_partition), 0
+    parts, settled_bins, stale = -(-n // per_partition), 0, 0
     open_rows, open_bins = None, None  # the best packing so far of what is left
     bound = _bound_of_all(pieces, capacity)
     while n:
         base = number << 50
 
-        def run(batches, base=base):
+        def run(batches, base=base, number=number):
             rows = [b for b in batches if b.num_rows]
             if not rows:
                 return
             t = pa.Table.from_batches(rows).combine_chunks()
             size = t.column("length").to_numpy()
-            bins_of, bins = best_fit_decreasing(size, capacity)
+            least = lower_bound(size, capacity)
+            bins_of, bins = best_of_orders(size, least, capacity, number)
             used = np.bincount(bins_of, weights=size, minlength=bins)
+            certified = bins == least
             stays = used == capacity
-            if bins == lower_bound(size, capacity):
+            if certified:
                 by_room = np.argsort(-used, kind="stable")
                 stays[by_room] = np.cumsum(capacity - used[by_room]) <= capacity // ROOM_LEFT
-            settled = stays[bins_of]
             order = np.lexsort((np.arange(len(size)), bins_of))
             b, s = bins_of[order], size[order]
             before = np.cumsum(s) - s
@@ -150,24 +175,28 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECE
             offset[order] = before - np.maximum.accumulate(np.where(first, before, 0))
             part = int(t.column("part")[0].as_py())
             seq = bins_of + base + (part << 28)
-            out = pa.table([*(t.column(c) for c in keep), pa.array(seq), pa.array(offset), pa.array(settled)], [*keep, "sequence_id", "offset", "settled"])
+            more = [pa.array(seq), pa.array(offset), pa.array(stays[bins_of]), pa.array(np.full(len(size), certified)), pa.array(np.full(len(size), part, np.int32))]
+            out = pa.table([*(t.column(c) for c in keep), *more], [*keep, *_ADDED])
             yield from out.to_batches(max_chunksize=20_000)
 
         # by place in the stored table, so that rows that repeat are spread like any others
         key = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(number)), F.lit(parts)).cast("int")
         dealt = left.withColumn("part", key).repartitionById(parts, F.col("part"))
-        packed = stored(dealt.sortWithinPartitions("doc_id", "piece", "ids_crc32").mapInArrow(lean(run), f"{shape}, sequence_id bigint, offset bigint, settled boolean"))
-        got = {r.settled: (r.n, r.bins) for r in packed.groupBy("settled").agg(F.count("*").alias("n"), F.count_if(F.col("offset") == 0).alias("bins")).collect()}
-        (_, closed), (rest, opened) = got.get(True, (0, 0)), got.get(False, (0, 0))
-        saved = open_bins is None or closed + opened < open_bins
-        if saved:
-            done.append(packed.where("settled").drop("settled"))
-            open_rows, n, open_bins, settled_bins = packed.where("not settled").drop("settled"), rest, opened, settled_bins + closed
+        packed = stored(dealt.sortWithinPartitions("doc_id", "piece", "ids_crc32").mapInArrow(lean(run), f"{shape}, sequence_id bigint, offset bigint, settled boolean, certified boolean, part int"))
+        each = packed.groupBy("part", "certified").agg(F.count_if(~F.col("settled")).alias("rest"), F.count_if(F.col("settled") & (F.col("offset") == 0)).alias("closed"), F.count_if(~F.col("settled") & (F.col("offset") == 0)).alias("opened"))
+        got = each.agg(F.count("*"), F.count_if("certified"), F.sum("rest"), F.sum("closed"), F.sum("opened")).first()
+        of, certified, rest, closed, opened = got
+        if rounds is not None:
+            rounds.append({"partitions": of, "certified": certified, "exchanged": rest, "bins": closed + opened})
+        saved = None if open_bins is None else open_bins - closed - opened
+        stale = 0 if saved is None or saved > open_bins // WORTH else stale + 1
+        if saved is None or saved > 0:
+            done.append(packed.where("settled").drop("settled", "certified", "part"))
+            open_rows, n, open_bins, settled_bins = packed.where("not settled").drop("settled", "certified", "part"), rest, opened, settled_bins + closed
             left = open_rows.select(keep)
-        fewest = -(-n // (LARGEST * per_partition))
-        if settled_bins + open_bins == bound or parts == 1 or not saved and parts <= fewest:
+        if settled_bins + open_bins == bound or stale == STALE:
             break
-        parts, number = max(fewest, min(parts // 2, -(-n // per_partition))), number + 1
+        parts, number = max(-(-n // (LARGEST * per_partition)), min(parts // 2, -(-n // per_partition)), 1), number + 1
     if not done:
         return pieces.selectExpr("*", "cast(0 as bigint) as sequence_id", "cast(0 as bigint) as offset")
     out = open_rows
@@ -182,6 +211,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents (null texts: empty; repeated rows and null ids like others) as pieces in sequences; see cut_pieces and pack."""
     return pack_documents(read(spark, sf_dir, "documents"))
 
 

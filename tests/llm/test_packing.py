@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 
-from duetframe.llm.packing import best_fit_decreasing, certificate, lower_bound, op10_best_fit_packing, pack, pack_documents
+from duetframe.llm.packing import best_fit_decreasing, best_of_orders, certificate, lower_bound, op10_best_fit_packing, pack, pack_documents
 from duetframe.llm.tokens import codec, default_path
 
 
@@ -84,6 +84,51 @@ def test_exchange_goes_on_until_nothing_is_saved(spark):
     assert len(bins) <= told.lower_bound + 6
 
 
+def lengths_table(spark, sizes):
+    return spark.createDataFrame([(i, 0, 0, int(s), 0) for i, s in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+
+
+def sequences(out):
+    bins = defaultdict(int)
+    for r in out.collect():
+        bins[r.sequence_id] += r.length
+    assert max(bins.values()) <= 2048
+    return len(bins)
+
+
+def test_the_bound_decides_what_is_exchanged(spark, monkeypatch):
+    """With the bound, partitions that meet it are settled but for a bin; without it, all unfilled bins are exchanged."""
+    import duetframe.llm.packing as packing
+
+    rng = np.random.default_rng(4)
+    sizes = np.minimum(2048, np.maximum(1, rng.lognormal(5.5, 1.0, 4000))).astype(int) // 3 * 3 + 3
+    sizes = np.minimum(sizes, 2046)  # multiples of 3: no bin gets full
+    df = lengths_table(spark, sizes)
+    told, blind = [], []
+    with_bound = sequences(pack(df, per_partition=400, rounds=told))
+    monkeypatch.setattr(packing, "lower_bound", lambda *_: 0)
+    without = sequences(pack(df, per_partition=400, rounds=blind))
+    assert told[0]["certified"] >= 5 and blind[0]["certified"] == 0
+    assert told[0]["exchanged"] < 0.7 * blind[0]["exchanged"]
+    assert with_bound <= without + 1 and with_bound <= lower_bound(sizes) + 2
+
+
+def test_a_single_partition_with_a_gap_tries_other_orders(spark):
+    """Best-fit decreasing needs more bins here than another order does."""
+    rng = np.random.default_rng(0)
+    gain = 0
+    for seed in range(40):
+        sizes = np.random.default_rng(seed).integers(400, 1100, 40)
+        first, bound = best_fit_decreasing(sizes)[1], lower_bound(sizes)
+        best = best_of_orders(sizes, bound)[1]
+        assert bound <= best <= first
+        gain += first - best
+        if first > best and not rng.integers(3):
+            told = []
+            assert sequences(pack(lengths_table(spark, sizes), rounds=told)) <= best and told[0]["partitions"] == 1
+    assert gain > 0
+
+
 def test_best_fit_and_bound():
     rng = np.random.default_rng(2)
     for n in (0, 1, 50, 400):
