@@ -9,7 +9,9 @@ document tree. The minimum cut labels all blocks of the page at once; its source
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter, deque
+from collections.abc import Callable
 from html import unescape
 from math import exp, log2
 
@@ -42,22 +44,22 @@ ON_WORDS = frozenset("article content post entry story body text main prose main
 _NO = frozenset("has with no without show hide is".split())
 #: Open elements that a start tag ends.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Tags of a page whose quotes are looked for to the page's end in vain; in later ones > ends a tag wherever it stands.
-MOST_UNCLOSED = 20
+#: Words of a block that counts as prose, and prose that a page's text has at least.
+PROSE_BLOCK, PROSE_PAGE = 5, 20
 #: Steps in the tree beyond which a distance counts as so many.
 FARTHEST = 60
 #: How strongly neighbours hold together, and how that falls off with each step between them in the tree.
 TOGETHER, FALL = 1.0, 1.6
-_kinds: dict[tuple[str, str], float | None] = {}
+_kinds: dict[tuple[str, str], tuple[float | None, bool]] = {}
 
 
-def _kind(tag: str, attributes: str) -> float | None:
-    """What an element says about the text in it as log-odds; None if nothing."""
+def _kind(tag: str, attributes: str) -> tuple[float | None, bool]:
+    """What an element says about the text in it as log-odds (None if nothing), and whether a mere name says that it is boilerplate."""
     key = (tag, attributes)
     if key not in _kinds:
         if len(_kinds) > 50_000:
             _kinds.clear()
-        said = None
+        said, named = None, False
         if tag in OFF_TAGS:
             said = -6.0
         elif tag not in ("html", "body"):
@@ -66,26 +68,35 @@ def _kind(tag: str, attributes: str) -> float | None:
                 for name in value.strip("\"'").split():
                     parts = [p.lower() for p in _PART.findall(name)]
                     words += [] if parts and parts[0] in _NO else parts
-            if re.search(r"\bhidden\b|display\s*:\s*none", attributes, re.I) or OFF_WORDS.intersection(words):
+            if re.search(r"\bhidden\b|display\s*:\s*none", attributes, re.I):
                 said = -5.0
+            elif OFF_WORDS.intersection(words):
+                said, named = -5.0, True
             elif tag in ON_TAGS:
                 said = ON_TAGS[tag]
             elif ON_WORDS.intersection(words):
                 said = 2.0
             elif tag == "header":
                 said = -5.5
-        _kinds[key] = said
+        _kinds[key] = said, named
     return _kinds[key]
 
 
 class Node:
-    """An open element: its tag, the element it stands in, how deep that is, and what it or the nearest one above says."""
+    """An open element: its tag, the element it stands in, how deep that is, and what it or the nearest one above says.
 
-    __slots__ = ("depth", "said", "tag", "up")
+    own is what it says itself; mark the nearest element, this one included, whose name alone says boilerplate.
+    """
+
+    __slots__ = ("depth", "mark", "own", "prose", "said", "tag", "up", "void")
 
-    def __init__(self, tag: str, up: Node | None, said: float | None):
-        self.tag, self.up, self.said = tag, up, said
+    def __init__(self, tag: str, up: Node | None, own: float | None, named: bool):
+        self.tag, self.up, self.own = tag, up, own
         self.depth = up.depth + 1 if up else 1
+        above = up.said if up else None
+        self.said = above if own is None else own
+        self.mark = self if named else up.mark if up else None
+        self.prose, self.void = 0, False
 
 
 class Block:
@@ -108,8 +119,9 @@ def tokens_of(html: str):
 
     Every character is looked at a bounded number of times, whatever the page.
     """
-    start = at = unclosed = 0
+    start = at = 0
     last = html.rfind(">")
+    ends: Callable[[int], int] | None = None
     while True:
         i = html.find("<", at)
         if i >= 0 and html.startswith("<!--", i):
@@ -128,13 +140,14 @@ def tokens_of(html: str):
         if not name:
             at = i + 1
             continue
-        rest = _REST.match(html, name.end()) if unclosed < MOST_UNCLOSED else None
+        rest = _REST.match(html, name.end()) if ends is None else None
         if rest:
-            end, attributes = rest.end(), rest[1]
+            end = rest.end()
         else:
-            unclosed += 1
-            end = html.find(">", name.end()) + 1
-            attributes = html[name.end() : end - 1]
+            # a quote without its end: from here on the page's quotes are looked up in a table
+            ends = ends or _tag_ends(html)
+            end = ends(name.end()) + 1 or html.find(">", name.end()) + 1
+        attributes = html[name.end() : end - 1]
         tag = name[2].lower()
         yield html[start:i], tag, bool(name[1]), attributes
         start = at = end
@@ -143,6 +156,22 @@ def tokens_of(html: str):
             start = at = found.end() if found else len(html)
 
 
+def _tag_ends(html: str) -> Callable[[int], int]:
+    """Where the first > outside quotes stands from a position on, -1 if nowhere: what _REST finds, in one go for a whole page."""
+    places = [m.start() for m in re.finditer("[\"'>]", html)]
+    following: dict[str, int] = {}
+    found = [-1] * (len(places) + 1)
+    for k in range(len(places) - 1, -1, -1):
+        sign = html[places[k]]
+        if sign == ">":
+            found[k] = places[k]
+        else:
+            partner = following.get(sign)  # the quote that ends this one
+            found[k] = found[partner + 1] if partner is not None else -1
+            following[sign] = k
+    return lambda at: found[bisect_left(places, at)]
+
+
 _RAW_END = {tag: re.compile(rf"</{tag}\s*>?", re.I) for tag in RAW}
 
 
@@ -151,6 +180,7 @@ def blocks_of(html: str) -> list[Block]:
     out: list[Block] = []
     stack: list[Node] = []
     opened: Counter[str] = Counter()
+    nodes: list[Node] = []
     parts: list[str] = []
     links = in_link = 0
     in_body = False
@@ -198,16 +228,46 @@ def blocks_of(html: str) -> list[Block]:
         if tag == "body" and not in_body:
             in_body = True
             leave(next((i for i, s in enumerate(stack) if s.tag != "html"), len(stack)))
-        said = _kind(tag, attributes)
+        said, named = _kind(tag, attributes)
         above = stack[-1].said if stack else None
         if tag == "header" and said == -5.5 and above is not None and above > 0:
             said = None  # an article's own header
-        stack.append(Node(tag, stack[-1] if stack else None, above if said is None else said))
+        stack.append(Node(tag, stack[-1] if stack else None, said, named))
+        nodes.append(stack[-1])
         opened[tag] += 1
     flush()
+    _trust_names(out, nodes)
     return out
 
 
+def _trust_names(blocks: list[Block], nodes: list[Node]) -> None:
+    """Names such as social-history or reply don't make a page's only text boilerplate.
+
+    Where what no name or element calls boilerplate has hardly any prose, the element that has most of the prose which
+    only names speak against is taken at its text: its name, and those of the elements around it, say nothing.
+    """
+    free, marks = 0, {}
+    for b in blocks:
+        words = b.text.count(" ") + 1
+        prose = int(words * (1 - b.links / len(b.text))) if words >= PROSE_BLOCK else 0
+        if b.said is None or b.said > 0:
+            free += prose
+        elif b.at.mark and b.said == b.at.mark.own and prose:
+            marks[id(b.at.mark)] = b.at.mark
+            b.at.mark.prose += prose
+    if free >= PROSE_PAGE or not marks:
+        return
+    node = max(marks.values(), key=lambda m: m.prose)
+    if node.prose < PROSE_PAGE:
+        return
+    while node:
+        node.void = True
+        node = node.up.mark if node.up else None
+    for n in nodes:  # those above come first
+        above = n.up.said if n.up else None
+        n.said = above if n.own is None or n.void else n.own
+
+
 def log_odds(b: Block) -> float:
     """The classifier: positive for content."""
     share = b.links / len(b.text)
@@ -350,6 +410,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of every page (null html: empty) and its length; see extract_text."""
     return extract_text(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
