@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .jsontext import indented, json_array, json_object, json_string, json_value
+from .jsontext import bound, indented, json_array, json_object, json_string, json_value
 from .utility import clamp01
 
 #: Names and kinds of a feedback's plain fields.
@@ -50,9 +50,8 @@ def failed_asserts(results: Column) -> Column:
 def last_lines(text: Column, n: int) -> Column:
     """The last lines of a text without white space around it; an empty array of one without text."""
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{_SPACE}+|{_SPACE}+$", "")
-    lines = F.split(bare, _LINE_END)
-    tail = F.slice(lines, F.greatest(F.lit(1), F.size(lines) - (n - 1)), F.lit(n))
-    return F.when(bare != "", tail).otherwise(F.array().cast("array<string>"))
+    tail = lambda lines: F.slice(lines, F.greatest(F.lit(1), F.size(lines) - (n - 1)), F.lit(n))
+    return bound(bare, lambda b: F.when(b != "", bound(F.split(b, _LINE_END), tail)).otherwise(F.array().cast("array<string>")))
 
 
 def compact_feedback(feedback: Column, how: Compact = ROUNDS) -> Column:
@@ -67,10 +66,10 @@ def compact_feedback(feedback: Column, how: Compact = ROUNDS) -> Column:
         fields.append((name, json_value(value, KINDS[name])))
     if how.most_asserts:
         failed = F.coalesce(F.slice(failed_asserts(feedback["assert_results"]), 1, how.most_asserts), F.array().cast("array<string>"))
-        fields.append(("failed_asserts", F.when(F.size(failed) > 0, json_array(F.transform(failed, lambda x: indented(x, 2)), 1))))
+        fields.append(("failed_asserts", bound(failed, lambda f: F.when(F.size(f) > 0, json_array(F.transform(f, lambda x: indented(x, 2)), 1)))))
     if how.stderr_lines:
         lines = last_lines(feedback["stderr"], how.stderr_lines)
-        fields.append(("stderr_tail", F.when(F.size(lines) > 0, json_array(F.transform(lines, json_string), 1))))
+        fields.append(("stderr_tail", bound(lines, lambda f: F.when(F.size(f) > 0, json_array(F.transform(f, json_string), 1)))))
     return json_object(fields, 0)
 
 

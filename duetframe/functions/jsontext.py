@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -12,6 +13,11 @@ STEP = "  "
 SHORT = {"\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x worked out once, however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def json_string(text: Column) -> Column:
     """The text in quotes; null stays null."""
     plain = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
@@ -57,14 +63,23 @@ def json_object(fields: list[tuple[str, Column]], indent: int | None = None) ->
 def json_array(texts: Column, indent: int | None = None) -> Column:
     """An array of an array of JSON texts."""
     head, gap, tail = ("[", ", ", "]") if indent is None else ("[\n" + STEP * (indent + 1), ",\n" + STEP * (indent + 1), "\n" + STEP * indent + "]")
-    return F.when(F.size(texts) == 0, "[]").otherwise(F.concat(F.lit(head), F.array_join(texts, gap), F.lit(tail)))
+    return bound(texts, lambda t: F.when(F.size(t) == 0, "[]").otherwise(F.concat(F.lit(head), F.array_join(t, gap), F.lit(tail))))
 
 
 def indented(text: Column, indent: int = 0) -> Column:
     """Any JSON text set out over lines, as it stands at that depth; strings and numbers stay as they are written.
 
-    The text's tokens are gone through once with the depth as state.
+    An object of plain values is put together from its tokens as they are; of any other text the tokens are gone through
+    once with the depth as state.
     """
+    def flat(tokens: Column) -> Column:
+        gap = "\n" + STEP * (indent + 1)
+        said = F.transform(tokens, lambda t: F.when(t == ",", "," + gap).when(t == ":", ": ").when(t == "{", "{" + gap).when(t == "}", "\n" + STEP * indent + "}").otherwise(t))
+        return F.array_join(said, "")
+
+    def any_text(tokens: Column) -> Column:
+        return F.aggregate(tokens, start, step, lambda s: s["out"])
+
     tokens = F.regexp_extract_all(text, F.lit(r'"(?:[^"\\]|\\.)*"|[\[\]{},:]|[^\s\[\]{},:"]+'), F.lit(0))
     line = lambda depth: F.concat(F.lit("\n"), F.repeat(F.lit(STEP), depth))
 
@@ -75,4 +90,5 @@ def indented(text: Column, indent: int = 0) -> Column:
         return F.struct(F.concat(s["out"], gap, F.when(t == ":", ": ").otherwise(t)).alias("out"), depth.alias("depth"), t.alias("last"))
 
     start = F.struct(F.lit("").alias("out"), F.lit(indent).alias("depth"), F.lit("").alias("last"))
-    return F.aggregate(tokens, start, step, lambda s: s["out"])
+    plain = F.regexp_like(text, F.lit(r"^\s*\{\s*[^\[\]{}\s][^\[\]{}]*\}\s*$"))
+    return F.when(plain, flat(tokens)).otherwise(any_text(tokens))
