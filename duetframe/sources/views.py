@@ -87,7 +87,10 @@ FROM {part}""",
 
 #: What the i-th assert of a turn in v_feed says: ten of them where k % 3 is 0, else three; which fail is a matter of ord's parity.
 _ASSERT = """CASE WHEN {i} < CASE WHEN k % 3 = 0 THEN 10 ELSE 3 END THEN concat(chr(123), '"assert": "assert f({i}) == ', chr(92), '"é', chr(92), '"", "passed": ', CASE WHEN ({i} + ord % 2) % 3 > 1 THEN 'true' ELSE 'false, "error": "AssertionError()"' END, chr(125)) END"""
-SQL["v_feed"] = (SQL["v_feed"][0], SQL["v_feed"][1].replace("{asserts}", ", ".join(_ASSERT.format(i=i) for i in range(10))).replace("{v_turn}", SQL["v_turn"][1]))
+_FEED = SQL["v_feed"][1].replace("{asserts}", ", ".join(_ASSERT.format(i=i) for i in range(10)))
+SQL["v_feed"] = (SQL["v_feed"][0], _FEED.replace("{v_turn}", SQL["v_turn"][1]))
+#: Columns of v_turn that a turn's feedback is made of.
+FED = ("passed", "pass_rate", "error_type", "code", "ord")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,6 +98,12 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql.replace("{div}", "div"), **{t: read(spark, sf_dir, t) for t in tables})
 
 
+def with_feedback(turns: DataFrame) -> DataFrame:
+    """Rows with the columns FED, and what v_feed adds to them: row by row, so it can wait until turns have been sorted
+    and joined by their narrow columns."""
+    return turns.sparkSession.sql(_FEED.replace("({v_turn})", "{turns}"), turns=turns)
+
+
 def duck(name: str) -> str:
     """The view as a common table expression of DuckDB."""
     tables, sql = SQL[name]
