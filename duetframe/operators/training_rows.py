@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,17 +59,23 @@ def initial_examples(pairs: DataFrame) -> DataFrame:
     return pairs.where("chosen_row is not null and rejected_row is not null").withColumns({"chosen_plan": a, "rejected_plan": b}).where(usable(F.col("chosen_plan"), F.col("rejected_plan")))
 
 
-def repair_examples(pairs: DataFrame, turns: DataFrame) -> DataFrame:
+def repair_examples(pairs: DataFrame, turns: DataFrame, same: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Turns after the first that both sides of a pair reached from the same state: one row each, with kept (usable).
 
     turns: trajectory_id, round, plan, and signature of the state the turn starts from (functions.feedback.state_signature:
     task, code before, and the whole compact feedback). Turns are joined by pair and round, so a pair costs no more rows
     than its shorter side has turns.
+
+    same: where signatures cost much, a function that adds ``same`` (whether both sides start from one state) to the
+    joined rows, of which it needs to say nothing unless ``usable`` is true. Turns then have a struct ``signature`` of
+    what it needs; it finds them as chosen_start and rejected_start.
     """
     later = turns.where("round > 1")
-    a = pairs.join(later.select(F.col("trajectory_id").alias("chosen_id"), "round", F.col("plan").alias("chosen_plan"), F.col("signature").alias("sa")), "chosen_id")
-    b = later.select(F.col("trajectory_id").alias("rejected_id"), "round", F.col("plan").alias("rejected_plan"), F.col("signature").alias("sb"))
-    return a.join(b, ["rejected_id", "round"]).withColumn("kept", (F.col("sa") == F.col("sb")) & usable(F.col("chosen_plan"), F.col("rejected_plan"))).drop("sa", "sb")
+    a = pairs.join(later.select(F.col("trajectory_id").alias("chosen_id"), "round", F.col("plan").alias("chosen_plan"), F.col("signature").alias("chosen_start")), "chosen_id")
+    b = later.select(F.col("trajectory_id").alias("rejected_id"), "round", F.col("plan").alias("rejected_plan"), F.col("signature").alias("rejected_start"))
+    both = a.join(b, ["rejected_id", "round"]).withColumn("usable", usable(F.col("chosen_plan"), F.col("rejected_plan")))
+    told = same(both) if same else both.withColumn("same", F.col("chosen_start") == F.col("rejected_start"))
+    return told.withColumn("kept", F.col("usable") & F.col("same")).drop("chosen_start", "rejected_start", "usable", "same")
 
 
 def repair_rows(pairs: DataFrame, turns: DataFrame) -> DataFrame:

@@ -19,3 +19,25 @@ def moved(df) -> list[str]:
 def test_feedback_texts_are_made_after_the_sort(spark, name):
     got = moved(QUERIES[name](spark, TINY))
     assert got and not any(re.search(r"\b(text|stderr|assert_results|previous_feedback)#", c) for c in got)
+
+
+@pytest.mark.parametrize("name", ["repair_examples_strict", "round_conversion_all", "stage_counts"])
+def test_states_are_compared_without_signatures_of_every_turn(spark, name):
+    """Neither texts nor their digests are made before turns are joined, nor are all turns of a trajectory gathered."""
+    df = QUERIES[name](spark, TINY)
+    assert not any(re.search(r"\b(text|signature|previous_feedback)#", c) for c in moved(df))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "sha2(" not in plan and "collect_list" not in plan
+
+
+def test_same_state_looks_at_texts_only_where_the_rest_is_equal(spark):
+    from pyspark.sql import functions as F
+
+    from duetframe.operators import training_rows as rows
+
+    turns = spark.createDataFrame([(t, r, f"{t}{r}" if t != "d" else f"a{r}", c) for t, c in zip("abcd", (1, 1, 2, 1)) for r in (1, 2)], "trajectory_id string, round int, plan string, signature int")
+    pairs = spark.createDataFrame([("a", "b"), ("a", "c"), ("a", "d")], "chosen_id string, rejected_id string")
+    same = lambda both: both.withColumn("same", F.when(F.col("usable"), F.col("chosen_start") == F.col("rejected_start")))
+    wanted = {("b", True), ("c", False), ("d", False)}
+    for how in (None, same):
+        assert {(r.rejected_id, r.kept) for r in rows.repair_examples(pairs, turns, how).collect()} == wanted
