@@ -23,20 +23,22 @@ def _measures(pairs: DataFrame) -> list[Column]:
     return [there(c, None).alias(c) for c in ("chosen_utility", "rejected_utility", "utility_delta")] + [F.coalesce(there("weight", 1.0), F.lit(1.0)).alias("weight")]
 
 
-def leader_rows(pairs: DataFrame, states: DataFrame) -> DataFrame:
+def leader_rows(pairs: DataFrame, states: DataFrame | None) -> DataFrame:
     """pairs: task_id, chosen_id, rejected_id, chosen, rejected, utility_delta, weight; states: trajectory_id, state_text.
 
     The metadata also has the utilities of both sides, if pairs has chosen_utility and rejected_utility. A pair whose chosen trajectory isn't there gets an empty state.
+    There are many more pairs than trajectories: where state_text can come with the chosen side, pairs has it and states is None.
     """
-    j = pairs.join(states.withColumnRenamed("trajectory_id", "chosen_id"), "chosen_id", "left")
+    j = pairs if states is None else pairs.join(states.withColumnRenamed("trajectory_id", "chosen_id"), "chosen_id", "left")
     human = F.concat(F.lit("Task state:\n"), F.coalesce("state_text", F.lit("")), F.lit(LEADER_ASK))
     metadata = F.struct(F.lit("leader_initial").alias("stage"), "task_id", F.col("chosen_id").alias("chosen_trajectory_id"), F.col("rejected_id").alias("rejected_trajectory_id"), *_measures(pairs))
     return j.select(*sharegpt(LEADER_SYSTEM, human, F.col("chosen"), F.col("rejected"), metadata, F.col("weight")))
 
 
-def follower_rows(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """As leader_rows with candidates (candidate_id, prompt); a pair whose chosen candidate isn't there is left out."""
-    j = pairs.join(candidates.select(F.col("candidate_id").alias("chosen_id"), "prompt"), "chosen_id")
+def follower_rows(pairs: DataFrame, candidates: DataFrame | None) -> DataFrame:
+    """As leader_rows with candidates (candidate_id, prompt); a pair whose chosen candidate isn't there is left out.
+    Where pairs has the prompt, candidates is None and all pairs stay."""
+    j = pairs if candidates is None else pairs.join(candidates.select(F.col("candidate_id").alias("chosen_id"), "prompt"), "chosen_id")
     human = F.when(F.coalesce("prompt", F.lit("")) != "", F.col("prompt")).otherwise(F.concat(F.lit("Task state id: "), "state_id", F.lit(FOLLOWER_ASK)))
     metadata = F.struct(F.lit("follower_code").alias("stage"), "task_id", "state_id", F.col("chosen_id").alias("chosen_candidate_id"), F.col("rejected_id").alias("rejected_candidate_id"), *_measures(pairs))
     return j.select(*sharegpt(FOLLOWER_SYSTEM, human, rstrip(F.col("chosen")), rstrip(F.col("rejected")), metadata, F.col("weight")))
