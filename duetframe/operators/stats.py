@@ -46,9 +46,10 @@ def mean(x: Column) -> Column:
     return F.coalesce(F.avg(x), F.lit(0.0))
 
 
-def weight_stats(pairs: DataFrame, low: float, high: float) -> DataFrame:
+def weight_summary(pairs: DataFrame, low: float, high: float) -> DataFrame:
+    """One row on the weights and deltas of pairs, from one pass over them."""
     w, d = F.col("weight"), F.col("utility_delta")
-    base = pairs.agg(
+    return pairs.agg(
         F.count("*").alias("count"),
         F.coalesce(F.min(w), F.lit(0.0)).alias("min"),
         F.coalesce(F.max(w), F.lit(0.0)).alias("max"),
@@ -60,10 +61,32 @@ def weight_stats(pairs: DataFrame, low: float, high: float) -> DataFrame:
         F.min(d).alias("delta_min"),
         F.max(d).alias("delta_max"),
     )
+
+
+def weight_stats(pairs: DataFrame, low: float, high: float) -> DataFrame:
+    """weight_summary with percentiles, which take another pass when the plan is made."""
+    base = weight_summary(pairs, low, high)
     cuts = exact_percentiles(pairs, "weight", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
     return base.crossJoin(F.broadcast(cuts.select(*(F.coalesce(c, F.lit(0.0)).alias(c) for c in cuts.columns))))
 
 
+def side_lookups(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """state_id, wrong (pairs whose chosen utility isn't the higher one) and odd: whether some side of the state's pairs
+    isn't found, is found twice, or is found under another state, or two of them differ in what is found.
+
+    pairs: state_id, c and r (ids of the sides), uc and ur (their utilities); found: id and found, a struct of s (state),
+    t and round. A side is one row here however many pairs it is in, and no pair is moved: they lie by state already.
+    """
+    sides = F.explode(F.array(F.struct(F.col("c").alias("id"), (F.col("uc") <= F.col("ur")).cast("int").alias("wrong")), F.struct(F.col("r").alias("id"), F.lit(0).alias("wrong")))).alias("x")
+    refs = pairs.select("state_id", sides).groupBy("state_id", F.col("x.id").alias("id")).agg(F.sum("x.wrong").alias("wrong"))
+    once = found.groupBy("id").agg(F.count("*").alias("n"), F.min("found").alias("found"))
+    looked = refs.join(once, "id", "left")
+    own = F.coalesce((F.col("n") == 1) & (F.col("found.s") == F.col("state_id")), F.lit(False))
+    looked = looked.select("state_id", "wrong", own.alias("own"), F.struct("found.t", "found.round").alias("rest"))
+    states = looked.groupBy("state_id").agg(F.sum("wrong").alias("wrong"), F.bool_and("own").alias("own"), F.min("rest").alias("a"), F.max("rest").alias("b"))
+    return states.select("state_id", "wrong", (~F.col("own") | ~F.col("a").eqNullSafe(F.col("b"))).alias("odd"))
+
+
 def trajectory_health(trajectories: DataFrame) -> DataFrame:
     """Counts and rates of trajectories; an error counts once for a trajectory, whichever turn it is in."""
 
