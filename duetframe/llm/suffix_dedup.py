@@ -159,15 +159,32 @@ def common_prefixes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
     return order, ~known[:n]
 
 
-def repeated_starts(contexts: list[bytes], counts: list[int], length: int = MIN_LENGTH) -> list[np.ndarray]:
+def least_core(length: int = MIN_LENGTH) -> int:
+    """How many bytes a core has at least (those of early and late pieces differ by one at most; longer ones are longer)."""
+    half = (length - PIECE + 2) // 2
+    return min(length + 1 - half, PIECE + half)
+
+
+def repeated_starts(contexts: list[bytes], counts: list[int], length: int = MIN_LENGTH, cores: list[int] | None = None) -> list[np.ndarray]:
     """For each context, which of its windows start a string that occurs twice or more among all the contexts.
 
-    counts: how often each context occurs; the contexts are different.
+    counts: how often each context occurs; the contexts are different. cores: where the core of each context begins.
+    All windows of a context hold its core, and equal windows hold it at the same place, so the first bytes of it can be
+    one symbol of the text, the same for equal bytes only: suffixes and steps are shorter by the rest.
     """
+    symbols = None
+    if cores is not None:
+        fold = least_core(length)
+        names: dict[bytes, int] = {}
+        symbols = [names.setdefault(c[a : a + fold], len(names)) for c, a in zip(contexts, cores)]
+        contexts = [c[: a + 1] + c[a + fold :] for c, a in zip(contexts, cores)]
+        length -= fold - 1
     size = np.array([len(c) for c in contexts])
     text = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8).astype(np.int64)
     ends = np.cumsum(size + 1) - 1
     text[ends] = 256 + np.arange(len(ends))  # separators are all different, so no match goes across one
+    if symbols is not None:
+        text[ends - size + np.array(cores)] = 256 + len(ends) + np.array(symbols)
     order, same = common_prefixes(text, length)
     repeated = np.zeros(len(text), bool)
     repeated[order[same]] = True
@@ -358,17 +375,18 @@ def _compare(length: int):
         def done(g):
             """What needs no comparison is told at once, the rest waits for the next transform."""
             nonlocal size
-            if len(g) > 1 and any(n == 1 for _, n, _ in g):
+            if len(g) > 1 and any(n == 1 for _, n, _, _ in g):
                 waiting.extend(g)
-                size += sum(len(c) for _, _, c in g)
+                size += sum(len(c) for _, _, _, c in g)
                 return []
-            return [(name, 0, len(c) - length) for name, n, c in g if n > 1]
+            return [(name, 0, len(c) - length) for name, n, _, c in g if n > 1]
 
         def settle():
             nonlocal size
             out = []
             if waiting:
-                for (name, _, _), mask in zip(waiting, repeated_starts([c for _, _, c in waiting], [n for _, n, _ in waiting], length)):
+                _, counts, cores, contexts = zip(*waiting)
+                for (name, *_), mask in zip(waiting, repeated_starts(list(contexts), list(counts), length, list(cores))):
                     out += [(name, int(s), int(e)) for s, e in zip(*_spans(mask))]
             waiting.clear()
             size = 0
@@ -380,13 +398,13 @@ def _compare(length: int):
 
         out = []
         for b in batches:
-            for *name, n, context in zip(*(b.column(x).to_pylist() for x in (*_NAME, "n", "context"))):
+            for *name, n, lo, context in zip(*(b.column(x).to_pylist() for x in (*_NAME, "n", "lo", "context"))):
                 if name[0] != core:
                     out += done(group)
                     core, group = name[0], []
                     if size > BATCH_BYTES:
                         out += settle()
-                group.append((name, n, context))
+                group.append((name, n, lo, context))
             if len(out) > 5_000:
                 yield batch(out)
                 out = []

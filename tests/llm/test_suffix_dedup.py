@@ -87,3 +87,31 @@ def test_query(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op8_suffix_array_dedup(spark, d).collect()}
     assert got == dict(zip(texts, brute(texts.values(), 200)))
+
+
+@pytest.mark.parametrize("length", [40, 200])
+def test_cores_as_one_symbol_give_the_same_and_shorter_texts(length, monkeypatch):
+    """Contexts of random texts with much in common, by whole bytes and with the core as one symbol."""
+    import numpy as np
+
+    from duetframe.llm import suffix_dedup as sd
+
+    rng = np.random.default_rng(length)
+    passages = [rng.integers(97, 101, 3 * length, np.uint8).tobytes() for _ in range(3)]
+    found: dict[tuple, dict[bytes, int]] = {}
+    for i in range(30):
+        p = passages[i % 3]
+        cut = int(rng.integers(0, length))
+        data = rng.integers(97, 101, 30, np.uint8).tobytes() + p[cut : cut + 2 * length] + rng.integers(97, 101, 30, np.uint8).tobytes()
+        for first, last, core, left, right in zip(*(x.tolist() for x in sd.windows(data, length))):
+            assert last <= left and right <= first + length and right - left >= sd.least_core(length)
+            of = found.setdefault(core, {})
+            of[data[first : last + length], left - first] = of.get((data[first : last + length], left - first), 0) + 1
+    groups = [(c, n, lo) for of in found.values() if len(of) > 1 for (c, lo), n in of.items()]
+    contexts, counts, cores = map(list, zip(*groups))
+    seen = []
+    monkeypatch.setattr(sd, "common_prefixes", lambda text, n, f=sd.common_prefixes: seen.append((len(text), n)) or f(text, n))
+    whole = sd.repeated_starts(contexts, counts, length)
+    folded = sd.repeated_starts(contexts, counts, length, cores)
+    assert any(m.any() for m in whole) and all((a == b).all() for a, b in zip(whole, folded))
+    assert seen[0][0] - seen[1][0] == len(contexts) * (sd.least_core(length) - 1) and seen[1][1] == length - sd.least_core(length) + 1
