@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import FollowerConfig, UtilityConfig
 from ..functions.utility import raw_weight, weight
+from ..sources.tables import stored
 from .ranks import running
 
 
@@ -109,20 +110,35 @@ def delta_stats(df: DataFrame, group: str, utility: str, margin: float, crowded:
     """Of each group that has pairs: pairs, total, least and most of the deltas of pair_within, without giving the pairs.
 
     Groups of up to ``crowded`` rows are joined with themselves, and what the join finds is summed up where it is found.
-    Larger groups, where that would be n squared, go through a sweep of n rows in order of utility (swept_stats). Both
-    give the same; ordinals are taken to be different within a group, and rows without group or utility are in no pair.
+    Of larger groups, where that would be n squared, only rows can be in a pair that lie more than the margin above the
+    group's lowest or below its highest. If the upper ones have few lower ones each (``crowded`` for a row, in the
+    mean), the two are joined; else the group goes through a sweep in order of utility (swept_stats), n log n. All give
+    the same; ordinals are taken to be different within a group, and rows without group or utility are in no pair.
     """
     known = df.select(F.col(group).alias("g"), F.col(utility).cast("double").alias("u")).where("g is not null and u is not null")
-    sizes = known.groupBy("g").count().where(F.col("count") > crowded).select("g")
+    sizes = known.groupBy("g").agg(F.count("*").alias("n"), F.min("u").alias("lowest"), F.max("u").alias("highest")).where(F.col("n") > crowded).drop("n")
     n = sizes.limit(MOST_SENT + 1).count()
+    if not n:
+        return _joined_stats(known, known, group, margin)
     side = F.broadcast(sizes) if n <= MOST_SENT else sizes
-    # equal utilities make no pair: of two others the higher one is on the left
-    small = known.join(side, "g", "left_anti") if n else known
-    a, b = small.alias("a"), small.alias("b")
+    small = known.join(side.select("g"), "g", "left_anti")
+    upper, lower = F.col("u") - F.col("lowest") > margin, F.col("highest") - F.col("u") > margin
+    able = stored(known.join(side, "g").select("g", "u", upper.alias("upper"), lower.alias("lower")).where("upper or lower"))
+    a, b = F.count_if("upper"), F.count_if("lower")
+    dense = able.groupBy("g").agg((a * b > F.lit(crowded) * (a + b)).alias("dense")).where("dense").select("g")
+    m = dense.limit(MOST_SENT + 1).count()
+    swept = F.broadcast(dense) if m <= MOST_SENT else dense
+    sparse = able.join(swept, "g", "left_anti") if m else able
+    out = _joined_stats(small, small, group, margin).unionByName(_joined_stats(sparse.where("upper"), sparse.where("lower"), group, margin))
+    return out.unionByName(swept_stats(able.join(swept, "g", "left_semi"), "g", "u", margin).withColumnRenamed("g", group)) if m else out
+
+
+def _joined_stats(upper: DataFrame, lower: DataFrame, group: str, margin: float) -> DataFrame:
+    a, b = upper.select("g", "u").alias("a"), lower.select("g", "u").alias("b")
     delta = F.col("a.u") - F.col("b.u")
+    # equal utilities make no pair: of two others the higher one is on the left
     joined = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.u") > F.col("b.u")) & (delta > margin))
-    out = joined.groupBy(F.col("a.g").alias(group)).agg(F.count("*").alias("pairs"), F.sum(delta).alias("total"), F.min(delta).alias("least"), F.max(delta).alias("most"))
-    return out.unionByName(swept_stats(known.join(side, "g"), "g", "u", margin).withColumnRenamed("g", group)) if n else out
+    return joined.groupBy(F.col("a.g").alias(group)).agg(F.count("*").alias("pairs"), F.sum(delta).alias("total"), F.min(delta).alias("least"), F.max(delta).alias("most"))
 
 
 def mean_delta(stats: DataFrame) -> float | None:

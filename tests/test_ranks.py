@@ -105,3 +105,19 @@ def test_a_crowded_group_goes_to_many_tasks(spark):
     sizes = made.groupBy(F.spark_partition_id().alias("p")).count()
     assert made.count() == sum(max(0, i - 45_000) for i in range(50_000)) == pairs.delta_stats(df, "g", "u", 45_000.0).first().pairs
     assert sizes.count() >= 3
+
+
+@pytest.mark.parametrize("margin", [0.9, 0.5, 0.03])
+def test_of_crowded_groups_only_rows_that_can_pair_are_looked_at(spark, margin, monkeypatch):
+    """A high margin leaves few rows of a crowded group, which are joined; a low one leaves it to the sweep."""
+    rng = random.Random(5)
+    rows = [(f"g{i % 3}", round(rng.random() if i % 3 else rng.random() ** 4, 3)) for i in range(900)] + [("few", 0.0), ("few", 1.0)]
+    swept = []
+    monkeypatch.setattr(pairs, "swept_stats", lambda *a, f=pairs.swept_stats: swept.append(a[0].count()) or f(*a))
+    got = {r.g: (r.pairs, round(r.total, 6), round(r.least, 9), round(r.most, 9)) for r in pairs.delta_stats(spark.createDataFrame(rows, "g string, u double"), "g", "u", margin).collect()}
+    wanted = {}
+    for g in {g for g, _ in rows}:
+        u = sorted(x for k, x in rows if k == g)
+        d = [b - a for i, a in enumerate(u) for b in u[i + 1 :] if b - a > margin]
+        wanted[g] = (len(d), round(sum(d), 6), round(min(d), 9), round(max(d), 9))
+    assert got == wanted and bool(swept) == (margin < 0.1)
